@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlog.llm.chat import chat_digests, chat_segments
+from foldlog.llm.sharding import shard_by_bytes
 from foldlog.llm.tokenize import sentencepiece_encode
 from foldlog.session import table
 
@@ -18,6 +20,20 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", "pieces.decoded_sha256", "pieces.n_differing")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
+
+
+#: A conversation whose texts hold the template's own control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return chat_digests(chat_segments(turns))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_sharding": op7_sharding, "op10_chat": op10_chat}
 
 ORACLE_SQL: dict[str, str] = {}
