@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm.chat import chat_digests, chat_segments
+from foldlog.llm.language import identify_language
+from foldlog.llm.quality import score_quality
 from foldlog.llm.sharding import shard_by_bytes
+from foldlog.llm.common import held_out
+from foldlog.llm.toxicity import score_toxicity
 from foldlog.llm.tokenize import sentencepiece_encode
 from foldlog.session import table
 
@@ -20,10 +24,28 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "pieces.n_tokens", "pieces.ids_sha256", "pieces.decoded_sha256", "pieces.n_differing")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), threshold=0.3, folds=5, fold=0)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "quality.score", "quality.predicted")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_language(docs, folds=5, fold=0)
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.7, folds=3, fold=1)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "toxicity.score", "toxicity.predicted", "toxicity.clauses")
+
+
 #: A conversation whose texts hold the template's own control strings.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -34,6 +56,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chat_segments(turns))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_sharding": op7_sharding, "op10_chat": op10_chat}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
 ORACLE_SQL: dict[str, str] = {}
