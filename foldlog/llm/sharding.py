@@ -36,6 +36,11 @@ class Item:
     largest: int
     level: int
 
+    @property
+    def last(self) -> int:
+        """The last key of its block."""
+        return self.low + (1 << (64 - self.level)) - 1
+
     @property
     def atomic(self) -> bool:
         return self.count == 1
@@ -106,8 +111,8 @@ def _blocks(groups: DataFrame, level: int) -> list[Item]:
     return sorted((Item(r.first if r.n == 1 else r.low, r.w, r.n, r.m, 64 if r.n == 1 else level) for r in rows), key=lambda x: x.low)
 
 
-def _open(items: list[Item], shards: int, largest: int) -> list[Item]:
-    """The items that are no single group and in which a cut of the best partition may fall."""
+def _open(items: list[Item], shards: int, largest: int) -> list[tuple[int, int]]:
+    """Runs of items, one at most for each shard, in which a cut may fall and that hold more than single groups."""
     weights, sums = [x.weight for x in items], [0]
     for w in weights:
         sums.append(sums[-1] + w)
@@ -117,13 +122,16 @@ def _open(items: list[Item], shards: int, largest: int) -> list[Item]:
     marks = []
     for capacity in (low, high):
         marks += [[sums[k] for k in greedy(sums, capacity, shards)], [sums[k] for k in balanced_cuts(weights, shards, high)]]
-    out = set()
+    spans: list[list[int]] = []
     for k in range(shards):
         near = [m[k] for m in marks]
-        a = bisect_right(sums, min(near) - wide * (k + 2)) - 1
-        b = bisect_right(sums, max(near) + (high - low + wide) * (k + 2))
-        out.update(range(max(a, 0), min(b, len(items))))
-    return [items[k] for k in sorted(out) if not items[k].atomic]
+        a = max(bisect_right(sums, min(near) - wide * (k + 2)) - 1, 0)
+        b = min(bisect_right(sums, max(near) + (high - low + wide) * (k + 2)), len(items))
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return [(a, b) for a, b in spans if not all(x.atomic for x in items[a:b])]
 
 
 def partition_keys(groups: DataFrame, shards: int) -> tuple[list[int], int]:
@@ -134,18 +142,10 @@ def partition_keys(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         return [], 0
     largest = max(x.largest for x in items)
     while todo := _open(items, shards, largest):
-        level = 64 if sum(x.count for x in todo) <= FETCH else min(64, level + BITS // 2)
-        # ranges of the key space, merged where they touch: a few at each cut
-        spans: list[list[int]] = []
-        for x in todo:
-            last = x.low + (1 << (64 - x.level)) - 1
-            if spans and spans[-1][1] + 1 == x.low:
-                spans[-1][1] = last
-            else:
-                spans.append([x.low, last])
-        inside = groups.where(reduce(or_, [F.col("key").between(a, b) for a, b in spans]))
-        replaced = {(x.low, x.level) for x in todo}
-        items = sorted([x for x in items if (x.low, x.level) not in replaced] + _blocks(inside, level), key=lambda x: x.low)
+        level = 64 if sum(x.count for a, b in todo for x in items[a:b]) <= FETCH else min(64, level + BITS // 2)
+        inside = reduce(or_, [F.col("key").between(items[a].low, items[b - 1].last) for a, b in todo])
+        kept = [x for (_, a), (b, _) in zip([(0, 0), *todo], [*todo, (len(items), 0)]) for x in items[a:b]]
+        items = sorted(kept + _blocks(groups.where(inside), level), key=lambda x: x.low)
     weights = [x.weight for x in items]
     capacity = smallest_capacity(weights, shards)
     cuts = balanced_cuts(weights, shards, capacity)[:-1]
