@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foldlog.llm.chat import chat_digests, chat_segments
 from foldlog.llm.language import identify_language
+from foldlog.llm.ngram_join import jaccard_components
 from foldlog.llm.quality import score_quality
 from foldlog.llm.sharding import shard_by_bytes
 from foldlog.llm.common import held_out
@@ -36,6 +37,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
 
@@ -56,6 +61,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chat_segments(turns))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
 ORACLE_SQL: dict[str, str] = {}
