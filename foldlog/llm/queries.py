@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm.chat import chat_digests, chat_segments
+from foldlog.llm.decontaminate import contamination
 from foldlog.llm.fingerprint import imatch
 from foldlog.llm.language import identify_language
 from foldlog.llm.ngram_join import jaccard_components
 from foldlog.llm.quality import score_quality
+from foldlog.llm.secrets import secret_findings
 from foldlog.llm.sharding import shard_by_bytes
 from foldlog.llm.common import held_out
 from foldlog.llm.toxicity import score_toxicity
@@ -42,6 +44,15 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.char_length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("secret_sha256"), "score", "predicted")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -66,6 +77,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chat_segments(turns))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
 ORACLE_SQL: dict[str, str] = {}
