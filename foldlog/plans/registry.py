@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from foldlog.plans import log_queries
+
+PARTS = [log_queries]
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in PARTS for k, v in p.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return log_queries.topk_families(spark, sf_dir)
