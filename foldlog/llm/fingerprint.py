@@ -65,8 +65,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.abs(level(a) - level(b)) > 1, 0.0).otherwise(share).cast("double")
 
 
-#: Rows of one bucket in which neighbours by id are found, about.
-BUCKET_ROWS = 20_000
+#: Rows of one bucket in which neighbours by id are found, about; up to how many ranges their first ids are broadcast.
+BUCKET_ROWS, BROADCAST_RANGES = 20_000, 50_000
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ring = Window.orderBy("bucket")
     borrows = firsts.select(F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("by"), F.col("bucket").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
     same = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
-    lent = placed.join(borrows, same).select(F.col("by").alias("bucket"), F.struct("text", "print").alias("lent")).dropDuplicates(["bucket"])
+    # a row a range: sent to every task while that is few rows, else joined by shuffling
+    lent = placed.join(F.broadcast(borrows) if buckets <= BROADCAST_RANGES else borrows, same).select(F.col("by").alias("bucket"), F.struct("text", "print").alias("lent")).dropDuplicates(["bucket"])
     w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     inside = placed.withColumn("follow", F.lead(F.struct("text", "print")).over(w)).join(lent, "bucket", "left").withColumn("follow", F.coalesce("follow", "lent"))
     return inside.select("doc_id", "text", "print", F.col("follow.text").alias("next_text"), F.col("follow.print").alias("next_print"))
