@@ -84,13 +84,14 @@ def chat_segments(df: DataFrame, template: Template | None = None, conv_col: str
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = dict(ordered.dtypes)
+    # pandas has no null integers: ids travel as text
+    ordered = ordered.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state, valid, held = None, None, True, None
         for rows in batches:
             out = []
-            for c, t, role, text in zip(rows["conv_id"].astype(object), rows["turn"].astype(object), rows["role"], rows["text"]):
-                c, t = (None if pd.isna(c) else int(c)), (None if pd.isna(t) else int(t))
+            for c, t, role, text in zip(rows["conv_id"], rows["turn"], rows["role"], rows["text"]):
                 if state is None or c != conv:
                     if held is not None:
                         out.append(close(held))
@@ -108,10 +109,10 @@ def chat_segments(df: DataFrame, template: Template | None = None, conv_col: str
         return (*row[:4], row[4] and row[3] in template.may_end, True)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conv_id", "turn", "segments", "state", "valid", "last"])
-        return out.astype({"conv_id": "Int64", "turn": "Int64"})
+        return pd.DataFrame(rows, columns=["conv_id", "turn", "segments", "state", "valid", "last"])
 
-    return ordered.mapInPandas(run, f"conv_id {kind['conv_id']}, turn {kind['turn']}, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, last boolean")
+    made = ordered.mapInPandas(run, "conv_id string, turn string, segments array<struct<text: string, loss: boolean>>, state string, valid boolean, last boolean")
+    return made.select(F.col("conv_id").cast(kind["conv_id"]).alias("conv_id"), F.col("turn").cast(kind["turn"]).alias("turn"), "segments", "state", "valid", "last")
 
 
 def chat_digests(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -127,7 +128,7 @@ def chat_digests(turns: DataFrame, template: Template | None = None) -> DataFram
         at = None
         for rows in batches:
             out = []
-            for c, segs, valid, last in zip(rows["conv_id"].astype(object), rows["segments"], rows["valid"], rows["last"]):
+            for c, segs, valid, last in zip(rows["conv_id"], rows["segments"], rows["valid"], rows["last"]):
                 at = at or [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 text = "".join(s["text"] for s in segs)
                 for role, said in read_turns(template, text):
@@ -138,9 +139,11 @@ def chat_digests(turns: DataFrame, template: Template | None = None) -> DataFram
                 at[3].update(loss.encode())
                 at[4] += len(text)
                 if last:
-                    out.append((None if pd.isna(c) else int(c), at[0], at[1].hexdigest(), at[2], at[3].hexdigest(), at[4], bool(valid)))
+                    out.append((c, at[0], at[1].hexdigest(), at[2], at[3].hexdigest(), at[4], bool(valid)))
                     at = None
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
     kind = dict(turns.dtypes)["conv_id"]
-    return turns.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    named = turns.withColumn("conv_id", F.col("conv_id").cast("string"))
+    made = named.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return made.withColumn("conv_id", F.col("conv_id").cast(kind))
