@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.functions.text import words
-from foldlog.operators.contracts import violations
+from foldlog.operators.contracts import event_problems, integrity_problems, violations
 from foldlog.operators.states import compact, degradation_summary, degrade, survival
 from foldlog.session import table
 
@@ -41,6 +41,20 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(e.select("event_id", spoilt.alias("json")), "event_id", "json", [("k", "integer", True)], additional=False)
 
 
+def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against a list of types that lacks one, a value that must be at least 5, and short properties."""
+    e = table(spark, sf_dir, "events").withColumn("above", F.floor(F.col("value") - 5).cast("long"))
+    return event_problems(e, "event_id", ["click", "view", "purchase", "signup"], "event_type", ["above"], "props", 8)
+
+
+def mapping_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as steps; those of odd priority marks are mapped, the others not, some both, some neither, some unknown."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    mapped = o.where((k % 2 == 1) & (k % 70 != 1) | (k % 50 == 0)).unionByName(o.where(k % 90 == 2).select((-k - 1).alias("o_orderkey")))
+    return integrity_problems(o, mapped, o.where(k % 2 == 0), "o_orderkey")
+
+
 STATES = r"""t AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS s, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY 1),
 n AS (SELECT conv_id, CAST(len(list_distinct(list_transform(regexp_extract_all(coalesce(s, ''), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'), lambda x: lower(x)))) AS DOUBLE) AS s, CAST(len(list_distinct(list_transform(regexp_extract_all(coalesce(u, ''), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'), lambda x: lower(x)))) AS DOUBLE) AS u, CAST(len(list_distinct(list_transform(regexp_extract_all(coalesce(a, ''), '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'), lambda x: lower(x)))) AS DOUBLE) AS a FROM t)"""
 RUNS = (
@@ -51,11 +65,13 @@ l AS (SELECT conv_id, profile, k, s, u, a, 0::BIGINT AS cycle, s AS ls, u AS lu,
 r AS (SELECT conv_id, profile, cycle, round((CASE WHEN ls >= s * 0.9::DOUBLE AND s > 0 THEN 1 ELSE 0 END + CASE WHEN lu >= u * 0.9::DOUBLE AND u > 0 THEN 1 ELSE 0 END + CASE WHEN la >= a * 0.9::DOUBLE AND a > 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE, 6) AS consistency FROM l WHERE cycle > 0)"""
 )
 
-QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations}
+QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations, "event_validation": event_validation, "mapping_integrity": mapping_integrity}
 
 ORACLE_SQL = {
     "state_survival": f"WITH {STATES}, c AS (SELECT conv_id, round(CASE WHEN s = 0 THEN 0.0 ELSE least(s, 20) / s END, 6) AS x, round(CASE WHEN u = 0 THEN 0.0 ELSE least(u, 15) / u END, 6) AS y, round(CASE WHEN a = 0 THEN 0.0 ELSE least(a, 25) / a END, 6) AS z FROM n), d AS (SELECT *, round((CASE WHEN x >= 0.9 THEN 1 ELSE 0 END + CASE WHEN y >= 0.9 THEN 1 ELSE 0 END + CASE WHEN z >= 0.9 THEN 1 ELSE 0 END) / 3.0::DOUBLE, 6) AS consistency FROM c) SELECT conv_id, x AS system_coverage, y AS user_coverage, z AS assistant_coverage, consistency, round(1 - consistency, 6) AS drift FROM d",
     "state_degradation": f"WITH RECURSIVE {RUNS} SELECT conv_id, profile, cycle, consistency, round(1 - consistency, 6) AS drift, consistency < 0.5 AS collapsed FROM r",
     "state_summary": f"WITH RECURSIVE {RUNS}, q AS (SELECT profile, conv_id, arg_max(consistency, cycle) AS consistency, min(cycle) FILTER (WHERE consistency < 0.5) AS c FROM r GROUP BY ALL) SELECT profile, count(*) AS runs, round(avg(CASE WHEN consistency < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS collapse_rate, round(avg(consistency), 6) AS consistency, max(c) AS highest_collapse_cycle FROM q GROUP BY 1",
+    "event_validation": "SELECT event_id, 'type' AS problem FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, 'above' FROM events WHERE value < 5 UNION ALL SELECT event_id, 'payload' FROM events WHERE length(props) > 8",
+    "mapping_integrity": "SELECT o_orderkey, 'both' AS problem FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_orderkey, 'neither' FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 70 = 1 UNION ALL SELECT -o_orderkey - 1, 'unknown' FROM orders WHERE o_orderkey % 90 = 2",
     "contract_violations": "SELECT event_id, 'k' AS path, 'missing' AS problem FROM events WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'q', 'unknown' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'k', 'type' FROM events WHERE event_id % 11 <> 0 AND event_id % 13 = 0 UNION ALL SELECT event_id, '', 'invalid' FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 = 0",
 }
