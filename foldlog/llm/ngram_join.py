@@ -182,17 +182,21 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for text in b["text"]:
                 t = tokens(text, width)
                 if not len(t):
-                    rows.append((None, 0, None, None))
+                    rows.append((0, 0, None, None))
                     continue
                 set_id = xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63)
                 keys = None if set_id in seen else index_keys(t, table[(t >> U(64 - bits)).astype(np.int64)], shape).view(np.int64)
                 seen.add(set_id)
                 rows.append((set_id, len(t), parity(t), keys))
             out = pd.DataFrame(rows, columns=["set_id", "n", "parity", "keys"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out.astype({"set_id": "Int64", "doc_id": "Int64"})
+            out.insert(0, "id", b["id"].to_numpy())
+            out.insert(1, "is_null", b["is_null"].to_numpy())
+            yield out
 
-    return keep(docs.mapInPandas(profile, "doc_id long, set_id long, n long, parity array<long>, keys array<long>"))
+    # pandas has no null integers: they travel beside the number
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("is_null"), "text")
+    made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, parity array<long>, keys array<long>")
+    return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "parity", "keys"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -204,10 +208,10 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
         for b in batches:
             b = b[table[b["at"].to_numpy(dtype=np.int64)]]
-            found = [(i, t) for i, t in zip(b["doc_id"], (tokens(x, width) for x in b["text"])) if len(t)]
-            yield pd.DataFrame({"set_id": pd.Series([xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63) for _, t in found], dtype="int64"), "tokens": pd.Series([t.view(np.int64) for _, t in found], dtype=object)})
+            found = [t for t in (tokens(x, width) for x in b["text"]) if len(t)]
+            yield pd.DataFrame({"set_id": pd.Series([xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63) for t in found], dtype="int64"), "tokens": pd.Series([t.view(np.int64) for t in found], dtype=object)})
 
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("at")).mapInPandas(of, "set_id long, tokens array<long>")
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("at")).mapInPandas(of, "set_id long, tokens array<long>")
     return rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
