@@ -33,11 +33,11 @@ from foldlog.llm.common import small_batches
 from foldlog.llm.components import components
 from foldlog.session import cut, keep
 
-#: Tokens of a class on average, and how many times that makes a class frequent. An index entry of a single
-#: token then has at most MEAN * FREQUENT sets.
-MEAN, FREQUENT = 256, 2
-#: Bits of the class number, at least and at most: the table of frequent classes is 2**27 bits, 16 MB, at most.
-LEAST_BITS, MOST_BITS = 12, 27
+#: Bits of the class number: the table of frequent classes is 32 kB, and a task counts 2**18 classes at most.
+CLASS_BITS = 18
+#: A class is frequent if it has so many tokens, and so many standard deviations, more than the mean. An index
+#: entry of a single token has at most that many sets, which grows with the square root of the corpus.
+MORE, DEVIATIONS = 256, 6
 #: Bits of the table of documents whose sets are compared: 2 MB.
 WANTED_BITS = 24
 #: Words whose hash a worker remembers.
@@ -133,11 +133,8 @@ def parity(t: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def frequent_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(bits that mark frequent classes, number of bits of a class number), counted over all documents."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 6 / MEAN)))))
-
+def frequent_classes(docs: DataFrame, width: int) -> np.ndarray:
+    """Which classes are frequent, counted over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
 
@@ -148,7 +145,7 @@ def frequent_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
         for b in batches:
             for text in b["text"]:
                 t = tokens(text, width)
-                held.append((t >> U(64 - bits)).astype(np.int32))
+                held.append((t >> U(64 - CLASS_BITS)).astype(np.int32))
                 n += len(t)
             if n > 4_000_000:
                 yield counted()
@@ -156,9 +153,10 @@ def frequent_classes(docs: DataFrame, width: int) -> tuple[np.ndarray, int]:
         if held:
             yield counted()
 
-    counts = docs.select("text").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") > MEAN * FREQUENT).select((F.col("c").cast("long") / 64).cast("int").alias("word"), (F.col("c") % 64).alias("bit"))
-    return marked(often, bits), bits
+    counts = cut(docs.select("text").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << CLASS_BITS)
+    often = counts.where(F.col("n") > mean + MORE + DEVIATIONS * math.sqrt(mean)).select((F.col("c").cast("long") / 64).cast("int").alias("word"), (F.col("c") % 64).alias("bit"))
+    return marked(often, CLASS_BITS)
 
 
 def marked(rows: DataFrame, bits: int) -> np.ndarray:
@@ -171,8 +169,7 @@ def marked(rows: DataFrame, bits: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, set_id, n, parity, keys) of each document, kept; keys are null for a set seen before in the same task."""
-    often, bits = frequent_classes(docs, width)
-    packed = np.packbits(often).tobytes()
+    packed = np.packbits(frequent_classes(docs, width)).tobytes()
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape, seen = Shape(percent), set()
@@ -185,7 +182,7 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     rows.append((0, 0, None, None))
                     continue
                 set_id = xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63)
-                keys = None if set_id in seen else index_keys(t, table[(t >> U(64 - bits)).astype(np.int64)], shape).view(np.int64)
+                keys = None if set_id in seen else index_keys(t, table[(t >> U(64 - CLASS_BITS)).astype(np.int64)], shape).view(np.int64)
                 seen.add(set_id)
                 rows.append((set_id, len(t), parity(t), keys))
             out = pd.DataFrame(rows, columns=["set_id", "n", "parity", "keys"])
