@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlog.llm.common import small_batches
@@ -240,12 +240,14 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = profiles(docs, width, percent)
     sets = cut(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     keys = rows.where("keys is not null").select("set_id", F.explode("keys").alias("key"))
-    several = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("key", "a")
-    shared = keep(keys.join(several, "key").distinct())
-    star = shared.where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    # one member of each entry, another one in each, is compared with the others of the entry
+    entry = Window.partitionBy("key")
+    pivot = F.min(F.struct(F.xxhash64("set_id", "key").alias("h"), "set_id")).over(entry)
+    shared = keep(keys.withColumns({"pivot": pivot, "low": F.min("set_id").over(entry), "high": F.max("set_id").over(entry)}).where("low < high").select("key", "set_id", F.col("pivot.set_id").alias("a")))
+    star = shared.where("a <> set_id").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
     first = linked(docs, sets, star, width, percent)
     labels = components(first)
-    placed = keep(shared.select("key", "set_id").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("c", "set_id").alias("c")))
+    placed = keep(shared.select("key", "set_id").distinct().join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("c", "set_id").alias("c")))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = placed.join(mixed, "key").join(sets.select("set_id", "n"), "set_id")
     right = left.select("key", F.col("set_id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
