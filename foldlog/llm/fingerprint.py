@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Rows of one bucket in which neighbours by id are found, about; up to how many ranges their first ids are broadcast.
-BUCKET_ROWS, BROADCAST_RANGES = 20_000, 50_000
+BUCKET_ROWS, BROADCAST_RANGES = 2_000, 50_000
 
 
 def with_next(docs: DataFrame) -> DataFrame:
