@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.llm.decontaminate import decontaminate
-from foldlog.llm.ngram_join import jaccard_components
+from foldlog.llm.ngram_join import jaccard_components, without_ids
 from foldlog.llm.secrets import redact_secrets
 from foldlog.llm.tokenize import sentencepiece_encode
 from foldlog.llm.toxicity import score_toxicity
@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are groups of their own. Rows that repeat an id are one document: one row stays.
     """
     groups = cut(jaccard_components(docs, width=5, percent=80))
-    names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n"))
-    kept = docs.join(names.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if not names.where("n > 1 and _kept is not null").isEmpty():
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without_ids(docs, gone)
+    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept.select(*COLUMNS)
 

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlog.llm.common import small_batches
@@ -212,14 +212,20 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Whether sets of sizes n and m with parity bitmaps p and q can be similar enough. Bitmaps fold to the shorter's length."""
+    fold = lambda x, y: f"if(size({x}) <= size({y}), {x}, transform(sequence(0, size({y}) - 1), i -> {x}[i] ^ {x}[i + size({y})]))"
+    differ = f"aggregate(zip_with({fold(p, q)}, {fold(q, p)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and (100 + {percent}) * {differ} <= (100 - {percent}) * ({n} + {m})")
+
+
 def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are similar enough. sets: (set_id, rep, n, parity)."""
     side = lambda k: sets.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "parity")))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    fold = lambda x, y: f"if(size({x}) <= size({y}), {x}, transform(sequence(0, size({y}) - 1), i -> {x}[i] ^ {x}[i + size({y})]))"
-    sized = sized.withColumns({"p": F.expr(fold("parity_a", "parity_b")), "q": F.expr(fold("parity_b", "parity_a"))})
-    near = sized.where(f"(100 + {percent}) * aggregate(zip_with(p, q, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= (100 - {percent}) * (n_a + n_b)")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("n_a", "parity_a", "n_b", "parity_b", percent))
     near = cut(near.select("a", "b"))
+    if near.isEmpty():
+        return near
     ends = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets.select("set_id", F.col("rep").alias("doc_id")), "set_id")
     held = cut(token_sets(docs, ends, width))
     both = near.join(held.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a").join(held.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
@@ -227,6 +233,26 @@ def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, perce
     return cut(shared.where(f"100 * o >= {percent} * (x + y - o)").select("a", "b"))
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose id is among ids (one column, no nulls); rows of null id stay.
+
+    A bitmap of fixed size tells most rows that stay without moving them; only rows it cannot clear are joined
+    with the ids. The more ids it holds, the more rows are joined; the result is the same.
+    """
+    at = F.pmod(F.xxhash64(id_col), F.lit(1 << WANTED_BITS))
+    packed = np.packbits(marked(ids.select(F.col(ids.columns[0]).alias(id_col)).select(at.alias("at")).select((F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).alias("bit")), WANTED_BITS)).tobytes()
+
+    @F.pandas_udf("boolean")
+    def doubtful(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        for b in batches:
+            yield pd.Series(table[b.to_numpy(dtype=np.int64)])
+
+    told = docs.withColumn("_doubtful", doubtful(at))
+    rest = told.where("_doubtful").join(ids.select(F.col(ids.columns[0]).alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    return told.where("not _doubtful").unionByName(rest).drop("_doubtful")
+
+
 def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per row: documents link when their sets' Jaccard similarity is at least percent/100.
 
@@ -249,12 +275,17 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     labels = components(first)
     placed = keep(shared.select("key", "set_id").distinct().join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("c", "set_id").alias("c")))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key").join(sets.select("set_id", "n"), "set_id")
-    right = left.select("key", F.col("set_id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-    cross = left.withColumnRenamed("set_id", "a").join(right, "key").where(f"a < b and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
+    left = placed.join(mixed, "key").join(sets.select("set_id", "n", "parity"), "set_id").select("key", F.col("set_id").alias("a"), "c", "n", "parity")
+    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    # the bitmaps are compared within the join: pairs that cannot link are never made
+    cross = left.join(right, "key").where("a < b and c <> d").where(may_link("n", "parity", "m", "other", percent)).select("a", "b").distinct()
     second = linked(docs, sets, cross.join(star, ["a", "b"], "left_anti"), width, percent)
-    final = components(first.unionByName(second))
-    named = sets.join(final.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c"))
+    named = cut(sets.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c")))
+    if not second.isEmpty():
+        # the second links join components of the first: a graph of these alone
+        side = lambda k: named.select(F.col("set_id").alias(k), F.col("c").alias(f"c_{k}"))
+        merged = components(second.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        named = named.join(merged.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("set_id", "rep", F.coalesce("d", "c").alias("c"))
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(lowest, "c").select("set_id", "component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
