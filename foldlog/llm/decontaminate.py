@@ -91,7 +91,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, i
     index = item_prints.select("item_id", "e", F.explode(blocks(F.col("e"))).alias("b")).select("item_id", "e", "b.k", F.col("b.v").alias("v0"), F.explode(near).alias("x"))
     index = index.select("item_id", "e", "k", F.col("v0").bitwiseXOR(F.col("x")).alias("v"))
     probes = prints.select("w", "f", F.explode(blocks(F.col("f"))).alias("b")).select("w", "f", "b.k", "b.v")
-    pairs = probes.join(index, ["k", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("e"))) <= RADIUS).select("w", "item_id").distinct()
+    # Spark sizes the index without its explosion: it is joined by sorting, never broadcast
+    pairs = probes.join(index.hint("merge"), ["k", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("e"))) <= RADIUS).select("w", "item_id").distinct()
     both = pairs.join(prints.select("w", F.col("grams").alias("a")), "w").join(items.select("item_id", F.col("grams").alias("b")), "item_id")
     sets = both.select("w", "item_id", numbered(F.col("a")).alias("a"), numbered(F.col("b")).alias("b"))
     told = sets.select("w", "item_id", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("o"))
