@@ -13,11 +13,9 @@ CODE = {"error": "P0301", "signup": "U0100", "purchase": "C0035", "click": "B100
 
 
 def lookup(names: dict[str, str], key: Column, default: str) -> Column:
-    """A small relation as one expression."""
-    out = None
-    for k, v in names.items():
-        out = F.when(key == k, v) if out is None else out.when(key == k, v)
-    return out.otherwise(default)
+    """A small relation as one expression; the key is computed once, the map is a constant."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
 def event_lines(events: DataFrame, every_untimed: int = 0) -> DataFrame:
