@@ -1,9 +1,11 @@
 """Document fingerprints by I-Match with randomised lexicon subsets, in DataFrame functions alone.
 
-Terms are lower-cased words; their document frequencies are counted over all documents. The band of inverse
-document frequency keeps terms that at most MOST_SHARE of the documents hold: what lies outside is at most the
-mean number of distinct terms of a document, divided by MOST_SHARE, so that list has a bound that does not grow
-with the corpus. A random deal of the lexicon gives SUBSETS lexicons; each is thinned by powers of two, and a
+Terms are lower-cased words; their document frequencies are counted over groups of copies, however many rows
+each has: rows count once where SKETCH smallest hashes of their terms agree, as those of exact copies always and
+those of near copies mostly do. The band of inverse document frequency keeps terms that at most MOST_SHARE of
+the groups hold: what lies outside is at most the mean number of distinct terms of a group, divided by
+MOST_SHARE, so that list has a bound that does not grow with the corpus. A text without a term in the band is
+told by all its terms. A random deal of the lexicon gives SUBSETS lexicons; each is thinned by powers of two, and a
 document uses the two thinnings that leave it about one term in each lexicon, however long it is. Its sorted
 distinct terms within each lexicon are hashed: a fingerprint is the two levels' numbers and hashes.
 
@@ -16,10 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlog.session import cut
+
 #: Lexicons dealt, and terms wanted in each.
 SUBSETS, TERMS = 32, 1
-#: The band: documents that hold a term, as a share of all, at most. Rare terms tell documents apart.
+#: The band: groups of copies that hold a term, as a share of all, at most. Rare terms tell documents apart.
 MOST_SHARE = 0.1
+#: Smallest hashes that copies agree in; terms up to which those that many rows hold are broadcast.
+SKETCH, BROADCAST_TERMS = 3, 500_000
+
+_named = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  names an expression, so that it is computed once
 
 
 def terms(text: Column) -> Column:
@@ -27,18 +35,27 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
+def copies_key(held: Column) -> Column:
+    """One hash for texts whose terms have the same SKETCH smallest hashes."""
+    return F.xxhash64(*(F.array_min(F.transform(held, lambda t: F.xxhash64(t, F.lit(k)))) for k in range(SKETCH)))
+
+
 def out_of_band(texts: DataFrame, most_share: float = MOST_SHARE) -> list[int]:
-    """Hashes of the terms that more than most_share of the documents (and more than one) hold."""
-    n = texts.count()
-    held = texts.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return sorted(r.t for r in held.where(F.col("n") > max(1, most_share * n)).select("t").collect())
+    """Hashes of the terms that more than most_share of the groups of copies (and more than one) hold."""
+    sketched = texts.select(_named(terms(F.col("text")), lambda held: F.struct(copies_key(held).alias("g"), held.alias("held"))).alias("s"))
+    least = max(1, most_share * sketched.select("s.g").distinct().count())
+    # no more groups than rows hold a term: only what enough rows hold is counted by groups
+    rows = texts.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    often = cut(rows.where(F.col("n") > least).select("t"))
+    pairs = sketched.select("s.g", F.explode("s.held").alias("t")).join(F.broadcast(often) if often.count() <= BROADCAST_TERMS else often, "t", "left_semi")
+    held = pairs.distinct().groupBy("t").agg(F.count("*").alias("n"))
+    return sorted(r.t for r in held.where(F.col("n") > least).select("t").collect())
 
 
 def fingerprint(text: Column, frequent: list[int]) -> Column:
     """The fingerprint of a text: "level:hash,hash,..;level+1:hash,.." of hexadecimal hashes, '' for an empty lexicon."""
-    # element of a one-element array: names an expression, so that it is computed once
-    named = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    inside = F.filter(terms(text), lambda t: ~t.isin(frequent)) if frequent else terms(text)
+    banded = lambda held: _named(F.filter(held, lambda t: ~t.isin(frequent)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(held))
+    inside = _named(terms(text), banded) if frequent else terms(text)
     level = lambda kept: F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(kept), F.lit(1)) / F.lit(SUBSETS * TERMS)))).cast("int")
     thin = lambda t, k: F.pmod(F.shiftright(t, 40), F.call_function("shiftleft", F.lit(1).cast("long"), k)) == 0
     # the lexicon that a term is dealt to stands in its high bits, so that sorting sorts by lexicon, then term
@@ -47,11 +64,11 @@ def fingerprint(text: Column, frequent: list[int]) -> Column:
 
     def hashes(kept: Column, k: Column) -> Column:
         thinned = F.sort_array(F.transform(F.filter(kept, lambda t: thin(t, k)), dealt))
-        lexicons = lambda held: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: named(F.filter(held, lambda t: F.shiftright(t, 40) == i), digest))
-        return named(thinned, lambda held: F.array_join(lexicons(held), ","))
+        lexicons = lambda held: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: _named(F.filter(held, lambda t: F.shiftright(t, 40) == i), digest))
+        return _named(thinned, lambda held: F.array_join(lexicons(held), ","))
 
     both = lambda kept, k: F.concat(k.cast("string"), F.lit(":"), hashes(kept, k), F.lit(";"), (k + 1).cast("string"), F.lit(":"), hashes(kept, k + 1))
-    return named(inside, lambda kept: named(level(kept), lambda k: both(kept, k)))
+    return _named(inside, lambda kept: _named(level(kept), lambda k: both(kept, k)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,8 +119,8 @@ def imatch(df: DataFrame, most_share: float = MOST_SHARE, id_col: str = "doc_id"
     The edited text: the last floor(n_chars/3) code points replaced by the first as many (or all) of the next
     document's text, by descending id (after the last: the first). near_edited is the likeness of the fingerprint
     to the edited text's, near_next to the next document's. Equal texts have equal fingerprints and likeness 1.
-    Nulls: a null text counts as empty; without terms in the band all lexicons are empty, such a fingerprint
-    is like its equal alone. Null ids come behind all others. Texts of any length are read whole; repeated rows
+    Nulls: a null text counts as empty; without terms all lexicons are empty, such a fingerprint is like its
+    equal alone. Null ids come behind all others. Texts of any length are read whole; repeated rows
     stay rows and are each other's neighbours. Extra columns are not carried. Empty in, empty out.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -116,6 +116,29 @@ def test_fingerprint_edges(spark):
     assert fingerprint.imatch(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_hot_copies_keep_their_fingerprints(spark, edits):
+    rng = random.Random(33)
+    hot = [words(rng, 120, 100_000).split() for _ in range(2)]
+    texts = [words(rng, rng.randrange(60, 200), 100_000) for _ in range(80)] + [""] * 3
+    for k in range(80):
+        t = list(hot[k % 2])
+        for _ in range(edits):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(100_000)}"
+        texts.append(" ".join(t))
+    rows = {r.doc_id: r for r in fingerprint.imatch(docs_of(spark, rng.sample(texts, len(texts)))).collect()}
+    long_ones = [r for r in rows.values() if r.n_chars]
+    empty = {r.fingerprint for r in rows.values() if not r.n_chars}
+    assert len(empty) == 1 and not empty & {r.fingerprint for r in long_ones}
+    assert np.mean([r.near_edited > 0.2 for r in long_ones]) > 0.95
+
+
+def test_texts_of_frequent_terms_differ(spark):
+    texts = ["all of these", "these of none", "all none"] * 2
+    got = [r.fingerprint for r in fingerprint.imatch(docs_of(spark, texts), most_share=0.0).orderBy("doc_id").collect()]
+    assert len(set(got)) == 3 and got[:3] == got[3:]
+
+
 # 4 -------------------------------------------------------------------------------------------------------------
 def brute_contamination(docs, items, percent=80, width=5):
     def grams(t):
