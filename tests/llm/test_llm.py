@@ -182,6 +182,18 @@ def test_contamination_is_brute_force(spark, listed):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_contamination(d, i)
 
 
+def test_windows_just_over_the_threshold_are_found(spark):
+    rng = random.Random(80)
+    items = [(j, words(rng, 49 + j % 8, 10**6)) for j in range(40)]
+    texts = []
+    for k in range(1000):
+        s = items[k % 40][1].split()
+        s[rng.randrange(4, len(s) - 4)] = "changed"  # five of 45 to 52 shingles: similarity 0.80 to 0.83 where aligned
+        texts.append(" ".join([words(rng, rng.randrange(10)), *s, words(rng, rng.randrange(10))]))
+    got = decontaminate.contamination(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 40) for k in range(1000)}
+
+
 def test_decontaminate_edges(spark):
     docs, items, d, i = contaminated(spark)
     bad = {x for x, _ in brute_contamination(d, i)}
