@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages in order, each on all that the stage before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-`documents`. Rows of null id or text pass the stages by the rules of the operators they call.
+`documents`. Rows of null or repeated ids are judged each by their own text.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlog.llm.common import row_key
 from foldlog.llm.decontaminate import decontaminate
 from foldlog.llm.ngram_join import jaccard_components, without_ids
 from foldlog.llm.secrets import redact_secrets
@@ -29,13 +30,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 5-word shingles of at least 0.8, keeps the smallest id's document.
 
-    Documents without words are groups of their own. Rows that repeat an id are one document: one row stays.
+    Null ids come behind all others. Documents without words are groups of their own. Rows that repeat an id and
+    its text are one document: one row stays; but rows without id and words all stay.
     """
-    groups = cut(jaccard_components(docs, width=5, percent=80))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without_ids(docs, gone)
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = docs.withColumn("_row", row_key())
+    groups = cut(jaccard_components(rows, width=5, percent=80, id_col="_row"))
+    linked = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("order")).distinct()
+    members = cut(groups.where("n_shingles > 0").select("_row", "component_id").distinct().join(linked, "component_id").join(ids, "_row"))
+    stays = members.groupBy("component_id").agg(F.min("order").alias("first")).select("component_id", F.col("first._row").alias("first"))
+    gone = members.join(stays, "component_id").where("_row <> first").select("_row")
+    kept = without_ids(rows, gone, "_row")
+    repeated = groups.groupBy("_row").count().where("count > 1").select("_row")
+    if not repeated.isEmpty():
+        alone = F.col("doc_id").isNull() & (F.trim(F.coalesce(F.translate("text", "\t\n\v\f\r", "     "), F.lit(""))) == "")
+        kept = kept.where(~alone).dropDuplicates(["_row"]).unionByName(kept.where(alone))
     return kept.select(*COLUMNS)
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldlog.llm.common import row_key
 from foldlog.session import cut
 
 WIDTH, PERCENT = 5, 80
@@ -104,6 +105,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, i
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of df whose document holds no benchmark item; all columns. Rows with a null id are judged by that id together."""
-    found = contamination(df, benchmark, percent).select(F.col("doc_id").alias("_found")).distinct()
-    return df.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """The rows of df whose text holds no benchmark item; all columns. Rows of null or repeated ids are judged by their own text."""
+    rows = df.withColumn("_row", row_key())
+    found = contamination(rows, benchmark, percent, id_col="_row").select("_row").distinct()
+    return rows.join(found, "_row", "left_anti").select(*df.columns)

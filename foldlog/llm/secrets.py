@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldlog.llm.common import row_key
 from foldlog.session import cut
 
 #: Findings of each label that the forest is trained on, at most.
@@ -105,11 +106,13 @@ def secret_findings(df: DataFrame, labelled: DataFrame | None = None, threshold:
 def redact_secrets(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """df with every found secret in `text` replaced by MASK, and n_chars, where there is such a column, counted anew.
 
-    A secret is replaced wherever it stands in its document. Rows are never dropped; clean rows are unchanged.
+    A secret is replaced wherever it stands in its row. Rows are never dropped, those of null id included; clean
+    rows are unchanged.
     """
-    secrets = secret_findings(df, labelled, threshold).where("predicted = 1 and doc_id is not null")
-    of_doc = secrets.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
-    joined = df.join(of_doc, F.col("doc_id") == F.col("_id"), "left")
+    rows = df.withColumn("_row", row_key())
+    secrets = secret_findings(rows, labelled, threshold, id_col="_row").where("predicted = 1")
+    of_row = secrets.groupBy("_row").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
+    joined = rows.join(of_row, "_row", "left")
     hidden = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     joined = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text")))
     if "n_chars" in df.columns:

@@ -430,3 +430,22 @@ def test_pipeline_edges(spark):
     empty = docs_of(spark, ["a"]).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_rows_without_unique_ids(spark):
+    rng = random.Random(5)
+    item = table(spark, SF, "benchmark").where("text is not null").first().text
+    clean = [words(rng, 40) for _ in range(4)]
+    near = clean[0].split()
+    near[-1] = "changed"
+    rows = [(None, clean[0]), (None, " ".join(near)), (None, clean[1]), (7, clean[2]), (7, clean[3]), (7, clean[3]), (None, item), (7, item + " more"), (None, ""), (None, ""), (None, SECRETS[0]), (9, SECRETS[0] + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert pairs(stage["decontamination"](spark, docs, SF)) == Counter(r for r in rows if item not in r[1])
+    hidden = stage["secrets"](spark, docs, SF)
+    assert hidden.count() == len(rows) and hidden.where(F.col("text").contains("AKIAMD62")).isEmpty() and hidden.where(F.col("text").contains(secrets.MASK)).count() == 2
+    got = pairs(stage["near_duplicates"](spark, docs, SF))
+    assert sum(got[None, t] for t in (clean[0], " ".join(near))) == 1
+    assert got[None, clean[1]] == got[7, clean[2]] == got[7, clean[3]] == 1 and got[None, ""] == 2
+    assert got[7, item + " more"] == 1 and (None, item) not in got  # of linked rows a null id's goes
