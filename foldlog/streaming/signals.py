@@ -68,3 +68,17 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def drained_whole(stream: DataFrame, name: str) -> DataFrame:
+    """The whole result of an aggregate over the data now there, windows that the watermark has not passed included."""
+    spark: SparkSession = stream.sparkSession
+    base = f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(replace).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -9,9 +9,12 @@ from foldlog.operators import states as S
 from foldlog.operators.contracts import violations
 from foldlog.operators.reporting import export_rows, incidents, search, service_health
 from foldlog.operators.timeline import compare_runs, running_snapshots
+from foldlog.plans import registry
 from foldlog.sources import lines, sinks
 from foldlog.streaming.signals import drained, stream_modes, window_counts
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_state_pieces(spark):
     df = spark.createDataFrame([([" a  b ", "", None, "c"], [("t1", "completed"), ("t2", "Pending"), ("t3", "pending"), ("t4", "odd")])], "xs array<string>, tasks array<struct<title: string, status: string>>")
@@ -98,3 +101,9 @@ def test_window_counts(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp, event_type string").coalesce(1).write.parquet(str(tmp_path / "in"))
     out = drained(window_counts(spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))), "t")
     assert [(r.event_type, r.n) for r in out.collect()] == [("a", 2)]
+
+
+def test_every_window_is_counted(spark):
+    got = registry.QUERIES["stream_counts_all"](spark, SF)
+    assert got.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert got.where("start >= '2024-01-30 00:00:00'").count() > 0
