@@ -107,3 +107,10 @@ def test_every_window_is_counted(spark):
     got = registry.QUERIES["stream_counts_all"](spark, SF)
     assert got.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
     assert got.where("start >= '2024-01-30 00:00:00'").count() > 0
+
+
+def test_keyword_sets_of_every_language(spark, tmp_path):
+    rows = [(1, "Über the house Haus", "de"), (2, "the cat", None), (3, None, "fr"), (4, "dog", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.keywords for r in registry.QUERIES["keyword_sets_all"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[2] == "cat" and got[3] == "" and {"house", "haus"} <= set(got[1].split(","))
