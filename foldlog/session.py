@@ -37,3 +37,13 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that keep() wrote. Nothing may read it afterwards."""
+    sc = df.sparkSession.sparkContext
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
