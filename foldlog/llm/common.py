@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,30 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set(BATCH, str(ARROW_ROWS))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Small Arrow batches for what is planned inside; the caller's setting is put back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def row_key() -> Column:

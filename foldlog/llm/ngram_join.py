@@ -2,48 +2,52 @@
 
 Token-combination prefixes. A token is the 64-bit hash of an n-gram; a document is its set of tokens.
 
-* Tokens fall into classes by hash. Classes are counted over all documents; a class with far more tokens than
-  the mean is frequent. Every set is ordered rare tokens first, so two similar sets share a token of their
-  prefixes, and while a prefix holds rare tokens alone each of its tokens is indexed singly.
-* A set whose prefix runs into frequent tokens extends it over all its frequent tokens, and indexes
-  combinations of them: a hash deals the tokens to one segment more than two similar sets of that size class
-  can differ in, so at least one segment holds the same combination in both. A few popular passages in two
-  documents share none.
-
-No pair is lost: if one prefix is all rare, the shared token is rare and in both prefixes; else either a rare
-token is shared, all of which are indexed, or a whole segment is. Candidates pass a parity bitmap (sets that
-differ in d tokens differ in at most d bits, so nothing is lost either), then the sets themselves are compared.
-Groups of many alike texts are not paired out: first each member of an index entry is compared with one of them,
-and only members still in different components are compared with each other.
+* Every set is ordered rare tokens first, then by hash. Two similar sets share a token of their prefixes, and a
+  prefix of rare tokens indexes each of them singly. A token is frequent if more than RARE sets hold it in the
+  prefix by hash alone; that is counted over all documents.
+* A set whose prefix runs into frequent tokens extends it over all its frequent tokens and indexes combinations of
+  k = 2 of them: the pairs that follow each other in hash order. A token that two sets do not share breaks at most
+  two pairs of its own set and one of the other's, so two similar sets also share pairs, and a prefix of the pairs
+  (by their hash) is enough again. That is 2 (1 - t) n + 1 pairs for n tokens at threshold t; all pairs of the
+  extended prefix would be some ((1 - t) n)^2 / 2 (180,300 for 3,000 tokens at 0.8 instead of 1,201).
+
+No pair of similar sets is lost. If one prefix is all rare, the shared token is rare and indexed by both. Else both
+sets index all their rare tokens: they share one, or none, and then all they share is frequent, and a pair is shared.
+
+Entries of at most PAIRED sets are paired. The members of larger ones are compared with one of them, the pivot, and
+those that are still in different components are told apart by what distinguishes them from it: if x and y are
+similar and not both near the pivot p, then the differences x^p and y^p share so many tokens that prefixes of them
+must meet (the bound is in difference_keys()). These tokens are the keys of the next round, whose entries lack the
+pivot; so groups of near copies are never paired out. Candidates pass a parity bitmap (sets that differ in d tokens
+differ in at most d bits, so nothing is lost), then the sets themselves are compared.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.llm.common import small_batches
+from foldlog.llm.common import batch_rows, free_name
 from foldlog.llm.components import components
-from foldlog.session import cut, keep
-
-#: Bits of the class number: the table of frequent classes is 32 kB, and a task counts 2**18 classes at most.
-CLASS_BITS = 18
-#: A class is frequent if it has so many tokens, and so many standard deviations, more than the mean. An index
-#: entry of a single token has at most that many sets, which grows with the square root of the corpus.
-MORE, DEVIATIONS = 256, 6
-#: Bits of the table of documents whose sets are compared: 2 MB.
-WANTED_BITS = 24
-#: Words whose hash a worker remembers.
-CACHE_WORDS = 500_000
+from foldlog.session import cut, discard, keep
+
+#: A token is frequent if more sets than this hold it in their prefix. Doubled until no more than LISTED tokens are,
+#: as their list (8 bytes each) goes to every task.
+RARE, LISTED = 8, 1_000_000
+#: Entries of at most so many sets are paired; larger ones go by pivots and differences.
+PAIRED = 8
+#: Bits of the bitmap that says which documents a later pass reads: 32 for each wanted one, 2**28 (32 MB) at most.
+#: Where that is not enough more documents are read than need be.
+WANTED_BITS = 28
 
 U = np.uint64
+_word = xxhash.xxh64_intdigest
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,138 +57,127 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words; h: the words' hashes."""
+    n = len(h) - k + 1
+    out = np.full(n, k, dtype=U)
+    for j in range(k):
+        out = mix(out * U(0x9E3779B97F4A7C15) + h[j : n + j])
+    return out
 
 
-_words = Words()
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def tokens(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the `width`-word n-grams; of the whole sequence where it is shorter; none without words.
+def token_sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its `width`-word n-grams.
 
-    A-Z are lower-cased; words are runs of anything but space, tab, line feed, vertical tab, form feed, return.
+    A shorter text has the whole sequence as its one n-gram, a text without words none. A-Z are lower-cased; words
+    are runs of anything but space, tab, line feed, vertical tab, form feed, return.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=U)
-    h = np.array([_words[w] for w in words], dtype=U)
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, dtype=U)
-    for j in range(k):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
-
-
-class Shape:
-    """The sizes that follow from the threshold: prefixes, size classes, segments."""
-
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
-        self.bounds = [1, 2]
+    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = [len(w) for w in split]
+    h = np.fromiter((_word(w) for words in split for w in words), dtype=U, count=sum(sizes))
+    grams = _grams(h, width) if len(h) >= width else None
+    out, at = [], 0
+    for n in sizes:
+        if n >= width:
+            out.append(_distinct(grams[at : at + n - width + 1]))
+        else:
+            out.append(_grams(h[at : at + n], n) if n else np.empty(0, dtype=U))
+        at += n
+    return out
+
+
+def prefix(n: int, percent: int) -> int:
+    """Tokens of a set of n, in any order, of which a similar set must hold one in its own."""
+    return n - -(-percent * n // 100) + 1
+
+
+def smallest_paired(percent: int) -> float:
+    """Sets of at most this size may share no pair with a similar set; infinite where none need to."""
+    if 2 * percent <= 100:
+        return math.inf
+    most = 300 // (2 * percent - 100) + 2
+    return max((n for n in range(1, most + 1) if n - 1 - 2 * (100 - percent) * n // 100 < 1), default=0)
+
+
+def index_keys(t: np.ndarray, frequent: np.ndarray, percent: int, small: float) -> np.ndarray:
+    """Keys under which a set is indexed. frequent: for each token, whether it is; small: smallest_paired(percent)."""
+    n = len(t)
+    p = prefix(n, percent)
+    rare = t[~frequent]
+    if len(rare) >= p:
+        return rare[:p]
+    often, out = t[frequent], [rare]
+    if n * percent <= 100 * small:
+        out.append(often[: p - len(rare)])
+    if n > small:
+        pairs = np.sort(mix(mix(often[:-1]) + often[1:]))
+        out.append(pairs[: 2 * (100 - percent) * n // 100 - 2 * len(rare) + 1])
+    return np.concatenate(out)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
 
-    def size_class(self, n: int) -> int:
-        """Sets of similar sizes are in the same or neighbouring classes."""
-        while self.bounds[-1] <= n:
-            self._grow()
-        return bisect_right(self.bounds, n) - 1
+def set_number(t: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63)
 
-    def _grow(self) -> None:
-        b = self.bounds[-1]
-        self.bounds.append(max(b + 1, 100 * (b - 1) // self.percent + 1))
 
-    def segments(self, c: int) -> int:
-        """One more than the tokens in which two similar sets of at most this class can differ."""
-        while len(self.bounds) < c + 2:
-            self._grow()
-        return (100 - self.percent) * 2 * (self.bounds[c + 1] - 1) // (100 + self.percent) + 1
+def parity(t: np.ndarray) -> np.ndarray:
+    """Bit b: whether an odd number of tokens fall to b. Twice as many bits as tokens, rounded up to a power of two."""
+    bits = max(64, 1 << (2 * len(t) - 1).bit_length())
+    odd = np.bincount((t & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def index_keys(t: np.ndarray, frequent: np.ndarray, shape: Shape) -> np.ndarray:
-    """Keys under which a set is indexed. frequent: for each token, whether its class is."""
-    p = shape.prefix(len(t))
-    rare = t[~frequent]
-    single = mix(rare[:p] ^ U(0xA5A5A5A5A5A5A5A5))
-    if len(rare) >= p:
-        return single
-    often, out = t[frequent], [single]
-    c = shape.size_class(len(t))
-    for pair_class in (c, c + 1):
-        m = shape.segments(pair_class)
-        held = np.zeros(m, dtype=U)
-        np.add.at(held, mix(often ^ U(0x5851F42D4C957F2D)) % U(m), mix(often + U(0x14057B7EF767814F)))
-        out.append(mix(mix(held + U(pair_class)) + np.arange(m, dtype=U)))
-    return np.unique(np.concatenate(out))
+class Marks:
+    """A bitmap of 64-bit hashes that the driver gathers and tasks test; no false absences."""
 
+    def __init__(self, hashes: DataFrame) -> None:
+        """hashes: one column of longs."""
+        h = F.col(hashes.columns[0])
+        hashes = hashes.where(h.isNotNull()).distinct()
+        self.bits = min(WANTED_BITS, max(10, (32 * hashes.count()).bit_length()))
+        at = F.pmod(h, F.lit(1 << self.bits))
+        words = hashes.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+        words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("w")).toPandas()
+        table = np.zeros((1 << self.bits) // 64, dtype=np.int64)
+        table[words["word"].to_numpy()] = words["w"].to_numpy()
+        self.table = table.view(np.uint8).tobytes()
 
-def parity(t: np.ndarray) -> np.ndarray:
-    """Bit b: whether an odd number of tokens fall to b. As many bits as half the tokens, a power of two."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, len(t) // 2))))
-    odd = np.bincount((t & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    def hold(self, hashed: Column) -> Column:
+        bits, packed = self.bits, self.table
 
+        @F.pandas_udf("boolean")
+        def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            table = np.frombuffer(packed, dtype=np.uint8)
+            for b in batches:
+                at = b.to_numpy(dtype=np.int64) & ((1 << bits) - 1)
+                yield pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-def frequent_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """Which classes are frequent, counted over all documents."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        return held(hashed)
 
-        def counted() -> pd.DataFrame:
-            c, k = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"c": c.astype(np.int32), "n": k.astype(np.int64)})
 
-        for b in batches:
-            for text in b["text"]:
-                t = tokens(text, width)
-                held.append((t >> U(64 - CLASS_BITS)).astype(np.int32))
-                n += len(t)
-            if n > 4_000_000:
-                yield counted()
-                held, n = [], 0
-        if held:
-            yield counted()
-
-    counts = cut(docs.select("text").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")))
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << CLASS_BITS)
-    often = counts.where(F.col("n") > mean + MORE + DEVIATIONS * math.sqrt(mean)).select((F.col("c").cast("long") / 64).cast("int").alias("word"), (F.col("c") % 64).alias("bit"))
-    return marked(often, CLASS_BITS)
-
-
-def marked(rows: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits (word, bit) rows: at most 2**bits / 64 words come to the driver."""
-    words = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("w")).toPandas()
-    out = np.zeros(max(1, (1 << bits) // 64), dtype=np.int64)
-    out[words["word"].to_numpy()] = words["w"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def id_hash(column: str) -> Column:
+    """A null id has a hash too."""
+    return F.xxhash64(F.col(column).isNull(), column)
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, set_id, n, parity, keys) of each document, kept; keys are null for a set seen before in the same task."""
-    packed = np.packbits(frequent_classes(docs, width)).tobytes()
+    """(doc_id, set_id, n, parity, keys) of each document, kept. keys: its prefix by hash; with the bitmap null for a set seen before in the task."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shape, seen = Shape(percent), set()
-        table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        seen: set[int] = set()
         for b in batches:
             rows = []
-            for text in b["text"]:
-                t = tokens(text, width)
+            for t in token_sets_of(b["text"].tolist(), width):
                 if not len(t):
                     rows.append((0, 0, None, None))
                     continue
-                set_id = xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63)
-                keys = None if set_id in seen else index_keys(t, table[(t >> U(64 - CLASS_BITS)).astype(np.int64)], shape).view(np.int64)
-                seen.add(set_id)
-                rows.append((set_id, len(t), parity(t), keys))
+                number = set_number(t)
+                rows.append((number, len(t), None, None) if number in seen else (number, len(t), parity(t), t[: prefix(len(t), percent)].view(np.int64)))
+                seen.add(number)
             out = pd.DataFrame(rows, columns=["set_id", "n", "parity", "keys"])
             out.insert(0, "id", b["id"].to_numpy())
             out.insert(1, "is_null", b["is_null"].to_numpy())
@@ -192,24 +185,87 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # pandas has no null integers: they travel beside the number
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("is_null"), "text")
-    made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, parity array<long>, keys array<long>")
-    return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "parity", "keys"))
+    with batch_rows(docs.sparkSession):
+        made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, parity array<long>, keys array<long>")
+        return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "parity", "keys"))
+
+
+def token_class(key: Column) -> Column:
+    """Its low 32 bits: what is counted and listed."""
+    return key.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def frequent_classes(rows: DataFrame) -> np.ndarray:
+    """Sorted classes of the tokens that more than RARE prefixes hold, or twice as many and so on, so that they are at most LISTED."""
+    counts = cut(rows.select(F.explode("keys").alias("k")).groupBy(token_class(F.col("k")).alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > RARE))
+    least = RARE
+    while counts.where(F.col("n") > least).count() > LISTED:
+        least *= 2
+    return np.sort(counts.where(F.col("n") > least).select("c").toPandas()["c"].to_numpy(dtype=np.uint64))
+
+
+def is_frequent(t: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    if not len(classes):
+        return np.zeros(len(t), dtype=bool)
+    c = t & U(0xFFFFFFFF)
+    return classes[np.minimum(np.searchsorted(classes, c), len(classes) - 1)] == c
+
+
+def entries(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, set_id, n), kept: each set under its keys. A set comes once for each task that saw it."""
+    classes = frequent_classes(rows)
+
+    @F.pandas_udf("boolean")
+    def runs_into_frequent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([bool(is_frequent(np.asarray(k).astype(np.int64).view(U), classes).any()) for k in b], dtype=bool)
+
+    told = rows.where("keys is not null").withColumn("extend", runs_into_frequent("keys"))
+    plain = told.where("not extend").select(F.explode("keys").alias("key"), "set_id", "n")
+    if not len(classes):
+        return keep(plain)
+    extended = Marks(told.where("extend").select(id_hash("doc_id")))
+    small = smallest_paired(percent)
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            keys, numbers, sizes = [], [], []
+            for t in token_sets_of(b["text"].tolist(), width):
+                frequent = is_frequent(t, classes)
+                if not frequent[: prefix(len(t), percent)].any() or (number := set_number(t)) in seen:
+                    continue
+                seen.add(number)
+                keys.append(index_keys(t, frequent, percent, small))
+                numbers.append(np.full(len(keys[-1]), number))
+                sizes.append(np.full(len(keys[-1]), len(t)))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "set_id": np.concatenate(numbers), "n": np.concatenate(sizes)})
+
+    with batch_rows(docs.sparkSession):
+        return keep(plain.unionByName(docs.where(extended.hold(id_hash("doc_id"))).select("text").mapInPandas(extend, "key long, set_id long, n long")))
+
+
+def shared(entries: DataFrame) -> DataFrame:
+    """(key, set_id, n, pivot, members), kept: the entries that two sets hold, with the least of them."""
+    by = entries.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("members")).where("pivot < last").drop("last")
+    return keep(entries.join(by, "key"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, tokens), one row for each row of wanted (doc_id, set_id)."""
-    where = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("at"))
-    packed = np.packbits(marked(where.select((F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).alias("bit")), WANTED_BITS)).tobytes()
+    """(set_id, tokens), kept, one row for each row of wanted (doc_id, set_id)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        seen: set[int] = set()
         for b in batches:
-            b = b[table[b["at"].to_numpy(dtype=np.int64)]]
-            found = [t for t in (tokens(x, width) for x in b["text"]) if len(t)]
-            yield pd.DataFrame({"set_id": pd.Series([xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63) for t in found], dtype="int64"), "tokens": pd.Series([t.view(np.int64) for t in found], dtype=object)})
+            found = [(set_number(t), t) for t in token_sets_of(b["text"].tolist(), width) if len(t)]
+            found = [(number, t) for number, t in found if not (number in seen or seen.add(number))]
+            yield pd.DataFrame({"set_id": pd.Series([x for x, _ in found], dtype="int64"), "tokens": pd.Series([t.view(np.int64) for _, t in found], dtype=object)})
 
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS)).alias("at")).mapInPandas(of, "set_id long, tokens array<long>")
-    return rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    held = Marks(wanted.select(id_hash("doc_id")))
+    with batch_rows(docs.sparkSession):
+        rows = docs.where(held.hold(id_hash("doc_id"))).select("text").mapInPandas(of, "set_id long, tokens array<long>")
+        return keep(rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
 
 def may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
@@ -219,38 +275,52 @@ def may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and (100 + {percent}) * {differ} <= (100 - {percent}) * ({n} + {m})")
 
 
-def linked(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar enough. sets: (set_id, rep, n, parity)."""
+def candidates(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of shared(): members of small entries with each other, of large ones with the pivot, whose sizes and bitmaps allow a link."""
+    small = found.where(F.col("members") <= PAIRED).select("key", F.col("set_id").alias("a"), "n")
+    other = small.select("key", F.col("a").alias("b"), F.col("n").alias("m"))
+    pairs = small.join(other, "key").where(f"a < b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b")
+    star = found.where((F.col("members") > PAIRED) & (F.col("set_id") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
     side = lambda k: sets.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "parity")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("n_a", "parity_a", "n_b", "parity_b", percent))
-    near = cut(near.select("a", "b"))
-    if near.isEmpty():
-        return near
-    ends = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(sets.select("set_id", F.col("rep").alias("doc_id")), "set_id")
-    held = cut(token_sets(docs, ends, width))
-    both = near.join(held.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a").join(held.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
-    shared = both.select("a", "b", F.size("s").alias("x"), F.size("t").alias("y"), F.size(F.array_intersect("s", "t")).alias("o"))
-    return cut(shared.where(f"100 * o >= {percent} * (x + y - o)").select("a", "b"))
+    both = pairs.unionByName(star).distinct().join(side("a"), "a").join(side("b"), "b")
+    return cut(both.where(may_link("n_a", "parity_a", "n_b", "parity_b", percent)).select("a", "b"))
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs but for the rows whose id is among ids (one column, no nulls); rows of null id stay.
+def similar(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    both = pairs.join(held.select(F.col("set_id").alias("a"), F.col("tokens").alias("s")), "a").join(held.select(F.col("set_id").alias("b"), F.col("tokens").alias("t")), "b")
+    told = both.select("a", "b", F.size("s").alias("x"), F.size("t").alias("y"), F.size(F.array_intersect("s", "t")).alias("o"))
+    return cut(told.where(f"100 * o >= {percent} * (x + y - o)").select("a", "b"))
+
+
+def difference_keys(stars: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(key, set_id, n) of members of large entries; stars: (pivot, set_id). Key: the pivot and a token of a prefix of the difference.
 
-    A bitmap of fixed size tells most rows that stay without moving them; only rows it cannot clear are joined
-    with the ids. The more ids it holds, the more rows are joined; the result is the same.
+    Sets x and y in different components are similar only if |x^y| <= c (|x| + |y|), c = (100 - percent) / (100 +
+    percent). With d(x) = |x^p|, the differences share s = (d(x) + d(y) - |x^y|) / 2 tokens. Were both near the
+    pivot, d <= c (|p| + |set|), they would be in its component. So a near one shares more than
+    (d(x) + c (|p| - |x|)) / 2 with any y. A far one shares at least (d(x) - c (|x| + |p|)) / (1 + c), as
+    |y| <= |p| + d(y) and d(y) >= s. A prefix of d - s + 1 tokens, those that the pivot lacks first, meets the other's.
     """
-    at = F.pmod(F.xxhash64(id_col), F.lit(1 << WANTED_BITS))
-    packed = np.packbits(marked(ids.select(F.col(ids.columns[0]).alias(id_col)).select(at.alias("at")).select((F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).alias("bit")), WANTED_BITS)).tobytes()
+    both = stars.join(held.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("p")), "pivot").join(held.withColumnRenamed("tokens", "x"), "set_id")
+    parts = both.select("pivot", "set_id", F.size("x").alias("n"), F.size("p").alias("q"), F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
+    parts = parts.withColumn("d", F.size("more") + F.size("less"))
+    plus, minus = 100 + percent, 100 - percent
+    shares = F.expr(f"if({plus} * d <= {minus} * (n + q), cast(floor(({plus} * d + {minus} * (q - n)) / {2 * plus}) as int) + 1, greatest(1, cast(ceil(({plus} * d - {minus} * (n + q)) / 200) as int)))")
+    kept = parts.withColumn("t", F.slice(F.concat("more", "less"), F.lit(1), F.greatest(F.lit(1), F.col("d") - shares + 1)))
+    return kept.select("pivot", "set_id", F.col("n").cast("long").alias("n"), F.explode("t").alias("t")).select(F.xxhash64("pivot", "t").alias("key"), "set_id", "n")
 
-    @F.pandas_udf("boolean")
-    def doubtful(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
-        for b in batches:
-            yield pd.Series(table[b.to_numpy(dtype=np.int64)])
 
-    told = docs.withColumn("_doubtful", doubtful(at))
-    rest = told.where("_doubtful").join(ids.select(F.col(ids.columns[0]).alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
-    return told.where("not _doubtful").unionByName(rest).drop("_doubtful")
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose id is among ids (one column, no nulls); rows of null id stay, and all columns.
+
+    A bitmap tells most rows that stay without moving them; only rows it cannot clear are joined with the ids.
+    """
+    listed = ids.select(F.col(ids.columns[0]).alias(id_col))
+    doubtful, gone = free_name(docs, "_doubtful"), free_name(docs, "_gone")
+    told = docs.withColumn(doubtful, Marks(listed.select(id_hash(id_col))).hold(id_hash(id_col)))
+    rest = told.where(F.col(doubtful)).join(listed.withColumnRenamed(id_col, gone), F.col(id_col) == F.col(gone), "left_anti")
+    return told.where(~F.col(doubtful)).unionByName(rest).drop(doubtful)
 
 
 def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,33 +329,36 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     component_id is the smallest id reachable by links. Nulls and empty texts: a text without a word has an empty
     set, links with nothing, and is its own component; a null id is no component's name unless all are null.
     Texts of any length are read whole. Equal sets are one vertex, so copies are never paired. Repeated rows stay
-    rows. Extra columns are not carried. Empty in, empty out.
+    rows. Extra columns, whatever their names, are not carried. Empty in, empty out.
     """
-    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = profiles(docs, width, percent)
-    sets = cut(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parity").alias("parity")))
-    keys = rows.where("keys is not null").select("set_id", F.explode("keys").alias("key"))
-    # one member of each entry, another one in each, is compared with the others of the entry
-    entry = Window.partitionBy("key")
-    pivot = F.min(F.struct(F.xxhash64("set_id", "key").alias("h"), "set_id")).over(entry)
-    shared = keep(keys.withColumns({"pivot": pivot, "low": F.min("set_id").over(entry), "high": F.max("set_id").over(entry)}).where("low < high").select("key", "set_id", F.col("pivot.set_id").alias("a")))
-    star = shared.where("a <> set_id").select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
-    first = linked(docs, sets, star, width, percent)
-    labels = components(first)
-    placed = keep(shared.select("key", "set_id").distinct().join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("c", "set_id").alias("c")))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = placed.join(mixed, "key").join(sets.select("set_id", "n", "parity"), "set_id").select("key", F.col("set_id").alias("a"), "c", "n", "parity")
-    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("parity").alias("other"))
-    # the bitmaps are compared within the join: pairs that cannot link are never made
-    cross = left.join(right, "key").where("a < b and c <> d").where(may_link("n", "parity", "m", "other", percent)).select("a", "b").distinct()
-    second = linked(docs, sets, cross.join(star, ["a", "b"], "left_anti"), width, percent)
-    named = cut(sets.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c")))
-    if not second.isEmpty():
-        # the second links join components of the first: a graph of these alone
-        side = lambda k: named.select(F.col("set_id").alias(k), F.col("c").alias(f"c_{k}"))
-        merged = components(second.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-        named = named.join(merged.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left").select("set_id", "rep", F.coalesce("d", "c").alias("c"))
+    reps = cut(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
+    indexed = entries(docs, rows, width, percent)
+    found = shared(indexed)
+    discard(indexed)
+    sets = rows.where("keys is not null").select("set_id", "n", "parity").dropDuplicates(["set_id"])
+    sets = cut(sets.join(found.select("set_id").distinct(), "set_id", "left_semi"))
+    pairs = candidates(found, sets, percent)
+    large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(large.select("set_id")).distinct()
+    held = token_sets(docs, cut(ends.join(reps, "set_id").select("set_id", F.col("rep").alias("doc_id"))), width)
+    links = similar(pairs, held, percent)
+    labels = components(links)
+    while True:
+        # members of large entries, but for the pivot, that are in different components
+        placed = large.where("set_id <> pivot").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        stars = cut(placed.join(mixed, "key").select("pivot", "set_id").distinct())
+        discard(found)
+        if stars.isEmpty():
+            break
+        found = shared(difference_keys(stars, held, percent))
+        links = cut(links.unionByName(similar(candidates(found, sets, percent), held, percent)))
+        labels = components(links)
+        large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
+    discard(held)
+    named = reps.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(lowest, "c").select("set_id", "component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -259,26 +259,71 @@ def brute_components(rows, width, percent):
     return {i: (len(s), low[root(k)]) for k, (i, s) in enumerate(sets)}
 
 
-@pytest.mark.parametrize("width,percent,more", [(3, 90, 256), (5, 80, 256), (3, 90, 0), (5, 80, 0), (3, 60, 2)])
-def test_join_is_brute_force(spark, width, percent, more):
-    rng = random.Random(percent + more)
+def edited(rng, base, edits):
+    t = list(base)
+    for _ in range(edits):
+        t[rng.randrange(len(t))] = f"e{rng.randrange(9999)}"
+    return " ".join(t)
+
+
+def joined(docs, width, percent, rare=8, paired=8):
+    kept = ngram_join.RARE, ngram_join.PAIRED
+    ngram_join.RARE, ngram_join.PAIRED = rare, paired
+    try:
+        return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, width, percent).collect()}
+    finally:
+        ngram_join.RARE, ngram_join.PAIRED = kept
+
+
+@pytest.mark.parametrize("width,percent,rare,paired", [(5, 80, 8, 8), (3, 90, 1, 2), (1, 50, 4, 4)])
+def test_join_is_brute_force(spark, width, percent, rare, paired):
+    rng = random.Random(percent + rare)
     passage = words(rng, 60)
     texts = [None, "", " ", "one", "ONE", "one two", "One  Two", "a b c", "a b c", "É b c", "é b c"]
     for _ in range(14):
         base = words(rng, rng.randrange(8, 300)).split()
         texts.append(" ".join(base))
-        for _ in range(rng.randrange(6)):
-            t = list(base)
-            for _ in range(rng.randrange(1 + len(t) // 25)):
-                t[rng.randrange(len(t))] = f"e{rng.randrange(9999)}"
-            texts.append(" ".join(t))
+        texts += [edited(rng, base, rng.randrange(1 + len(base) // 25)) for _ in range(rng.randrange(6))]
     texts += [words(rng, 30) + " " + passage for _ in range(10)]
-    ngram_join.MORE, ngram_join.DEVIATIONS, kept = more, 6 if more else -50, (ngram_join.MORE, ngram_join.DEVIATIONS)
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs_of(spark, texts, 100).withColumn("set_id", F.lit(0)), width, percent).collect()}
-    finally:
-        ngram_join.MORE, ngram_join.DEVIATIONS = kept
-    assert got == brute_components([(100 + i, t) for i, t in enumerate(texts)], width, percent)
+    docs = docs_of(spark, texts, 100).withColumn("set_id", F.lit(0)).withColumn("pivot", F.lit("x"))
+    assert joined(docs, width, percent, rare, paired) == brute_components([(100 + i, t) for i, t in enumerate(texts)], width, percent)
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90)])
+def test_large_groups_of_near_copies_are_brute_force(spark, width, percent):
+    rng = random.Random(width)
+    texts = []
+    for size in (90, 60, 40):  # families that share a line, members at every distance around the threshold
+        base = words(rng, 100).split() + ["the", "same", "line", "in", "all"] * 2
+        texts += [edited(rng, base, rng.randrange(7)) for _ in range(size)]
+    rng.shuffle(texts)
+    assert joined(docs_of(spark, texts), width, percent, 4, 3) == brute_components(list(enumerate(texts)), width, percent)
+
+
+def test_disjoint_sets_of_frequent_tokens_share_no_key():
+    rng = np.random.default_rng(1)
+    small = ngram_join.smallest_paired(80)
+    keys = [ngram_join.index_keys(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)), np.ones(300, dtype=bool), 80, small) for _ in range(200)]
+    assert len(np.unique(np.concatenate(keys))) == sum(map(len, keys))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([55, 60, 80, 90, 95]))
+def test_similar_sets_share_a_key(seed, percent):
+    rng = random.Random(seed)
+    n = rng.randrange(1, 80)
+    common = [rng.getrandbits(64) for _ in range(n)]
+    more = [rng.getrandbits(64) for _ in range(rng.randrange(0, 2 + 100 * n // percent - n))]
+    cut = rng.randrange(len(more) + 1)
+    a, b = (np.unique(np.array(common + x, dtype=np.uint64)) for x in (more[:cut], more[cut:]))
+    assert 100 * n >= percent * len(set(common + more)) or len(more) == 1 + 100 * n // percent - n
+    if 100 * n < percent * len(set(common + more)):
+        return
+    share = rng.random()
+    often = {x for x in common + more if rng.random() < share}
+    small = ngram_join.smallest_paired(percent)
+    x, y = (set(ngram_join.index_keys(t, np.array([int(v) in often for v in t], dtype=bool), percent, small).tolist()) for t in (a, b))
+    assert x & y
 
 
 def test_join_edges(spark):
@@ -287,17 +332,6 @@ def test_join_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.jaccard_components(df).collect()) == [(0, 0), (0, 3), (3, 3), (3, 3)]
 
 
-def test_shapes():
-    for percent in (60, 80, 90, 95):
-        s = ngram_join.Shape(percent)
-        for n in range(1, 900):
-            m = 100 * n // percent
-            assert s.size_class(m) - s.size_class(n) <= 1
-            for k in {n, (n + m) // 2, m}:
-                c = max(s.size_class(n), s.size_class(k))
-                assert (100 - percent) * (n + k) // (100 + percent) + 1 <= s.segments(c)
-
-
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.v: r.c for r in components.components(edges).collect()}
