@@ -2,17 +2,20 @@
 
 Token-combination prefixes. A token is the 64-bit hash of an n-gram; a document is its set of tokens.
 
-* Every set is ordered rare tokens first, then by hash. Two similar sets share a token of their prefixes, and a
-  prefix of rare tokens indexes each of them singly. A token is frequent if more than RARE sets hold it in the
-  prefix by hash alone; that is counted over all documents.
-* A set whose prefix runs into frequent tokens extends it over all its frequent tokens and indexes combinations of
-  k = 2 of them: the pairs that follow each other in hash order. A token that two sets do not share breaks at most
-  two pairs of its own set and one of the other's, so two similar sets also share pairs, and a prefix of the pairs
-  (by their hash) is enough again. That is 2 (1 - t) n + 1 pairs for n tokens at threshold t; all pairs of the
-  extended prefix would be some ((1 - t) n)^2 / 2 (180,300 for 3,000 tokens at 0.8 instead of 1,201).
-
-No pair of similar sets is lost. If one prefix is all rare, the shared token is rare and indexed by both. Else both
-sets index all their rare tokens: they share one, or none, and then all they share is frequent, and a pair is shared.
+* Tokens whose hash is in the lowest part (zone()) are counted over all documents. A token is unique if one set holds
+  it, rare if at most RARE do, frequent if more do or it was not counted. Every set is ordered unique, rare, frequent
+  tokens, each by hash. Two similar sets share a token of their prefixes; while a prefix holds no frequent token each
+  of its rare ones is indexed singly. Unique tokens take their place in the prefix but need no entry, so that most
+  documents without a near copy have none.
+* A set whose prefix runs into frequent tokens extends it over all of them and indexes combinations of k = 2: the
+  pairs that follow each other in hash order. A token that two sets do not share breaks at most two pairs of its own
+  set and one of the other's, so two similar sets also share pairs, and a prefix of the pairs (by their hash) is
+  enough again. That is 2 (1 - t) n + 1 pairs for n tokens at threshold t; all pairs of the extended prefix would be
+  some ((1 - t) n)^2 / 2 (180,300 for 3,000 tokens at 0.8 instead of 1,201).
+
+No pair of similar sets is lost. If one prefix holds no frequent token, the shared token is rare and indexed by both.
+Else both sets index all their rare tokens: they share one, or none, and then all they share is frequent, and a pair
+is shared.
 
 Entries of at most PAIRED sets are paired. The members of larger ones are compared with one of them, the pivot, and
 those that are still in different components are told apart by what distinguishes them from it: if x and y are
@@ -37,14 +40,14 @@ from foldlog.llm.common import batch_rows, free_name
 from foldlog.llm.components import components
 from foldlog.session import cut, discard, keep
 
-#: A token is frequent if more sets than this hold it in their prefix. Doubled until no more than LISTED tokens are,
-#: as their list (8 bytes each) goes to every task.
+#: A token is frequent if more sets than this hold it. Doubled until no more than LISTED tokens are, as their list
+#: (8 bytes each) goes to every task.
 RARE, LISTED = 8, 1_000_000
 #: Entries of at most so many sets are paired; larger ones go by pivots and differences.
-PAIRED = 8
-#: Bits of the bitmap that says which documents a later pass reads: 32 for each wanted one, 2**28 (32 MB) at most.
-#: Where that is not enough more documents are read than need be.
-WANTED_BITS = 28
+PAIRED = 32
+#: Bits of the bitmaps that say which tokens are not unique and which documents a later pass reads: 32 for each, 2**28
+#: (32 MB) at most. Where that is not enough more tokens are indexed, or documents read, than need be.
+MARK_BITS = 28
 
 U = np.uint64
 _word = xxhash.xxh64_intdigest
@@ -96,6 +99,11 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def zone(percent: int) -> float:
+    """The part of all tokens, by hash, that is counted: two and a half prefixes."""
+    return min(1.0, (100 - percent) / 40)
+
+
 def smallest_paired(percent: int) -> float:
     """Sets of at most this size may share no pair with a similar set; infinite where none need to."""
     if 2 * percent <= 100:
@@ -104,19 +112,20 @@ def smallest_paired(percent: int) -> float:
     return max((n for n in range(1, most + 1) if n - 1 - 2 * (100 - percent) * n // 100 < 1), default=0)
 
 
-def index_keys(t: np.ndarray, frequent: np.ndarray, percent: int, small: float) -> np.ndarray:
-    """Keys under which a set is indexed. frequent: for each token, whether it is; small: smallest_paired(percent)."""
+def index_keys(t: np.ndarray, unique: np.ndarray, frequent: np.ndarray, percent: int, small: float) -> np.ndarray:
+    """Keys under which a set is indexed. unique, frequent: for each token, whether it is; small: smallest_paired(percent)."""
     n = len(t)
-    p = prefix(n, percent)
-    rare = t[~frequent]
-    if len(rare) >= p:
-        return rare[:p]
+    rare = t[~(unique | frequent)]
+    left = prefix(n, percent) - int(unique.sum())
+    if len(rare) >= left:
+        return rare[: max(0, left)]
+    left -= len(rare)
     often, out = t[frequent], [rare]
     if n * percent <= 100 * small:
-        out.append(often[: p - len(rare)])
+        out.append(often[:left])
     if n > small:
         pairs = np.sort(mix(mix(often[:-1]) + often[1:]))
-        out.append(pairs[: 2 * (100 - percent) * n // 100 - 2 * len(rare) + 1])
+        out.append(pairs[: 2 * (100 - percent) * n // 100 - 2 * (n - len(often)) + 1])
     return np.concatenate(out)
 
 
@@ -138,7 +147,7 @@ class Marks:
         """hashes: one column of longs."""
         h = F.col(hashes.columns[0])
         hashes = hashes.where(h.isNotNull()).distinct()
-        self.bits = min(WANTED_BITS, max(10, (32 * hashes.count()).bit_length()))
+        self.bits = min(MARK_BITS, max(10, (32 * hashes.count()).bit_length()))
         at = F.pmod(h, F.lit(1 << self.bits))
         words = hashes.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
         words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("w")).toPandas()
@@ -146,15 +155,15 @@ class Marks:
         table[words["word"].to_numpy()] = words["w"].to_numpy()
         self.table = table.view(np.uint8).tobytes()
 
-    def hold(self, hashed: Column) -> Column:
-        bits, packed = self.bits, self.table
+    def test(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.int64) & ((1 << self.bits) - 1)
+        return (np.frombuffer(self.table, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
+    def hold(self, hashed: Column) -> Column:
         @F.pandas_udf("boolean")
         def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            table = np.frombuffer(packed, dtype=np.uint8)
             for b in batches:
-                at = b.to_numpy(dtype=np.int64) & ((1 << bits) - 1)
-                yield pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+                yield pd.Series(self.test(b.to_numpy()))
 
         return held(hashed)
 
@@ -164,21 +173,72 @@ def id_hash(column: str) -> Column:
     return F.xxhash64(F.col(column).isNull(), column)
 
 
+class Kinds:
+    """Which tokens are unique and which frequent, from counts of the zone's tokens over all documents."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
+        edge = self.edge = U(min(2**64 - 1, int(zone(percent) * 2**64)))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
+            held, n = [], 0
+
+            def counted() -> pd.DataFrame:
+                c, k = np.unique(np.concatenate(held), return_counts=True)
+                return pd.DataFrame({"c": c.astype(np.int64), "n": k.astype(np.int64)})
+
+            for b in batches:
+                for t in token_sets_of(b["text"].tolist(), width):
+                    if len(t) and (number := set_number(t)) not in seen:
+                        seen.add(number)
+                        held.append(token_class(t[: np.searchsorted(t, edge, side="right")]))
+                        n += len(held[-1])
+                if n > 2_000_000:
+                    yield counted()
+                    held, n = [], 0
+            if held:
+                yield counted()
+
+        with batch_rows(docs.sparkSession):
+            made = docs.select("text").mapInPandas(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+            counts = keep(made.where("n > 1"))
+        self.repeated = Marks(counts.select("c"))
+        least = RARE
+        while counts.where(F.col("n") > least).count() > LISTED:
+            least *= 2
+        self.often = np.sort(counts.where(F.col("n") > least).select("c").toPandas()["c"].to_numpy(dtype=np.uint64))
+        discard(counts)
+
+    def of(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether unique, whether frequent) of sorted tokens."""
+        k = np.searchsorted(t, self.edge, side="right")
+        c = token_class(t[:k])
+        unique, frequent = np.zeros(len(t), dtype=bool), np.ones(len(t), dtype=bool)
+        unique[:k] = ~self.repeated.test(c)
+        frequent[:k] = self.often[np.minimum(np.searchsorted(self.often, c), len(self.often) - 1)] == c if len(self.often) else False
+        return unique, frequent
+
+
+def token_class(t: np.ndarray) -> np.ndarray:
+    """The low 32 bits: what is counted and listed."""
+    return t & U(0xFFFFFFFF)
+
+
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, set_id, n, parity, keys) of each document, kept. keys: its prefix by hash; with the bitmap null for a set seen before in the task."""
+    """(doc_id, set_id, n, level, parity, keys) of each document, kept. level: tokens that are not frequent; bitmap and keys are null for a set without keys, or seen before in the task."""
+    kinds, small = Kinds(docs, width, percent), smallest_paired(percent)
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
             rows = []
             for t in token_sets_of(b["text"].tolist(), width):
-                if not len(t):
-                    rows.append((0, 0, None, None))
-                    continue
-                number = set_number(t)
-                rows.append((number, len(t), None, None) if number in seen else (number, len(t), parity(t), t[: prefix(len(t), percent)].view(np.int64)))
+                number = set_number(t) if len(t) else 0
+                unique, frequent = kinds.of(t)
+                keys = index_keys(t, unique, frequent, percent, small) if len(t) and number not in seen else t[:0]
                 seen.add(number)
-            out = pd.DataFrame(rows, columns=["set_id", "n", "parity", "keys"])
+                rows.append((number, len(t), len(t) - int(frequent.sum()), *((parity(t), keys.view(np.int64)) if len(keys) else (None, None))))
+            out = pd.DataFrame(rows, columns=["set_id", "n", "level", "parity", "keys"])
             out.insert(0, "id", b["id"].to_numpy())
             out.insert(1, "is_null", b["is_null"].to_numpy())
             yield out
@@ -186,70 +246,18 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # pandas has no null integers: they travel beside the number
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("is_null"), "text")
     with batch_rows(docs.sparkSession):
-        made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, parity array<long>, keys array<long>")
-        return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "parity", "keys"))
-
-
-def token_class(key: Column) -> Column:
-    """Its low 32 bits: what is counted and listed."""
-    return key.bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def frequent_classes(rows: DataFrame) -> np.ndarray:
-    """Sorted classes of the tokens that more than RARE prefixes hold, or twice as many and so on, so that they are at most LISTED."""
-    counts = cut(rows.select(F.explode("keys").alias("k")).groupBy(token_class(F.col("k")).alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > RARE))
-    least = RARE
-    while counts.where(F.col("n") > least).count() > LISTED:
-        least *= 2
-    return np.sort(counts.where(F.col("n") > least).select("c").toPandas()["c"].to_numpy(dtype=np.uint64))
-
-
-def is_frequent(t: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    if not len(classes):
-        return np.zeros(len(t), dtype=bool)
-    c = t & U(0xFFFFFFFF)
-    return classes[np.minimum(np.searchsorted(classes, c), len(classes) - 1)] == c
-
-
-def entries(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, set_id, n), kept: each set under its keys. A set comes once for each task that saw it."""
-    classes = frequent_classes(rows)
-
-    @F.pandas_udf("boolean")
-    def runs_into_frequent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series([bool(is_frequent(np.asarray(k).astype(np.int64).view(U), classes).any()) for k in b], dtype=bool)
-
-    told = rows.where("keys is not null").withColumn("extend", runs_into_frequent("keys"))
-    plain = told.where("not extend").select(F.explode("keys").alias("key"), "set_id", "n")
-    if not len(classes):
-        return keep(plain)
-    extended = Marks(told.where("extend").select(id_hash("doc_id")))
-    small = smallest_paired(percent)
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for b in batches:
-            keys, numbers, sizes = [], [], []
-            for t in token_sets_of(b["text"].tolist(), width):
-                frequent = is_frequent(t, classes)
-                if not frequent[: prefix(len(t), percent)].any() or (number := set_number(t)) in seen:
-                    continue
-                seen.add(number)
-                keys.append(index_keys(t, frequent, percent, small))
-                numbers.append(np.full(len(keys[-1]), number))
-                sizes.append(np.full(len(keys[-1]), len(t)))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "set_id": np.concatenate(numbers), "n": np.concatenate(sizes)})
-
-    with batch_rows(docs.sparkSession):
-        return keep(plain.unionByName(docs.where(extended.hold(id_hash("doc_id"))).select("text").mapInPandas(extend, "key long, set_id long, n long")))
+        made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, level long, parity array<long>, keys array<long>")
+        return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "level", "parity", "keys"))
 
 
 def shared(entries: DataFrame) -> DataFrame:
-    """(key, set_id, n, pivot, members), kept: the entries that two sets hold, with the least of them."""
-    by = entries.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("members")).where("pivot < last").drop("last")
-    return keep(entries.join(by, "key"))
+    """(key, set_id, n, pivot, members), kept, of (key, set_id, n, level): the entries that two sets hold.
+
+    The pivot is the set with the fewest tokens that are not frequent: of a group of near copies, one with few edits.
+    """
+    by = entries.groupBy("key").agg(F.min(F.struct("level", "set_id")).alias("first"), F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("members"))
+    by = by.where("low < high").select("key", F.col("first.set_id").alias("pivot"), "members")
+    return keep(entries.select("key", "set_id", "n").join(by, "key"))
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -280,7 +288,7 @@ def candidates(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     small = found.where(F.col("members") <= PAIRED).select("key", F.col("set_id").alias("a"), "n")
     other = small.select("key", F.col("a").alias("b"), F.col("n").alias("m"))
     pairs = small.join(other, "key").where(f"a < b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b")
-    star = found.where((F.col("members") > PAIRED) & (F.col("set_id") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
+    star = found.where((F.col("members") > PAIRED) & (F.col("set_id") != F.col("pivot"))).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
     side = lambda k: sets.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "parity")))
     both = pairs.unionByName(star).distinct().join(side("a"), "a").join(side("b"), "b")
     return cut(both.where(may_link("n_a", "parity_a", "n_b", "parity_b", percent)).select("a", "b"))
@@ -293,22 +301,51 @@ def similar(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return cut(told.where(f"100 * o >= {percent} * (x + y - o)").select("a", "b"))
 
 
-def difference_keys(stars: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(key, set_id, n) of members of large entries; stars: (pivot, set_id). Key: the pivot and a token of a prefix of the difference.
+def ranked(held: DataFrame, large: DataFrame) -> DataFrame:
+    """(set_id, level, alone, few, many), kept, of the sets of large (set_id, level).
+
+    Their tokens by how many of these sets hold them: how many one alone holds, those that a few hold, and the others.
+    """
+    each = held.join(large, "set_id").select("set_id", "level", F.explode("tokens").alias("t"))
+    counts = each.groupBy("t").agg(F.count("*").alias("df"))
+    part = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("t"))))
+    df = F.col("df")
+    return keep(each.join(counts, "t").groupBy("set_id", "level").agg(F.count(F.when(df == 1, 1)).alias("alone"), part((df > 1) & (df <= RARE)).alias("few"), part(df > RARE).alias("many")))
+
+
+def difference_keys(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, set_id, n, level), kept, of members of large entries. stars: (pivot, set_id); sets: ranked(). Key: the pivot and a token of a prefix of the difference.
 
     Sets x and y in different components are similar only if |x^y| <= c (|x| + |y|), c = (100 - percent) / (100 +
-    percent). With d(x) = |x^p|, the differences share s = (d(x) + d(y) - |x^y|) / 2 tokens. Were both near the
-    pivot, d <= c (|p| + |set|), they would be in its component. So a near one shares more than
-    (d(x) + c (|p| - |x|)) / 2 with any y. A far one shares at least (d(x) - c (|x| + |p|)) / (1 + c), as
-    |y| <= |p| + d(y) and d(y) >= s. A prefix of d - s + 1 tokens, those that the pivot lacks first, meets the other's.
+    percent). With d(x) = |x^p|, the differences share s = (d(x) + d(y) - |x^y|) / 2 tokens. A set is near the pivot if
+    d <= c (|p| + |set|); two near ones are in its component.
+
+    * y is far: then x, near or far, shares more than (d(x) + c (|p| - |x|)) / 2 with it;
+    * x is far and y near: x shares at least (d(x) - c (|x| + |p|)) / (1 + c), as |y| <= |p| + d(y) and d(y) >= s.
+
+    Prefixes of d - s + 1 tokens, the rarest first, meet; a token that one set alone holds keeps its place but is no
+    key. Far sets meet under keys of their own, and near ones under keys that a near one holds.
     """
-    both = stars.join(held.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("p")), "pivot").join(held.withColumnRenamed("tokens", "x"), "set_id")
-    parts = both.select("pivot", "set_id", F.size("x").alias("n"), F.size("p").alias("q"), F.array_except("x", "p").alias("more"), F.array_except("p", "x").alias("less"))
-    parts = parts.withColumn("d", F.size("more") + F.size("less"))
+    side = lambda name, short: sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{short}") for c in ("level", "alone", "few", "many")))
+    both = stars.join(side("pivot", "p"), "pivot").join(side("set_id", "x"), "set_id")
+    size = lambda k: F.col(f"alone_{k}") + F.size(f"few_{k}") + F.size(f"many_{k}")
+    apart = lambda c: F.array_sort(F.concat(F.array_except(f"{c}_x", f"{c}_p"), F.array_except(f"{c}_p", f"{c}_x")))
+    parts = both.select("pivot", "set_id", F.col("level_x").alias("level"), size("x").alias("n"), size("p").alias("q"), (F.col("alone_x") + F.col("alone_p")).alias("alone"), F.concat(apart("few"), apart("many")).alias("t"))
+    parts = parts.withColumn("d", F.col("alone") + F.size("t"))
     plus, minus = 100 + percent, 100 - percent
-    shares = F.expr(f"if({plus} * d <= {minus} * (n + q), cast(floor(({plus} * d + {minus} * (q - n)) / {2 * plus}) as int) + 1, greatest(1, cast(ceil(({plus} * d - {minus} * (n + q)) / 200) as int)))")
-    kept = parts.withColumn("t", F.slice(F.concat("more", "less"), F.lit(1), F.greatest(F.lit(1), F.col("d") - shares + 1)))
-    return kept.select("pivot", "set_id", F.col("n").cast("long").alias("n"), F.explode("t").alias("t")).select(F.xxhash64("pivot", "t").alias("key"), "set_id", "n")
+    near = F.expr(f"{plus} * d <= {minus} * (n + q)")
+    short = F.expr(f"d - cast(floor(({plus} * d + {minus} * (q - n)) / {2 * plus}) as int)")
+    long = F.expr(f"d - greatest(1, cast(ceil(({plus} * d - {minus} * (n + q)) / 200) as int)) + 1")
+    first = lambda length: F.slice("t", F.lit(1), F.greatest(F.lit(0), length - F.col("alone")).cast("int"))
+    parts = keep(parts.select("pivot", "set_id", "n", "level", near.alias("near"), first(short).alias("short"), F.when(~near, first(long)).alias("long")))
+    each = lambda which, tokens: parts.where(which).select("pivot", F.explode(tokens).alias("t"), "set_id", "n", "level")
+    of_near = each("near", "short")
+    meets = each("not near", "long").join(of_near.select("pivot", "t").distinct(), ["pivot", "t"], "left_semi")
+    keyed = [(of_near.unionByName(meets), "near"), (each("not near", "short"), "far")]
+    one, other = (rows.select(F.xxhash64("pivot", "t", F.lit(tag)).alias("key"), "set_id", "n", "level") for rows, tag in keyed)
+    out = keep(one.unionByName(other))
+    discard(parts)
+    return out
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -334,18 +371,17 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = profiles(docs, width, percent)
     reps = cut(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
-    indexed = entries(docs, rows, width, percent)
-    found = shared(indexed)
-    discard(indexed)
-    sets = rows.where("keys is not null").select("set_id", "n", "parity").dropDuplicates(["set_id"])
+    found = shared(rows.where("keys is not null").select(F.explode("keys").alias("key"), "set_id", "n", "level"))
+    sets = rows.where("keys is not null").select("set_id", "n", "level", "parity").dropDuplicates(["set_id"])
     sets = cut(sets.join(found.select("set_id").distinct(), "set_id", "left_semi"))
     pairs = candidates(found, sets, percent)
     large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(large.select("set_id")).distinct()
     held = token_sets(docs, cut(ends.join(reps, "set_id").select("set_id", F.col("rep").alias("doc_id"))), width)
     links = similar(pairs, held, percent)
-    labels = components(links)
-    while True:
+    by_rank = None
+    while not large.isEmpty():
+        labels = components(links)
         # members of large entries, but for the pivot, that are in different components
         placed = large.where("set_id <> pivot").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -353,11 +389,16 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
         discard(found)
         if stars.isEmpty():
             break
-        found = shared(difference_keys(stars, held, percent))
+        by_rank = by_rank or ranked(held, sets.select("set_id", "level").join(large.select("set_id").distinct(), "set_id", "left_semi"))
+        keyed = difference_keys(stars, by_rank, percent)
+        found = shared(keyed)
+        discard(keyed)
         links = cut(links.unionByName(similar(candidates(found, sets, percent), held, percent)))
-        labels = components(links)
         large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
-    discard(held)
+    labels = components(links)
+    for kept in (held, by_rank):
+        if kept is not None:
+            discard(kept)
     named = reps.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(lowest, "c").select("set_id", "component_id"))

@@ -266,7 +266,7 @@ def edited(rng, base, edits):
     return " ".join(t)
 
 
-def joined(docs, width, percent, rare=8, paired=8):
+def joined(docs, width, percent, rare=8, paired=32):
     kept = ngram_join.RARE, ngram_join.PAIRED
     ngram_join.RARE, ngram_join.PAIRED = rare, paired
     try:
@@ -303,7 +303,7 @@ def test_large_groups_of_near_copies_are_brute_force(spark, width, percent):
 def test_disjoint_sets_of_frequent_tokens_share_no_key():
     rng = np.random.default_rng(1)
     small = ngram_join.smallest_paired(80)
-    keys = [ngram_join.index_keys(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)), np.ones(300, dtype=bool), 80, small) for _ in range(200)]
+    keys = [ngram_join.index_keys(np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)), np.zeros(300, dtype=bool), np.ones(300, dtype=bool), 80, small) for _ in range(200)]
     assert len(np.unique(np.concatenate(keys))) == sum(map(len, keys))
 
 
@@ -321,8 +321,10 @@ def test_similar_sets_share_a_key(seed, percent):
         return
     share = rng.random()
     often = {x for x in common + more if rng.random() < share}
+    alone = {x for x in more if x not in often and rng.random() < 0.5}
     small = ngram_join.smallest_paired(percent)
-    x, y = (set(ngram_join.index_keys(t, np.array([int(v) in often for v in t], dtype=bool), percent, small).tolist()) for t in (a, b))
+    has = lambda t, which: np.array([int(v) in which for v in t], dtype=bool)
+    x, y = (set(ngram_join.index_keys(t, has(t, alone), has(t, often), percent, small).tolist()) for t in (a, b))
     assert x & y
 
 
