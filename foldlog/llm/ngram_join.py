@@ -18,11 +18,12 @@ Else both sets index all their rare tokens: they share one, or none, and then al
 is shared.
 
 Entries of at most PAIRED sets are paired. The members of larger ones are compared with one of them, the pivot, and
-those that are still in different components are told apart by what distinguishes them from it: if x and y are
-similar and not both near the pivot p, then the differences x^p and y^p share so many tokens that prefixes of them
-must meet (the bound is in difference_keys()). These tokens are the keys of the next round, whose entries lack the
-pivot; so groups of near copies are never paired out. Candidates pass a parity bitmap (sets that differ in d tokens
-differ in at most d bits, so nothing is lost), then the sets themselves are compared.
+linked to it where similar. Members of one pivot that are then still in different components are compared with each
+other within the join itself, in blocks of BLOCK sets: by component, size, distance from the pivot (the symmetric
+difference of sets obeys the triangle inequality) and a 512-bit parity signature. So what linked with the pivot is
+never paired, and pairs that cannot link are never emitted; but comparisons of members in different components grow
+with the square of their number. Candidates pass a longer parity bitmap (sets that differ in d tokens differ in at
+most d bits, so nothing is lost), then the sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ from foldlog.session import cut, discard, keep
 #: A token is frequent if more sets than this hold it. Doubled until no more than LISTED tokens are, as their list
 #: (8 bytes each) goes to every task.
 RARE, LISTED = 8, 1_000_000
-#: Entries of at most so many sets are paired; larger ones go by pivots and differences.
-PAIRED = 32
+#: Entries of at most so many sets are paired; larger ones go by pivots, in blocks of BLOCK.
+PAIRED, BLOCK = 32, 512
 #: Bits of the bitmaps that say which tokens are not unique and which documents a later pass reads: 32 for each, 2**28
 #: (32 MB) at most. Where that is not enough more tokens are indexed, or documents read, than need be.
 MARK_BITS = 28
@@ -140,6 +141,11 @@ def parity(t: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def signature(t: np.ndarray) -> np.ndarray:
+    """The parity bitmap of 512 bits."""
+    return np.packbits((np.bincount((t & U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 class Marks:
     """A bitmap of 64-bit hashes that the driver gathers and tasks test; no false absences."""
 
@@ -225,7 +231,7 @@ def token_class(t: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, set_id, n, level, parity, keys) of each document, kept. level: tokens that are not frequent; bitmap and keys are null for a set without keys, or seen before in the task."""
+    """(doc_id, set_id, n, level, parity, signature, keys) of each document, kept. level: tokens that are not frequent; bitmaps and keys are null for a set without keys, or seen before in the task."""
     kinds, small = Kinds(docs, width, percent), smallest_paired(percent)
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,8 +243,8 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 unique, frequent = kinds.of(t)
                 keys = index_keys(t, unique, frequent, percent, small) if len(t) and number not in seen else t[:0]
                 seen.add(number)
-                rows.append((number, len(t), len(t) - int(frequent.sum()), *((parity(t), keys.view(np.int64)) if len(keys) else (None, None))))
-            out = pd.DataFrame(rows, columns=["set_id", "n", "level", "parity", "keys"])
+                rows.append((number, len(t), len(t) - int(frequent.sum()), *((parity(t), signature(t), keys.view(np.int64)) if len(keys) else (None, None, None))))
+            out = pd.DataFrame(rows, columns=["set_id", "n", "level", "parity", "signature", "keys"])
             out.insert(0, "id", b["id"].to_numpy())
             out.insert(1, "is_null", b["is_null"].to_numpy())
             yield out
@@ -246,8 +252,8 @@ def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # pandas has no null integers: they travel beside the number
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("is_null"), "text")
     with batch_rows(docs.sparkSession):
-        made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, level long, parity array<long>, keys array<long>")
-        return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "level", "parity", "keys"))
+        made = rows.mapInPandas(profile, "id long, is_null boolean, set_id long, n long, level long, parity array<long>, signature array<long>, keys array<long>")
+        return keep(made.select(F.when(~F.col("is_null"), F.col("id")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"), "n", "level", "parity", "signature", "keys"))
 
 
 def shared(entries: DataFrame) -> DataFrame:
@@ -289,8 +295,12 @@ def candidates(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = small.select("key", F.col("a").alias("b"), F.col("n").alias("m"))
     pairs = small.join(other, "key").where(f"a < b and 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b")
     star = found.where((F.col("members") > PAIRED) & (F.col("set_id") != F.col("pivot"))).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
+    return may_be_similar(pairs.unionByName(star), sets, percent)
+
+
+def may_be_similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda k: sets.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "parity")))
-    both = pairs.unionByName(star).distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     return cut(both.where(may_link("n_a", "parity_a", "n_b", "parity_b", percent)).select("a", "b"))
 
 
@@ -301,51 +311,23 @@ def similar(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return cut(told.where(f"100 * o >= {percent} * (x + y - o)").select("a", "b"))
 
 
-def ranked(held: DataFrame, large: DataFrame) -> DataFrame:
-    """(set_id, level, alone, few, many), kept, of the sets of large (set_id, level).
+def apart(stars: DataFrame, sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a pivot in different components that may be similar. stars: (pivot, set_id, c).
 
-    Their tokens by how many of these sets hold them: how many one alone holds, those that a few hold, and the others.
+    The left side is dealt to blocks of about BLOCK sets, the right side goes to every block of its pivot.
     """
-    each = held.join(large, "set_id").select("set_id", "level", F.explode("tokens").alias("t"))
-    counts = each.groupBy("t").agg(F.count("*").alias("df"))
-    part = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("t"))))
-    df = F.col("df")
-    return keep(each.join(counts, "t").groupBy("set_id", "level").agg(F.count(F.when(df == 1, 1)).alias("alone"), part((df > 1) & (df <= RARE)).alias("few"), part(df > RARE).alias("many")))
-
-
-def difference_keys(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, set_id, n, level), kept, of members of large entries. stars: (pivot, set_id); sets: ranked(). Key: the pivot and a token of a prefix of the difference.
-
-    Sets x and y in different components are similar only if |x^y| <= c (|x| + |y|), c = (100 - percent) / (100 +
-    percent). With d(x) = |x^p|, the differences share s = (d(x) + d(y) - |x^y|) / 2 tokens. A set is near the pivot if
-    d <= c (|p| + |set|); two near ones are in its component.
-
-    * y is far: then x, near or far, shares more than (d(x) + c (|p| - |x|)) / 2 with it;
-    * x is far and y near: x shares at least (d(x) - c (|x| + |p|)) / (1 + c), as |y| <= |p| + d(y) and d(y) >= s.
-
-    Prefixes of d - s + 1 tokens, the rarest first, meet; a token that one set alone holds keeps its place but is no
-    key. Far sets meet under keys of their own, and near ones under keys that a near one holds.
-    """
-    side = lambda name, short: sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{short}") for c in ("level", "alone", "few", "many")))
-    both = stars.join(side("pivot", "p"), "pivot").join(side("set_id", "x"), "set_id")
-    size = lambda k: F.col(f"alone_{k}") + F.size(f"few_{k}") + F.size(f"many_{k}")
-    apart = lambda c: F.array_sort(F.concat(F.array_except(f"{c}_x", f"{c}_p"), F.array_except(f"{c}_p", f"{c}_x")))
-    parts = both.select("pivot", "set_id", F.col("level_x").alias("level"), size("x").alias("n"), size("p").alias("q"), (F.col("alone_x") + F.col("alone_p")).alias("alone"), F.concat(apart("few"), apart("many")).alias("t"))
-    parts = parts.withColumn("d", F.col("alone") + F.size("t"))
+    both = stars.join(held.select(F.col("set_id").alias("pivot"), F.col("tokens").alias("p")), "pivot").join(held.select("set_id", F.col("tokens").alias("x")), "set_id")
+    measured = both.select("pivot", "set_id", "c", (F.size("p") + F.size("x") - 2 * F.size(F.array_intersect("p", "x"))).alias("d"))
+    blocks = stars.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    members = cut(measured.join(blocks, "pivot").join(sets.select("set_id", "n", "signature"), "set_id"))
+    bits = [F.col("signature")[k] for k in range(8)]
+    left = members.select("pivot", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.col("set_id").alias("a"), "c", "d", "n", *(x.alias(f"x{k}") for k, x in enumerate(bits)))
+    right = members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = right.select("pivot", "block", F.col("set_id").alias("b"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("n").alias("m"), *(x.alias(f"y{k}") for k, x in enumerate(bits)))
     plus, minus = 100 + percent, 100 - percent
-    near = F.expr(f"{plus} * d <= {minus} * (n + q)")
-    short = F.expr(f"d - cast(floor(({plus} * d + {minus} * (q - n)) / {2 * plus}) as int)")
-    long = F.expr(f"d - greatest(1, cast(ceil(({plus} * d - {minus} * (n + q)) / 200) as int)) + 1")
-    first = lambda length: F.slice("t", F.lit(1), F.greatest(F.lit(0), length - F.col("alone")).cast("int"))
-    parts = keep(parts.select("pivot", "set_id", "n", "level", near.alias("near"), first(short).alias("short"), F.when(~near, first(long)).alias("long")))
-    each = lambda which, tokens: parts.where(which).select("pivot", F.explode(tokens).alias("t"), "set_id", "n", "level")
-    of_near = each("near", "short")
-    meets = each("not near", "long").join(of_near.select("pivot", "t").distinct(), ["pivot", "t"], "left_semi")
-    keyed = [(of_near.unionByName(meets), "near"), (each("not near", "short"), "far")]
-    one, other = (rows.select(F.xxhash64("pivot", "t", F.lit(tag)).alias("key"), "set_id", "n", "level") for rows, tag in keyed)
-    out = keep(one.unionByName(other))
-    discard(parts)
-    return out
+    differ = " + ".join(f"bit_count(x{k} ^ y{k})" for k in range(8))
+    keep_ = f"a < b and c <> c2 and {plus} * abs(d - d2) <= {minus} * (n + m) and {plus} * abs(n - m) <= {minus} * (n + m) and {plus} * ({differ}) <= {minus} * (n + m)"
+    return left.join(right, ["pivot", "block"]).where(keep_).select("a", "b")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -372,33 +354,23 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = profiles(docs, width, percent)
     reps = cut(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")))
     found = shared(rows.where("keys is not null").select(F.explode("keys").alias("key"), "set_id", "n", "level"))
-    sets = rows.where("keys is not null").select("set_id", "n", "level", "parity").dropDuplicates(["set_id"])
+    sets = rows.where("keys is not null").select("set_id", "n", "parity", "signature").dropDuplicates(["set_id"])
     sets = cut(sets.join(found.select("set_id").distinct(), "set_id", "left_semi"))
     pairs = candidates(found, sets, percent)
     large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(large.select("set_id")).distinct()
     held = token_sets(docs, cut(ends.join(reps, "set_id").select("set_id", F.col("rep").alias("doc_id"))), width)
     links = similar(pairs, held, percent)
-    by_rank = None
-    while not large.isEmpty():
-        labels = components(links)
-        # members of large entries, but for the pivot, that are in different components
-        placed = large.where("set_id <> pivot").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        stars = cut(placed.join(mixed, "key").select("pivot", "set_id").distinct())
-        discard(found)
-        if stars.isEmpty():
-            break
-        by_rank = by_rank or ranked(held, sets.select("set_id", "level").join(large.select("set_id").distinct(), "set_id", "left_semi"))
-        keyed = difference_keys(stars, by_rank, percent)
-        found = shared(keyed)
-        discard(keyed)
-        links = cut(links.unionByName(similar(candidates(found, sets, percent), held, percent)))
-        large = cut(found.where(F.col("members") > PAIRED).select("key", "set_id", "pivot").distinct())
     labels = components(links)
-    for kept in (held, by_rank):
-        if kept is not None:
-            discard(kept)
+    # members of large entries, but for the pivot, that are in different components
+    placed = large.where("set_id <> pivot").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("c", F.coalesce("c", "set_id"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    stars = cut(placed.join(mixed, "key").select("pivot", "set_id", "c").distinct())
+    if not stars.isEmpty():
+        more = similar(may_be_similar(apart(stars, sets, held, percent), sets, percent), held, percent)
+        labels = components(links.unionByName(more))
+    for kept in (found, held):
+        discard(kept)
     named = reps.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("c", "set_id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_set = cut(named.join(lowest, "c").select("set_id", "component_id"))
