@@ -46,9 +46,9 @@ from foldlog.session import cut, discard, keep
 RARE, LISTED = 8, 1_000_000
 #: Entries of at most so many sets are paired; larger ones go by pivots, in blocks of BLOCK.
 PAIRED, BLOCK = 32, 512
-#: Bits of the bitmaps that say which tokens are not unique and which documents a later pass reads: 32 for each, 2**28
-#: (32 MB) at most. Where that is not enough more tokens are indexed, or documents read, than need be.
-MARK_BITS = 28
+#: Bits of the bitmaps that say which tokens are not unique and which documents a later pass reads: 32 for each, 2**26
+#: (8 MB) at most. Where that is not enough more tokens are indexed, or documents read, than need be.
+MARK_BITS = 26
 
 U = np.uint64
 _word = xxhash.xxh64_intdigest
@@ -156,7 +156,7 @@ class Marks:
         self.bits = min(MARK_BITS, max(10, (32 * hashes.count()).bit_length()))
         at = F.pmod(h, F.lit(1 << self.bits))
         words = hashes.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
-        words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("w")).toPandas()
+        words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("w")).toArrow()
         table = np.zeros((1 << self.bits) // 64, dtype=np.int64)
         table[words["word"].to_numpy()] = words["w"].to_numpy()
         self.table = table.view(np.uint8).tobytes()
@@ -212,7 +212,7 @@ class Kinds:
         least = RARE
         while counts.where(F.col("n") > least).count() > LISTED:
             least *= 2
-        self.often = np.sort(counts.where(F.col("n") > least).select("c").toPandas()["c"].to_numpy(dtype=np.uint64))
+        self.often = np.sort(counts.where(F.col("n") > least).select("c").toArrow()["c"].to_numpy().astype(np.uint64))
         discard(counts)
 
     def of(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
