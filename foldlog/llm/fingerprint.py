@@ -15,6 +15,10 @@ level that both have.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,32 +86,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.abs(level(a) - level(b)) > 1, 0.0).otherwise(share).cast("double")
 
 
-#: Rows of one bucket in which neighbours by id are found, about; up to how many ranges their first ids are broadcast.
-BUCKET_ROWS, BROADCAST_RANGES = 2_000, 50_000
+#: Rows of one range in which neighbours by id are found, about, and ranges at most: beyond, ranges hold more rows.
+RANGE_ROWS, MOST_RANGES = 2_000, 10_000
+
+
+def id_ranges(docs: DataFrame) -> DataFrame:
+    """Adds `bucket` to rows of (doc_id, tie): ranges of about as many rows each, the greatest ids first, null ids last.
+
+    The borders are quantiles of the ids, so outlying ids and clusters do no harm. Null ids, and an id that fills whole
+    ranges by itself, are dealt on by their tie, which is spread evenly.
+    """
+    n = docs.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    as_double = F.col("doc_id").cast("double")
+    found = docs.select(as_double.alias("x")).stat.approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    hot = sorted(x for x, k in Counter(found).items() if k > 1)
+    borders = [-math.inf, *sorted({*(found or [0.0]), *(math.nextafter(x, math.inf) for x in hot)}), math.inf]
+    dealt = Bucketizer(splits=borders, inputCol="as_double", outputCol="range", handleInvalid="keep").transform(docs.withColumn("as_double", F.coalesce(as_double, F.lit(float("nan")))))
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(borders))).otherwise(F.lit(len(borders) - 1) - F.col("range")).cast("long")
+    inside = F.floor((F.lit(2.0**63) - F.col("tie").cast("double")) / 2.0**64 * ranges).cast("long")
+    split = F.when(F.col("doc_id").isNull() | (F.col("as_double").isin(hot) if hot else F.lit(False)), inside).otherwise(0)
+    return dealt.withColumn("bucket", place * (ranges + 1) + split).drop("as_double", "range")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text and next_print to (doc_id, text, print): of the next document by descending id; after the last, the first.
 
-    Ids are dealt to ranges of about BUCKET_ROWS rows between the least and the greatest; neighbours are found
-    within a range by a window, and the last of a range takes the first of the next range that has rows, by a
-    join of one row a range. Null ids come last, ties are ordered by the text's hash.
+    Neighbours are found within a range of ids by a window, and the last of a range takes the first of the next range
+    that has rows, by a join of one row a range; ranges are bounded in number. Null ids come last, ties are ordered
+    by the text's hash.
     """
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    if not ends.n:
-        return docs.withColumns({"next_text": F.col("text"), "next_print": F.col("print")})
-    buckets = max(1, -(-ends.n // BUCKET_ROWS))
-    width = max(1, -(-((ends.high or 0) - (ends.low or 0) + 1) // buckets)) if ends.low is not None else 1
-    # 0 holds the greatest ids; null ids stand behind all others
-    bucket = F.coalesce(F.floor((F.lit(ends.high) - F.col("doc_id")) / F.lit(width)), F.lit(buckets + 1)).cast("long")
-    placed = docs.withColumns({"bucket": bucket, "tie": F.xxhash64("text")})
+    placed = id_ranges(docs.withColumn("tie", F.xxhash64("text")))
     firsts = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     # one row a range: the range before each, which borrows its first text; the last range borrows from the first
     ring = Window.orderBy("bucket")
-    borrows = firsts.select(F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("by"), F.col("bucket").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
+    around = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    borrows = firsts.select(F.coalesce(F.lag("bucket").over(ring), F.max("bucket").over(around)).alias("by"), F.col("bucket").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
     same = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
-    # a row a range: sent to every task while that is few rows, else joined by shuffling
-    lent = placed.join(F.broadcast(borrows) if buckets <= BROADCAST_RANGES else borrows, same).select(F.col("by").alias("bucket"), F.struct("text", "print").alias("lent")).dropDuplicates(["bucket"])
+    lent = placed.join(F.broadcast(borrows), same).select(F.col("by").alias("bucket"), F.struct("text", "print").alias("lent")).dropDuplicates(["bucket"])
     w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("tie"))
     inside = placed.withColumn("follow", F.lead(F.struct("text", "print")).over(w)).join(lent, "bucket", "left").withColumn("follow", F.coalesce("follow", "lent"))
     return inside.select("doc_id", "text", "print", F.col("follow.text").alias("next_text"), F.col("follow.print").alias("next_print"))
