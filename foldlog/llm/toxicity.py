@@ -3,9 +3,10 @@
 Words become tags (insult, threat, target, negation, reported speech, other), each by a lexicon; four small
 weighted transducers read the tags of a clause, and their composition scores it:
 
-* insult: an insult scores its lexicon weight,
-* threat: a threat verb scores if a target follows within a few words ("kill you"),
-* target: an insult with a target in the same clause scores more ("you idiot"),
+* insult: an insult scores its lexicon weight, more if a target has been named in the clause ("you idiot"), and a
+  target that follows an insult scores the rest ("idiot you"),
+* threat: a threat verb scores if a target follows within a few words ("kill you"), by what negation and report made
+  of the verb,
 * negation and reported speech: what stands shortly behind "not" or "she said" scores less.
 
 A document's score is that at least one of its clauses is toxic (noisy or). The insult lexicon is learned: words
@@ -27,8 +28,6 @@ from foldlog.session import cut
 
 #: Labelled rows that the lexicon is learned from, at most.
 TRAIN_ROWS = 12_000
-#: Entries of the learned lexicon, at most: it is sent to every task.
-LEXICON = 5_000
 #: Different words that must stand before an entry in toxic texts. Copies of one text count once by this.
 CONTEXTS = 3
 #: Share of toxic texts among those that hold an entry, at least.
@@ -49,51 +48,74 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 TAGS = {"threat": THREAT, "target": TARGET, "negation": NEGATION, "reported": REPORTED}
 SPAN = 3
 
-Transducer = dict  # (state, tag) -> (state, factor of the clause's score); state 0 starts; absent: (state, 1.0)
+#: (state, tag) -> (state, factor): state 0 starts; the factor scales what the tag scores.
+Transducer = dict[tuple, tuple]
+NEGATED, REPORT = 0.3, 0.6
+#: Weight of a threat that meets its target; what a target adds to an insult, as a share of the insult's weight.
+THREAT_WEIGHT, TARGETED = 2.5, 0.5
 
 
-def after(trigger: int, factors: dict[int, float], span: int = SPAN) -> Transducer:
-    """Scales given tags within `span` words behind a trigger."""
-    arcs: Transducer = {}
-    for state in range(span + 1):
-        for tag in range(6):
-            arcs[state, tag] = (span if tag == trigger else max(state - 1, 0), factors.get(tag, 1.0) if state else 1.0)
-    return arcs
-
-
-def anywhere(trigger: int, factors: dict[int, float]) -> Transducer:
-    """Scales given tags once a trigger has been seen in the clause."""
-    return {(state, tag): (1 if tag == trigger or state else 0, factors.get(tag, 1.0) if state else 1.0) for state in (0, 1) for tag in range(6)}
+def after(trigger: int, factor: float, span: int) -> Transducer:
+    """Scales insults and threats within `span` words behind a trigger."""
+    return {(k, tag): (span if tag == trigger else max(k - 1, 0), factor if k and tag in (INSULT, THREAT) else 1.0) for k in range(span + 1) for tag in range(6)}
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
     """Both at once: pairs of states, products of factors."""
-    sizes = [1 + max(s for s, _ in x) for x in (a, b)]
+    return {((s, t), tag): ((s2, t2), f * g) for (s, tag), (s2, f) in a.items() for (t, tag2), (t2, g) in b.items() if tag == tag2}
+
+
+def insults(scale: Transducer) -> Transducer:
+    """Behind `scale`: insult and target of a clause. State: (that of scale, whether a target was named, factor of an insult without one).
+
+    The outputs are (kind, factor): an insult scores more once a target is named; a target pays for the insult before it.
+    """
     out: Transducer = {}
-    for s in range(sizes[0]):
-        for t in range(sizes[1]):
-            for tag in range(6):
-                (s2, f), (t2, g) = a[s, tag], b[t, tag]
-                out[s * sizes[1] + t, tag] = (s2 * sizes[1] + t2, f * g)
+    for (s, tag), (s2, f) in scale.items():
+        for named in (0, 1):
+            for owed in (0.0, 1.0, NEGATED, REPORT, NEGATED * REPORT):
+                score, left, seen = 0.0, owed, named
+                if tag == INSULT:
+                    score, left = (f * (1 + TARGETED), 0.0) if named else (f, f)
+                elif tag == TARGET:
+                    score, left, seen = owed * TARGETED, 0.0, 1
+                out[(s, named, owed), tag] = ((s2, seen, left), score)
     return out
 
 
-def grammar() -> Transducer:
-    parts = [
-        after(NEGATION, {INSULT: 0.3, THREAT: 0.3}),
-        after(REPORTED, {INSULT: 0.6, THREAT: 0.6}, span=5),
-        anywhere(TARGET, {INSULT: 1.5}),
-        # a threat verb is weighed when its target comes: the tag TARGET scores behind THREAT alone
-        {(state, tag): (SPAN if tag == THREAT else max(state - 1, 0), 1.0 if tag != TARGET or state else 0.0) for state in range(SPAN + 1) for tag in range(6)},
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = compose(out, p)
+def threats(scale: Transducer) -> Transducer:
+    """Behind `scale`: a threat verb and its target. State: (that of scale, words left for the target, factor of the verb)."""
+    out: Transducer = {}
+    for (s, tag), (s2, f) in scale.items():
+        for left in range(SPAN + 1):
+            for held in (0.0, 1.0, NEGATED, REPORT, NEGATED * REPORT) if left else (0.0,):
+                score = 0.0
+                if tag == THREAT:
+                    after_, kept = SPAN, f
+                elif tag == TARGET and left:
+                    score, after_, kept = held, 0, 0.0
+                else:
+                    after_ = max(left - 1, 0)
+                    kept = held if after_ else 0.0
+                out[(s, left, held), tag] = ((s2, after_, kept), score)
     return out
 
 
-#: Weight of a threat that meets its target.
-THREAT_WEIGHT = 2.5
+def grammar() -> Transducer:
+    """The product of all four, from its start: (state, tag) -> (state, (share of an insult's weight, share of a threat's)). States are numbered."""
+    scale = compose(after(NEGATION, NEGATED, SPAN), after(REPORTED, REPORT, 5))
+    insult, threat = insults(scale), threats(scale)
+    start = (((0, 0), 0, 0.0), ((0, 0), 0, 0.0))
+    number, todo, out = {start: 0}, [start], {}
+    while todo:
+        state = todo.pop()
+        for tag in range(6):
+            (i, x), (t, y) = insult[state[0], tag], threat[state[1], tag]
+            if (i, t) not in number:
+                number[i, t] = len(number)
+                todo.append((i, t))
+            out[number[state], tag] = (number[i, t], (x, y))
+    return out
 
 
 class Scorer:
@@ -115,24 +137,19 @@ class Scorer:
 
     def clauses(self, tagged: list[tuple[int, float, bool]]) -> list[float]:
         """Scores of the clauses that match."""
-        out, state, score = [], 0, 0.0
+        out, state, score, weight_owed = [], 0, 0.0, 0.0
         arcs = self.arcs
         for tag, weight, end in tagged:
-            state, factor = arcs[state, tag]
+            state, (insult, threat) = arcs[state, tag]
             if tag == INSULT:
-                score += weight * factor
-            elif tag == TARGET and factor and self.threatened(state):
-                score += THREAT_WEIGHT * factor
+                weight_owed = weight
+            score += insult * weight_owed + threat * THREAT_WEIGHT
             if end:
                 if score:
                     out.append(score)
                 state, score = 0, 0.0
         return out + [score] * bool(score)
 
-    def threatened(self, state: int) -> bool:
-        """The last component of the composed state: a threat verb came shortly before."""
-        return state % (SPAN + 1) > 0
-
     def score(self, text: str) -> tuple[float, int]:
         """(score, matched clauses)"""
         cache, tokens = self.cache, text.lower().split()
@@ -171,11 +188,14 @@ def entries(word: str) -> list[str]:
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """({entry: weight}, base rate) from rows (y, text). Counts are made in tasks and summed by Spark."""
+    """({entry: weight}, base rate) from rows (y, text). Counts are made in tasks and summed by Spark.
+
+    What comes to the driver is bounded by the sample: entries that CONTEXTS words precede in its toxic texts.
+    """
 
     def toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = {(e, before[:8]) for text in b["text"] for before, w in terms(text) for e in entries(w)}
+            seen = {(e, before) for text in b["text"] for before, w in terms(text) for e in entries(w)}
             yield pd.DataFrame(list(seen), columns=["entry", "context"])
 
     def held(names: frozenset[str]):
@@ -192,10 +212,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], float]:
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     base = min(0.5, 0.1 * (pos + 1) / (pos + neg + 2))
     contexts = rows.where("y = 1").select("text").mapInPandas(toxic, "entry string, context string").distinct().groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") >= CONTEXTS)
-    names = [r.entry for r in contexts.orderBy(F.desc("n"), "entry").limit(20 * LEXICON).collect()]
+    names = [r.entry for r in contexts.select("entry").collect()]
     counts = rows.mapInPandas(held(frozenset(names)), "entry string, y int, n long").groupBy("entry", "y").agg(F.sum("n").alias("n"))
     by = counts.groupBy("entry").agg(*(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)))
-    kept = by.where(F.col("n1") >= PRECISION * (F.col("n0") + F.col("n1") + 1)).orderBy(F.desc("n1"), "entry").limit(LEXICON).collect()
+    kept = by.where(F.col("n1") >= PRECISION * (F.col("n0") + F.col("n1") + 1)).collect()
     return {r.entry: math.log((r.n1 + 0.5) / (r.n0 + 0.5)) / 2.5 for r in kept}, base
 
 
