@@ -16,7 +16,9 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set(BATCH, str(ARROW_ROWS))
+    """Lowers the session's Arrow batches to ARROW_ROWS, unless they are smaller: Spark reads the setting when a result runs, so it stays."""
+    if not 0 < int(spark.conf.get(BATCH)) <= ARROW_ROWS:
+        spark.conf.set(BATCH, str(ARROW_ROWS))
 
 
 @contextmanager

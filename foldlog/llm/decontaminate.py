@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.llm.common import row_key
+from foldlog.llm.common import free_name, row_key
 from foldlog.session import cut
 
 WIDTH, PERCENT = 5, 80
@@ -105,7 +105,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, i
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of df whose text holds no benchmark item; all columns. Rows of null or repeated ids are judged by their own text."""
-    rows = df.withColumn("_row", row_key())
-    found = contamination(rows, benchmark, percent, id_col="_row").select("_row").distinct()
-    return rows.join(found, "_row", "left_anti").select(*df.columns)
+    """The rows of df whose text holds no benchmark item; all columns, of any names.
+
+    Rows are judged by id and text together, so null and repeated ids do no harm, and repeated rows go or stay together.
+    Null and empty texts stay. Texts of any length are read whole. An empty table or benchmark drops nothing.
+    """
+    row = free_name(df, "_row")
+    found = contamination(df.select(row_key().alias("row"), "text"), benchmark, percent, id_col="row").select(F.col("row").alias(row)).distinct()
+    return df.withColumn(row, row_key()).join(found, row, "left_anti").select(*df.columns)

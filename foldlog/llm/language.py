@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlog.llm.common import held_out, small_batches
@@ -106,15 +106,15 @@ def identify_language(df: DataFrame, folds: int = 5, fold: int = 0, train_rows:
     """
     small_batches(df.sparkSession)
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), folds, fold))
-    names = [r[0] for r in labelled.select(lang_col).distinct().orderBy(lang_col).limit(train_rows).collect()]
-    chosen = None
-    for name in names:
-        part = labelled.where(F.col(lang_col) == name).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(max(1, train_rows // len(names)))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = [] if chosen is None else (
-        labelled.join(F.broadcast(chosen.distinct()), F.col(id_col) == F.col("id"), "left_semi")
-        .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_spectrum(text_col).alias("bits")).where("bits is not null").limit(4 * train_rows).collect()
-    )
+    labelled = labelled.select(F.xxhash64(id_col, text_col).alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    languages = max(1, labelled.select("lang").distinct().count())
+    each = max(1, train_rows // languages)
+    # the smallest hashes of each language: the borders first, so that no language is ranked in one task
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = F.least(F.lit(1.0), F.lit(4.0 * each + 100) / F.col("n"))
+    drawn = labelled.join(F.broadcast(counts.orderBy("lang").limit(train_rows)), "lang").where(F.pmod("h", F.lit(1 << 20)) < chance * (1 << 20))
+    first = drawn.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "h")
+    rows = drawn.join(F.broadcast(first), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("id", "lang", text_spectrum("text").alias("bits")).where("bits is not null").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), bytes(r.bits)))
     if not rows:
         return df.withColumn(out_col, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))

@@ -148,7 +148,9 @@ def score_quality(df: DataFrame, labels: DataFrame, threshold: float = 0.3, fold
 
     def picked(ids: DataFrame) -> np.ndarray:
         chosen = ids.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-        rows = texts.join(F.broadcast(chosen), "id").select("id", text_features("text").alias("x")).toPandas().sort_values("id", kind="stable")
+        # a row an id, its least text: what comes to the driver is bounded however often ids repeat
+        one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        rows = one.select("id", text_features("text").alias("x")).toPandas().sort_values("id", kind="stable")
         return np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), FEATURES)
 
     p = picked(usable.where("y = 1").select("id"))

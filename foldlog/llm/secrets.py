@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions and MLlib alone.
 
-Candidates are long runs of key-like characters. The forest sees their length, how their kinds of characters
+Candidates are runs of at least 15 key-like characters (shorter ones are not looked at). The forest sees their length, how their kinds of characters
 change, how much of them common words cover, whether they look like a path, and the words beside them. It is
 trained on labelled findings: any table of (candidate, before, after, label), or by default candidates of the
 corpus itself that a strict format decides (see strict_label), at most TRAIN_ROWS of each label. The strict
@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.llm.common import row_key
+from foldlog.llm.common import free_name, row_key
 from foldlog.session import cut
 
 #: Findings of each label that the forest is trained on, at most.
@@ -106,15 +106,19 @@ def secret_findings(df: DataFrame, labelled: DataFrame | None = None, threshold:
 def redact_secrets(df: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """df with every found secret in `text` replaced by MASK, and n_chars, where there is such a column, counted anew.
 
-    A secret is replaced wherever it stands in its row. Rows are never dropped, those of null id included; clean
-    rows are unchanged.
+    A secret is replaced wherever it stands in its row, a longer one before one that it holds. Rows are judged by id and
+    text together, so null and repeated ids do no harm; no row is dropped; null, empty and clean texts are unchanged.
+    Texts of any length are scanned whole; ties and repeated rows are treated alike. Columns of any name stay. Empty
+    in, empty out.
     """
-    rows = df.withColumn("_row", row_key())
-    secrets = secret_findings(rows, labelled, threshold, id_col="_row").where("predicted = 1")
-    of_row = secrets.groupBy("_row").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
-    joined = rows.join(of_row, "_row", "left")
-    hidden = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
-    joined = joined.withColumn("text", F.when(F.col("_secrets").isNotNull(), hidden).otherwise(F.col("text")))
+    row, hidden = free_name(df, "_row"), free_name(df, "_secrets")
+    secrets = secret_findings(df.select(row_key().alias("row"), "text"), labelled, threshold, id_col="row").where("predicted = 1")
+    longest_first = lambda found: F.transform(F.sort_array(F.collect_set(F.struct(F.char_length(found).alias("n"), found.alias("s"))), asc=False), lambda x: x["s"])
+    of_row = secrets.groupBy(F.col("row").alias(row)).agg(longest_first(F.col("candidate")).alias(hidden))
+    joined = df.withColumn(row, row_key()).join(of_row, row, "left")
+    found = F.col(hidden).isNotNull()
+    masked = F.aggregate(hidden, F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    joined = joined.withColumn("text", F.when(found, masked).otherwise(F.col("text")))
     if "n_chars" in df.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*df.columns)

@@ -90,13 +90,13 @@ def test_prior_is_found():
 def test_edited_texts_and_neighbours(spark):
     rng = random.Random(3)
     texts = [words(rng, rng.randrange(5, 400)) for _ in range(40)] + ["", None, "x", "x"]
-    ids = rng.sample(range(1000), len(texts))
+    ids = [*rng.sample(range(1000), len(texts) - 3), 2**63 - 1, -(2**63), 10**15]
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("next_text", F.lit("clash"))
-    fingerprint.BUCKET_ROWS, kept = 7, fingerprint.BUCKET_ROWS
+    fingerprint.RANGE_ROWS, kept = 7, fingerprint.RANGE_ROWS
     try:
         got = {r.doc_id: r for r in fingerprint.imatch(df).collect()}
     finally:
-        fingerprint.BUCKET_ROWS = kept
+        fingerprint.RANGE_ROWS = kept
     order = sorted(zip(ids, [t or "" for t in texts]), reverse=True)
     for k, (i, t) in enumerate(order):
         follow = order[(k + 1) % len(order)][1]
@@ -109,6 +109,18 @@ def test_edited_texts_and_neighbours(spark):
     assert x[0] == x[1]
 
 
+def test_ranges_hold_about_as_many_rows(spark):
+    rows = [(k, k * 7919 % 10**6) for k in range(3000)] + [(10**15, 1), (-(2**63), 2), (2**63 - 1, 3)] + [(5, -(2**63) + k * 2**52) for k in range(3000)] + [(None, -(2**63) + k * 2**52) for k in range(3000)]
+    fingerprint.RANGE_ROWS, kept = 100, fingerprint.RANGE_ROWS
+    try:
+        got = fingerprint.id_ranges(spark.createDataFrame(rows, "doc_id long, tie long")).toPandas()
+    finally:
+        fingerprint.RANGE_ROWS = kept
+    assert got.groupby("bucket").size().max() < 500
+    order = got.assign(null=got.doc_id.isna()).sort_values(["null", "doc_id", "tie"], ascending=[True, False, False]).bucket
+    assert order.is_monotonic_increasing
+
+
 def test_fingerprint_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, None)], "doc_id long, text string")
     rows = fingerprint.imatch(df).collect()
@@ -395,6 +407,37 @@ def test_grammar():
     assert s.score("a loweischaft here")[0] > 0.7 and s.score("IDIOT!!")[0] > 0.7
     assert s.score("i will kill you")[0] > s.score("i will kill time")[0] and s.score("not. idiot.")[0] == plain
     assert s.score("") == (0.01, 0) and s.score("nice words") == (0.01, 0)
+    threat, denied, quoted = (s.score(t)[0] for t in ("i will kill you", "i will not kill you", "she said i will kill you"))
+    assert denied < quoted < threat and threat > 0.7 > denied
+    assert s.score("idiot you")[0] == target and s.score("not an idiot you")[0] < target
+
+
+def test_grammar_is_its_plain_reading():
+    def plain(tags, weights):
+        score, named, owed, left, held = 0.0, False, 0.0, 0, 0.0
+        negated = report = 0
+        for tag, w in zip(tags, weights):
+            f = (toxicity.NEGATED if negated else 1) * (toxicity.REPORT if report else 1)
+            if tag == toxicity.INSULT:
+                score += w * f * (1.5 if named else 1)
+                owed = 0.0 if named else w * f
+            if tag == toxicity.TARGET:
+                score += owed * toxicity.TARGETED + (toxicity.THREAT_WEIGHT * held if left else 0)
+                owed, named = 0.0, True
+            if tag == toxicity.THREAT:
+                left, held = toxicity.SPAN, f
+            else:
+                left = 0 if tag == toxicity.TARGET and left else max(0, left - 1)
+            negated = toxicity.SPAN if tag == toxicity.NEGATION else max(0, negated - 1)
+            report = 5 if tag == toxicity.REPORTED else max(0, report - 1)
+        return score
+
+    rng, s = random.Random(9), toxicity.Scorer({}, 0.01)
+    for _ in range(2000):
+        tags = [rng.choice([0, 0, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(1, 14))]
+        weights = [rng.random() if t == toxicity.INSULT else 0.0 for t in tags]
+        got = sum(s.clauses([(t, w, False) for t, w in zip(tags, weights)]))
+        assert got == pytest.approx(plain(tags, weights))
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -432,6 +475,25 @@ def test_chat_rows(spark):
     assert chat.chat_digests(chat.chat_segments(table(spark, SF, "conversations").limit(0))).count() == 0
 
 
+CLASHES = ["_row", "_secrets", "_found", "_doubtful", "_gone", "id", "row", "set_id", "key", "bucket", "tie", "print", "h", "k", "c", "range"]
+
+
+def test_clashing_names_nulls_and_repeats(spark):
+    df = docs_of(spark, [*ODD, SECRETS[0], SECRETS[0]]).unionByName(docs_of(spark, [None, SECRETS[1]]).withColumn("doc_id", F.lit(None).cast("long")))
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit("kept"))
+    n, bench = df.count(), table(spark, SF, "benchmark")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    whole = [secrets.redact_secrets(df), decontaminate.decontaminate(df, bench), language.identify_language(df), quality.score_quality(df, labels), toxicity.score_toxicity(df, labels), ngram_join.without_ids(df, spark.createDataFrame([(999,)], "doc_id long"))]
+    for out in whole:
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == "kept" for r in rows for c in CLASHES)
+    hidden = [r.text for r in whole[0].where("doc_id is null").collect()]
+    assert "b7db7aa4a5fcc78305" not in "".join(t or "" for t in hidden)
+    for out in (fingerprint.imatch(df), ngram_join.jaccard_components(df), sharding.shard_by_bytes(df)):
+        assert out.count() == n
+
+
 # pipeline ------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
