@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # The parameters of the 32-bit FNV-1a hash, and the keys whose values change from run to run.
 FNV_OFFSET, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
-VOLATILE_KEYS = ["timestamp", "startedAt", "completedAt", "createdAt", "latencyMs", "requestId", "sessionId", "traceId", "nonce"]
+VOLATILE = {
+    "traceId": "[RUNTIME_ID_STRIPPED]", "requestId": "[RUNTIME_ID_STRIPPED]", "runRequestId": "[RUNTIME_ID_STRIPPED]", "processId": "[RUNTIME_ID_STRIPPED]", "pid": "[RUNTIME_ID_STRIPPED]",
+    "sessionId": "[RUNTIME_ID_STRIPPED]", "spanId": "[RUNTIME_ID_STRIPPED]", "serverUptime": "[UPTIME_STRIPPED]", "uptime": "[UPTIME_STRIPPED]",
+    "timestamp": "[TIMESTAMP_STRIPPED]", "timestamps": "[TIMESTAMP_STRIPPED]", "createdAt": "[TIMESTAMP_STRIPPED]", "updatedAt": "[TIMESTAMP_STRIPPED]", "startedAt": "[TIMESTAMP_STRIPPED]",
+    "finishedAt": "[TIMESTAMP_STRIPPED]", "durationMs": "[DURATION_STRIPPED]", "latencyMs": "[DURATION_STRIPPED]", "elapsedMs": "[DURATION_STRIPPED]",
+}
+VOLATILE_KEYS = list(VOLATILE)
 
 
 def sha256(text: Column) -> Column:
@@ -22,7 +28,10 @@ def fnv1a(text: Column) -> Column:
 
 
 def canonical(entries: Column, volatile: list[str] | None = None) -> Column:
-    """A MAP<STRING, STRING> as text with sorted keys; values of volatile keys become a placeholder."""
+    """A MAP<STRING, STRING> as text with sorted keys; values of volatile keys become one placeholder.
+
+    json_text.canonical_json() takes JSON of any nesting and names the kind of what it replaces.
+    """
     volatile = VOLATILE_KEYS if volatile is None else volatile
     shown = F.transform_values(entries, lambda k, v: F.when(k.isin(volatile), F.lit("[volatile]")).otherwise(F.coalesce(v, F.lit("null"))))
     sorted_entries = F.array_sort(F.map_entries(shown))
