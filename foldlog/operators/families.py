@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldlog.session import cut
+
 
 def top_families(events: DataFrame, limit: int, by: str = "log_id", key: str = "family") -> DataFrame:
     """(by, family, n, first_line, rank, share): the most frequent families of a log; ties go to the earlier one.
@@ -55,7 +57,8 @@ def bursts(events: DataFrame, seconds: int, limit: int, inside: int = 4, by: str
 
     Buckets by events, then number; families of a bucket by events, then first line in it.
     """
-    counts = buckets(events, seconds, by).groupBy(by, "bucket", key).agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    once = cut(events.select(by, "line_no", "timestamp", key))  # read three times: lines are parsed once
+    counts = buckets(once, seconds, by).groupBy(by, "bucket", key).agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
     w = Window.partitionBy(by, "bucket")
     ranked = counts.withColumns({"place": F.row_number().over(w.orderBy(F.desc("n"), "first_line")), "total": F.sum("n").over(w)})
     listed = F.sort_array(F.collect_list(F.when(F.col("place") <= inside, F.struct("place", F.concat(key, F.lit("x"), F.col("n")).alias("t")))))

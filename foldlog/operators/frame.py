@@ -11,12 +11,13 @@ from foldlog.operators.parse import severity_short
 from foldlog.session import cut
 
 
-def frames(events: DataFrame, seconds: int = 60, max_families: int = 12, max_bursts: int = 8, by: str = "log_id") -> DataFrame:
+def frames(events: DataFrame, seconds: int = 60, max_families: int = 12, max_bursts: int = 8, by: str = "log_id", hashes: DataFrame | None = None) -> DataFrame:
     """(by, event_count, payload, micro): the frame of each log from parsed lines.
 
     A log of one to three events whose families are all different gets a short synopsis, any other a JSON text
     with a dictionary of its families, under which counts and bursts are written. What is gathered for a log is
-    bounded: families and bursts by their limits, codes by ten, lines of a synopsis by three.
+    bounded: families and bursts by their limits, codes by ten, lines of a synopsis by three. hashes: (by, fp), the
+    source hashes of the logs' lines, which both payloads name; without them neither does.
     """
     events = cut(events.select(by, "line_no", "timestamp", "severity", "ecu", "codes", "signature", "family"))  # read five times
     head = header(events, by)
@@ -28,6 +29,7 @@ def frames(events: DataFrame, seconds: int = 60, max_families: int = 12, max_bur
     line = F.concat_ws(".", "ecu", severity_short(F.col("severity")), F.when(F.size("codes") > 0, F.col("codes")[0]).otherwise("-"), "signature")
     synopsis = first.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("k", line.alias("t")))).alias("ls"))
     rows = head.join(middle, by).join(codes, by, "left").join(burst, by).join(synopsis, by)
+    rows, fp = (rows, []) if hashes is None else (rows.join(hashes.select(by, "fp"), by), ["fp"])
     rows = rows.withColumn("cs", F.coalesce("cs", F.expr("cast(array() as array<struct<rank: bigint, code: string, n: bigint>>)")))
     longest_first = F.array_sort("fs", lambda a, b: F.when(F.char_length(b["family"]) != F.char_length(a["family"]), F.char_length(b["family"]) - F.char_length(a["family"])).otherwise((a["rank"] - b["rank"]).cast("int")))
     encoded = lambda text: F.aggregate(longest_first, text, lambda t, f: F.replace(t, f["family"], f["name"]))
@@ -37,12 +39,12 @@ def frames(events: DataFrame, seconds: int = 60, max_families: int = 12, max_bur
     iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     full = F.to_json(F.struct(
         F.map_from_arrays(F.transform("fs", lambda f: f["name"]), F.transform("fs", lambda f: f["family"])).alias("d"),
-        F.struct(code_counts.alias("codes"), F.col("event_count").alias("n"), F.col("severity_counts").alias("sev"), iso("first_timestamp").alias("t0"), iso("last_timestamp").alias("t1")).alias("h"),
+        F.struct(code_counts.alias("codes"), *fp, F.col("event_count").alias("n"), F.col("severity_counts").alias("sev"), iso("first_timestamp").alias("t0"), iso("last_timestamp").alias("t1")).alias("h"),
         counts.alias("m"), F.lit("F1").alias("v"), F.struct(shown_bursts.alias("b"), F.lit(seconds).alias("s")).alias("w"),
     ), {"ignoreNullFields": "false"})
     short_names = F.array_join(F.transform(F.split("severity_counts", ","), lambda s: F.concat(severity_short(F.split(s, ":")[0]), F.split(s, ":")[1])), "")
     code_names = F.array_join(F.transform("cs", lambda c: c["code"]), ",")
-    short = F.concat_ws("|", F.lit("M"), F.col("event_count"), short_names, F.when(code_names == "", "-").otherwise(code_names), F.array_join(F.transform("ls", lambda x: x["t"]), ","))
+    short = F.concat_ws("|", F.lit("M"), F.col("event_count"), *fp, short_names, F.when(code_names == "", "-").otherwise(code_names), F.array_join(F.transform("ls", lambda x: x["t"]), ","))
     micro = (F.col("event_count") <= 3) & (F.col("most") == 1)
     return rows.select(by, "event_count", F.when(micro, short).otherwise(full).alias("payload"), micro.alias("micro"))
 

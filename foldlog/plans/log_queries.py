@@ -10,8 +10,9 @@ from foldlog.operators import families as fam
 from foldlog.operators.audit import drift_findings, replay_stability, retention
 from foldlog.operators.frame import compression_summary, frames
 from foldlog.operators.parse import parse_lines
+from foldlog.operators.records import source_hashes
 from foldlog.operators.reporting import drift_pivot, export_rows, incidents, service_health
-from foldlog.session import table
+from foldlog.session import cut, table
 from foldlog.sources.lines import event_lines
 
 
@@ -63,7 +64,7 @@ def tumbling_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def untimed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fam.buckets(parsed(spark, sf_dir, 10), 3600, "user_id").groupBy("user_id", "bucket").agg(F.count("*").alias("n"))
+    return fam.buckets(cut(parsed(spark, sf_dir, 10).select("user_id", "line_no", "timestamp")), 3600, "user_id").groupBy("user_id", "bucket").agg(F.count("*").alias("n"))
 
 
 def consonant_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +73,13 @@ def consonant_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(parse_lines(lines(spark, sf_dir)), 600, 8, 16, by="user_id")
+    raw = lines(spark, sf_dir)
+    return frames(parse_lines(raw), 600, 8, 16, by="user_id", hashes=source_hashes(raw, "user_id"))
 
 
 def compression_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lines(spark, sf_dir)
-    return compression_summary(raw, frames(parse_lines(raw), 600, 8, 16, by="user_id"), "user_id")
+    return compression_summary(raw, frames(parse_lines(raw), 600, 8, 16, by="user_id", hashes=source_hashes(raw, "user_id")), "user_id")
 
 
 def corrupted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

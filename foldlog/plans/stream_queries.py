@@ -17,13 +17,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type, but for the last hours, which the watermark has not passed."""
-    out = drained(window_counts(event_stream(spark, sf_dir)), "counts")
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n").where("start < '2024-01-30 00:00:00'")
-
-
-def stream_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type, every hour; stream_counts is held to the dates of its SQL."""
+    """Events by hour and type, every hour: the aggregate is drained whole, so no window waits for a watermark."""
     out = drained_whole(window_counts(event_stream(spark, sf_dir)), "counts")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
@@ -35,11 +29,13 @@ def stream_mode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream_modes(windows), "modes").select("execution_id", "window_id", "error", "mode", "triggered")
 
 
-QUERIES = {"stream_counts": stream_counts, "stream_counts_all": stream_counts_all, "stream_modes": stream_mode_query}
+QUERIES = {"stream_counts": stream_counts, "stream_counts_all": stream_counts, "stream_modes": stream_mode_query}
+
+HOURLY = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 ORACLE_SQL = {
-    "stream_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY ALL",
-    "stream_counts_all": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "stream_counts": HOURLY,
+    "stream_counts_all": HOURLY,
     "stream_modes": f"""WITH RECURSIVE x AS (SELECT user_id, event_id, {AT} AS sec, floor((least(1, greatest(0, value / 250)) + 2.220446049250313e-16) * 1000 + 0.5) / 1000 AS error FROM events),
 y AS (SELECT *, coalesce(sum(CASE WHEN error >= 0.62 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS 2 PRECEDING), 0) >= 2 AS entering, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS k FROM x),
 z AS (SELECT user_id, event_id, k, error, CASE WHEN error >= 0.85 THEN 'rollback_required' WHEN entering THEN 'deliberation' WHEN error < 0.3 THEN 'habit' ELSE 'monitor' END AS mode FROM y WHERE k = 1

@@ -34,17 +34,9 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.col("log_id").alias("doc_id")).agg(F.count("*").alias("lines"), F.sum((F.trim("raw") == "").cast("long")).alias("blank"))
 
 
-def _keyword_sets(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.array_join(T.limited(T.keywords(F.col("text"), STOP), 10), ",").alias("keywords"))
-
-
 def keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyword_sets(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-def keyword_sets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of every language and of none; keyword_sets is held to the language of its SQL."""
-    return _keyword_sets(table(spark, sf_dir, "documents"))
+    """Documents of every language and of none."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.limited(T.keywords(F.col("text"), STOP), 10), ",").alias("keywords"))
 
 
 def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +130,7 @@ pick AS (SELECT p_brand, id, tokens, k, tokens <= 300 AS taken, CASE WHEN tokens
   UNION ALL SELECT r.p_brand, r.id, r.tokens, r.k, pick.used + r.tokens <= 300, CASE WHEN pick.used + r.tokens <= 300 THEN pick.used + r.tokens ELSE pick.used END FROM pick JOIN r ON r.p_brand = pick.p_brand AND r.k = pick.k + 1)"""
 
 QUERIES = {
-    "token_counts": token_counts, "sha_digest": sha_digest, "fnv_hash": fnv_hash, "line_counts": line_counts, "keyword_sets": keyword_sets, "keyword_sets_all": keyword_sets_all, "keyword_overlap": keyword_overlap,
+    "token_counts": token_counts, "sha_digest": sha_digest, "fnv_hash": fnv_hash, "line_counts": line_counts, "keyword_sets": keyword_sets, "keyword_sets_all": keyword_sets, "keyword_overlap": keyword_overlap,
     "evidence_survival": benchmark_evidence, "criticality_gate": criticality_gate, "coverage_semijoin": coverage_semijoin, "missing_antijoin": missing_antijoin, "reference_dedup": reference_dedup,
     "uri_validation": reference_registry, "budget_select": budget_selection, "budget_manifest": budget_manifest, "volatile_normalise": volatile_normalise, "search_filter": search_filter, "redact_lines": redact_lines,
 }
@@ -148,8 +140,7 @@ ORACLE_SQL = {
     "sha_digest": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "fnv_hash": "SELECT c_custkey, lpad(printf('%x', list_reduce(list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))), 8, '0') AS hash FROM customer",
     "line_counts": "WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS raw FROM documents) SELECT doc_id, count(*) AS lines, CAST(count(*) FILTER (WHERE trim(raw) = '') AS BIGINT) AS blank FROM l GROUP BY 1",
-    "keyword_sets": f"WITH k AS (SELECT doc_id, {KEYS.format('text')} AS ws FROM documents WHERE lang = 'en'), u AS (SELECT doc_id, ws, list_distinct(ws) AS d FROM k), o AS (SELECT doc_id, list_sort(list_slice(list_sort(list_transform(d, lambda w: {{'at': list_position(ws, w), 'w': w}})), 1, 10)) AS x FROM u) SELECT doc_id, array_to_string(list_sort(list_transform(x, lambda s: s.w)), ',') AS keywords FROM o",
-    "keyword_sets_all": f"WITH k AS (SELECT doc_id, {KEYS.format("coalesce(text, '')")} AS ws FROM documents), u AS (SELECT doc_id, ws, list_distinct(ws) AS d FROM k), o AS (SELECT doc_id, list_sort(list_slice(list_sort(list_transform(d, lambda w: {{'at': list_position(ws, w), 'w': w}})), 1, 10)) AS x FROM u) SELECT doc_id, array_to_string(list_sort(list_transform(x, lambda s: s.w)), ',') AS keywords FROM o",
+    "keyword_sets": f"WITH k AS (SELECT doc_id, {KEYS.format("coalesce(text, '')")} AS ws FROM documents), u AS (SELECT doc_id, ws, list_distinct(ws) AS d FROM k), o AS (SELECT doc_id, list_sort(list_slice(list_sort(list_transform(d, lambda w: {{'at': list_position(ws, w), 'w': w}})), 1, 10)) AS x FROM u) SELECT doc_id, array_to_string(list_sort(list_transform(x, lambda s: s.w)), ',') AS keywords FROM o",
     "keyword_overlap": f"""WITH t AS (SELECT conv_id, arg_min(text, turn) AS a, arg_max(text, turn) AS b FROM conversations GROUP BY 1), k AS (SELECT conv_id, list_distinct({KEYS.format('lower(a)')}) AS a, list_distinct({KEYS.format('lower(b)')}) AS b FROM t), n AS (SELECT conv_id, len(a) AS na, len(list_distinct(list_concat(a, b))) AS nu, len(list_intersect(a, b)) AS ni FROM k)
 SELECT conv_id, round(CASE WHEN na = 0 THEN 0.0 ELSE CAST(ni AS DOUBLE) / na END, 6) AS overlap, round(CASE WHEN nu = 0 THEN 1.0 ELSE CAST(ni AS DOUBLE) / nu END, 6) AS jaccard, round(CASE WHEN na = 0 THEN 1.0 ELSE CAST(ni AS DOUBLE) / na END, 6) AS coverage FROM n""",
     "evidence_survival": "WITH e AS (SELECT *, json_extract_string(props, '$.k') AS evidence_id FROM events), orig AS (SELECT user_id, evidence_id, arg_min(event_type, event_id) AS value FROM e GROUP BY ALL), repl AS (SELECT user_id, evidence_id, arg_max(event_type, event_id) AS value FROM e GROUP BY ALL), ev AS (SELECT user_id, evidence_id, CASE WHEN value = 'error' THEN 'HIGH' ELSE 'LOW' END AS criticality FROM orig)" + SURVIVAL.format("user_id"),
@@ -164,3 +155,5 @@ SELECT page_id, CASE WHEN s = '' THEN 'format' WHEN s NOT IN ('ctx', 'mem', 'rep
     "search_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red')",
     "redact_lines": "WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '(?i)(token|password|secret)') THEN '[redacted]' ELSE x END) AS ls FROM documents) SELECT doc_id, CAST(len(list_filter(ls, lambda x: x = '[redacted]')) AS BIGINT) AS hidden, sha256(array_to_string(ls, chr(10))) AS digest FROM l",
 }
+
+ORACLE_SQL["keyword_sets_all"] = ORACLE_SQL["keyword_sets"]
