@@ -79,4 +79,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS t FROM w),
+z AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * o >= 90 * (x.c + y.c - o)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, coalesce(any_value(z.c), 0) AS n_shingles, min(r.c) AS component_id FROM documents d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN r ON r.v = d.doc_id GROUP BY d.doc_id""",
+    "op10_chat": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(k)),
+e AS (SELECT *, regexp_replace(replace(text, '\', '\\'), '(### |</turn>)', '\\\1', 'g') AS shown, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '?' || regexp_replace(replace(role, '\', '\\'), '(### |</turn>|: )', '\\\1', 'g') END AS label,
+  lag(role) OVER w AS before, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'user' THEN role = 'assistant' WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE false END AS follows FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('### : </turn>') + 1 + length(label) + length(shown)) AS BIGINT) AS formatted_chars,
+  bool_and(follows) AND arg_max(role, k) IN ('assistant', 'user') AS valid FROM f GROUP BY conv_id""",
+}

@@ -1,12 +1,15 @@
 """The text operators against plain versions: edge cases, brute force, held-out accuracy, exact round trips."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -494,6 +497,18 @@ def test_clashing_names_nulls_and_repeats(spark):
         assert out.count() == n
 
 
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_queries_give_what_their_sql_gives(spark, name):
+    duck = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        duck.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want, got = duck.sql(Q.ORACLE_SQL[name]), Q.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    rows = sorted(tuple(dict(zip(want.columns, r))[c] for c in columns) for r in want.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == rows
+
+
 # pipeline ------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.01"
