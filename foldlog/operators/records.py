@@ -139,3 +139,49 @@ def source_hashes(lines: DataFrame, by: str = "log_id") -> DataFrame:
 
     made = rows.withColumn("log", F.col("log").cast("string")).select("log", "raw").mapInPandas(run, "log string, fp string")
     return made.select(F.col("log").cast(kind).alias(by), "fp")
+
+
+def resolved(locators: DataFrame, by: str, sources: dict[str, DataFrame]) -> DataFrame:
+    """Adds `value` to (.., by, locator): what a locator `kind:key` names; null where nothing is there.
+
+    sources: {kind: (by, key, value)}, keys unique within `by`. One join against the tagged union of the sources.
+    """
+    union = None
+    for kind, df in sources.items():
+        part = df.select(by, F.concat(F.lit(f"{kind}:"), F.col("key").cast("string")).alias("_at"), F.col("value").cast("string").alias("value"))
+        union = part if union is None else union.unionByName(part)
+    at = F.concat(F.lower(F.trim(F.substring_index("locator", ":", 1))), F.lit(":"), F.trim(F.regexp_extract("locator", "^[^:]*:(.*)$", 1)))
+    return locators.withColumn("_at", at).join(union, [by, "_at"], "left").drop("_at")
+
+
+def last_quality(events: DataFrame, by: str, order: str, quality: str) -> DataFrame:
+    """(by, quality): the last known quality of each timeline; null where none is known."""
+    return events.groupBy(by).agg(F.max_by(quality, F.when(F.col(quality).isNotNull(), F.col(order))).alias("quality"))
+
+
+def first_references(events: DataFrame, by: str, order: str, ref: str) -> DataFrame:
+    """(by, ref, first, k): the distinct references of a timeline in order of appearance, a row each."""
+    seen = events.where(F.col(ref).isNotNull()).groupBy(by, ref).agg(F.min(order).alias("first"))
+    return seen.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("first", ref)).cast("long"))
+
+
+def entity(text: Column) -> Column:
+    """Without punctuation at the ends."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(".,;:()[]{} "))
+
+
+def holds_entity(name: Column, text: Column) -> Column:
+    """Whether the text holds the entity, letters of either case alike; an empty one is held by none."""
+    e = F.lower(entity(name))
+    return (e != "") & F.contains(F.lower(F.coalesce(text, F.lit(""))), e)
+
+
+def mean_or_one(x: Column) -> Column:
+    """The mean of a group; 1 where nothing is known."""
+    return F.coalesce(F.avg(x), F.lit(1.0))
+
+
+def reconstruction_line(ecu: Column, severity: Column, codes: Column, fields: dict[str, Column]) -> Column:
+    """A parsed event as one JSON line with sorted keys."""
+    parts = {"codes": codes, "ecu": ecu, "severity": severity, **fields}
+    return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(parts.items()))))

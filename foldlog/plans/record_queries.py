@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from foldlog.functions.hashing import VOLATILE, sha256
 from foldlog.functions.json_text import canonical_json, first_unsafe_path, stable_hash, string_array
 from foldlog.operators import records as R
-from foldlog.plans.log_queries import LINES, drift_findings_query, lines
-from foldlog.plans.run_queries import labelled
+from foldlog.plans.log_queries import LINES, PARSED, drift_findings_query, lines, parsed
+from foldlog.plans.run_queries import EV, conversation_events, labelled
 from foldlog.session import table
 
 #: Payloads hold every volatile key at the top and within an object in a list.
@@ -117,6 +117,39 @@ def quality_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", R.quality_explanation(F.col("score"), F.col("p_size") % 3, F.col("p_size") % 2, F.col("score") * 20, F.lit(500)).alias("text"))
 
 
+def evidence_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A locator of each event: of itself, of its line, or of what is not there."""
+    e = lines(spark, sf_dir)
+    k = F.col("event_id") % 3
+    locator = F.when(k == 0, F.concat(F.lit("event:"), "event_id")).when(k == 1, F.concat(F.lit(" Line : "), "line_no")).otherwise(F.concat(F.lit("section:"), "event_type"))
+    sources = {"event": e.select("user_id", F.col("event_id").alias("key"), F.col("event_type").alias("value")), "line": e.select("user_id", F.col("line_no").alias("key"), sha256(F.col("raw")).alias("value"))}
+    return R.resolved(e.select("user_id", "event_id", locator.alias("locator")), "user_id", sources).select("event_id", "locator", "value")
+
+
+def last_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.last_quality(conversation_events(spark, sf_dir), "execution_id", "seq", "quality")
+
+
+def timeline_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_references(conversation_events(spark, sf_dir), "execution_id", "seq", "ref")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("("), F.upper(F.regexp_extract("p_name", "^[a-z]+", 0)), F.lit(");"))
+    return p.select("p_partkey", R.entity(name).alias("entity"), R.holds_entity(name, F.col("p_name")).alias("named"), R.holds_entity(F.lit(" ;. "), F.col("p_name")).alias("empty"))
+
+
+def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean value of a user's errors, of which some users have none."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(R.mean_or_one(F.when((F.col("event_type") == "error") & (F.col("value") > 50), F.col("value"))), 4).alias("mean"))
+
+
+def reconstruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parsed(spark, sf_dir)
+    return p.select("line_no", R.reconstruction_line(F.col("ecu"), F.col("severity"), F.col("codes"), {"line_no": F.col("line_no")}).alias("line"))
+
+
 def _payload_sql() -> str:
     pair = {k: f'"{k}":"{v}"' for k, v in VOLATILE.items()}
     inner = ",".join(v for _, v in sorted({**pair, "kind": '"kind":"\' || event_type || \'"'}.items()))
@@ -131,7 +164,8 @@ PLACES = "floor((least(1, greatest(0, {0})) + 2.220446049250313e-16) * 1000 + 0.
 QUERIES = {
     "payload_canonical": payload_canonical, "payload_sorted": payload_sorted, "payload_refs": payload_refs, "unsafe_keys": unsafe_keys, "source_hash": source_hash, "gates": user_gates, "overall_status": nation_status,
     "label_flags": label_flags, "enriched_findings": enriched, "retention_blend": retention_blend, "missing_evidence": missing_evidence, "request_ids": request_ids, "reference_ids": reference_ids, "token_signals": token_signal_rows,
-    "quality_texts": quality_texts,
+    "quality_texts": quality_texts, "evidence_locators": evidence_locators, "last_quality": last_qualities, "timeline_references": timeline_references, "entities": entities, "mean_scores": mean_scores,
+    "reconstruction_lines": reconstruction_lines,
 }
 
 ORACLE_SQL = {
@@ -155,4 +189,10 @@ SELECT user_id, CAST(t > 0 AND (s < t OR rate < 1) AS INT) AS evidence_loss, CAS
 b AS (SELECT user_id, CAST(sum(n) AS DOUBLE) AS tn, CAST(sum(fine) AS DOUBLE) AS tf, count(*) AS days FROM d GROUP BY 1)
 SELECT d.user_id, d.day, CASE WHEN fine > 0 THEN {PLACES.format("(n - tn / days) / (tn / days)")} END AS token_cost_spike, CASE WHEN tf > 0 THEN {PLACES.format("(tf / tn - CAST(fine AS DOUBLE) / n) / (tf / tn)")} ELSE 0.0 END AS replay_consistency_drop FROM d JOIN b USING (user_id)""",
     "quality_texts": "SELECT p_partkey, 'Deterministic quality score ' || p_size || ': ' || CASE WHEN p_size % 3 > 0 THEN 'linked replay/reference evidence present' ELSE 'no replay/reference evidence linked' END || '; ' || CASE WHEN p_size % 2 > 0 THEN 'rollback evidence includes snapshots or artifacts' ELSE 'rollback evidence missing' END || '; ' || (CAST(p_size AS BIGINT) * 20) || '/500 ' || CASE WHEN p_size * 20 <= 500 THEN 'tokens used within budget' ELSE 'tokens exceeded budget' END || '.' AS text FROM part",
+    "evidence_locators": f"WITH {LINES} SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'event:' || event_id WHEN 1 THEN ' Line : ' || line_no ELSE 'section:' || event_type END AS locator, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN sha256(raw) END AS value FROM lines",
+    "last_quality": f"WITH {EV} SELECT execution_id, arg_max(quality, seq) FILTER (WHERE quality IS NOT NULL) AS quality FROM e GROUP BY 1",
+    "timeline_references": f"WITH {EV}, f AS (SELECT execution_id, ref, min(seq) AS first FROM e WHERE ref IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY first, ref) AS k FROM f",
+    "entities": "WITH x AS (SELECT p_partkey, upper(regexp_extract(p_name, '^[a-z]+')) AS entity, p_name FROM part) SELECT p_partkey, entity, entity <> '' AND contains(lower(p_name), lower(entity)) AS named, false AS empty FROM x",
+    "mean_scores": "SELECT user_id, round(coalesce(avg(value) FILTER (WHERE event_type = 'error' AND value > 50), 1.0), 4) AS mean FROM events GROUP BY 1",
+    "reconstruction_lines": f"""WITH {PARSED} SELECT line_no, '{{"codes":["' || array_to_string(codes, '","') || '"],"ecu":"' || ecu || '","line_no":' || line_no || ',"severity":"' || severity || '"}}' AS line FROM fam""",
 }
