@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlog.functions.numbers import FAILURE_LABELS, clamp, drop, rise
+from foldlog.functions.text import TOKEN
 
 # Owners, weights and reasons that results depend on.
 SAFETY, VALIDATION = "Safety Assurance", "Validation SRE"
@@ -185,3 +186,24 @@ def reconstruction_line(ecu: Column, severity: Column, codes: Column, fields: di
     """A parsed event as one JSON line with sorted keys."""
     parts = {"codes": codes, "ecu": ecu, "severity": severity, **fields}
     return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(parts.items()))))
+
+
+def signal_reasons(parts: list[str], band: Column, entering: Column) -> Column:
+    """Why a window stands out, in order and once each: parts above 0, the band it is in, and whether it enters deliberation."""
+    named = [F.when(F.col(p) > 0, F.lit(p)) for p in parts]
+    return F.array_distinct(F.array_compact(F.array(*named, F.when(band != "habit", F.concat(F.lit("band:"), band)), F.when(entering, F.lit("entered_deliberation")))))
+
+
+def artifact_summary(windows: DataFrame, by: str, triggered: Column, ratio: str, tokens: str, reasons: str) -> DataFrame:
+    """(by, windows, triggered, mean_ratio, tokens, reasons): tokens are null where no window knows them; reasons sorted, once each.
+
+    Reasons are few names, so what is gathered for a run is bounded by their number.
+    """
+    each = windows.groupBy(by).agg(F.count("*").alias("windows"), F.sum(F.coalesce(triggered, F.lit(False)).cast("long")).alias("triggered"), F.round(F.avg(ratio), 6).alias("mean_ratio"), F.sum(tokens).alias("tokens"))
+    names = windows.select(by, F.explode(reasons).alias("r")).distinct().groupBy(by).agg(F.array_join(F.sort_array(F.collect_list("r")), ",").alias("reasons"))
+    return each.join(names, by, "left").withColumn("reasons", F.coalesce("reasons", F.lit("")))
+
+
+def token_digest(text: Column) -> Column:
+    """A digest of the list of technical tokens of a text."""
+    return F.sha2(F.to_json(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))), 256)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from foldlog.functions.hashing import VOLATILE, sha256
 from foldlog.functions.json_text import canonical_json, first_unsafe_path, stable_hash, string_array
 from foldlog.operators import records as R
+from foldlog.operators.signals import signal_windows
 from foldlog.plans.log_queries import LINES, PARSED, drift_findings_query, lines, parsed
-from foldlog.plans.run_queries import EV, conversation_events, labelled
+from foldlog.plans.run_queries import EV, SIG, conversation_events, labelled, user_signals
 from foldlog.session import table
 
 #: Payloads hold every volatile key at the top and within an object in a list.
@@ -150,6 +151,18 @@ def reconstruction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("line_no", R.reconstruction_line(F.col("ecu"), F.col("severity"), F.col("codes"), {"line_no": F.col("line_no")}).alias("line"))
 
 
+def artifact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal windows of a user summed up; days of one event have no tokens."""
+    w = signal_windows(user_signals(spark, sf_dir))
+    reasons = R.signal_reasons(["compression_ratio_drop", "sparse_frame_spike", "unseen_signature"], F.col("band"), F.col("entering"))
+    w = w.select(F.col("execution_id").alias("user_id"), "band", F.col("error").alias("ratio"), F.when(F.col("compression_ratio") > 1, F.col("compression_ratio").cast("long")).alias("tokens"), reasons.alias("reasons"))
+    return R.artifact_summary(w, "user_id", F.col("band").isin("deliberation", "rollback_required"), "ratio", "tokens", "reasons")
+
+
+def token_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", R.token_digest(F.col("text")).alias("digest"))
+
+
 def _payload_sql() -> str:
     pair = {k: f'"{k}":"{v}"' for k, v in VOLATILE.items()}
     inner = ",".join(v for _, v in sorted({**pair, "kind": '"kind":"\' || event_type || \'"'}.items()))
@@ -165,7 +178,7 @@ QUERIES = {
     "payload_canonical": payload_canonical, "payload_sorted": payload_sorted, "payload_refs": payload_refs, "unsafe_keys": unsafe_keys, "source_hash": source_hash, "gates": user_gates, "overall_status": nation_status,
     "label_flags": label_flags, "enriched_findings": enriched, "retention_blend": retention_blend, "missing_evidence": missing_evidence, "request_ids": request_ids, "reference_ids": reference_ids, "token_signals": token_signal_rows,
     "quality_texts": quality_texts, "evidence_locators": evidence_locators, "last_quality": last_qualities, "timeline_references": timeline_references, "entities": entities, "mean_scores": mean_scores,
-    "reconstruction_lines": reconstruction_lines,
+    "reconstruction_lines": reconstruction_lines, "artifact_summary": artifact_summary, "token_digests": token_digests,
 }
 
 ORACLE_SQL = {
@@ -195,4 +208,9 @@ SELECT d.user_id, d.day, CASE WHEN fine > 0 THEN {PLACES.format("(n - tn / days)
     "entities": "WITH x AS (SELECT p_partkey, upper(regexp_extract(p_name, '^[a-z]+')) AS entity, p_name FROM part) SELECT p_partkey, entity, entity <> '' AND contains(lower(p_name), lower(entity)) AS named, false AS empty FROM x",
     "mean_scores": "SELECT user_id, round(coalesce(avg(value) FILTER (WHERE event_type = 'error' AND value > 50), 1.0), 4) AS mean FROM events GROUP BY 1",
     "reconstruction_lines": f"""WITH {PARSED} SELECT line_no, '{{"codes":["' || array_to_string(codes, '","') || '"],"ecu":"' || ecu || '","line_no":' || line_no || ',"severity":"' || severity || '"}}' AS line FROM fam""",
+    "artifact_summary": f"""WITH {SIG}, v AS (SELECT y.*, d.n, CASE WHEN error >= 0.85 THEN 'rollback_required' WHEN error < 0.3 THEN 'habit' WHEN error <= 0.55 THEN 'monitor' WHEN error >= 0.62 THEN 'deliberation' ELSE 'monitor' END AS band FROM y JOIN d USING (user_id, day)),
+r AS (SELECT user_id, unnest([CASE WHEN c > 0 THEN 'compression_ratio_drop' END, CASE WHEN s > 0 THEN 'sparse_frame_spike' END, CASE WHEN u > 0 THEN 'unseen_signature' END, CASE WHEN band <> 'habit' THEN 'band:' || band END, CASE WHEN entering THEN 'entered_deliberation' END]) AS r FROM v),
+g AS (SELECT user_id, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons FROM r WHERE r IS NOT NULL GROUP BY 1)
+SELECT user_id, count(*) AS windows, count(*) FILTER (WHERE band IN ('deliberation', 'rollback_required')) AS triggered, round(avg(error), 6) AS mean_ratio, CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS tokens, coalesce(any_value(reasons), '') AS reasons FROM v LEFT JOIN g USING (user_id) GROUP BY user_id""",
+    "token_digests": "SELECT doc_id, sha256('[' || coalesce(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_.:/+=-]+'), lambda x: '\"' || x || '\"'), ','), '') || ']') AS digest FROM documents",
 }
