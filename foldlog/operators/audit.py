@@ -31,9 +31,9 @@ def retention(records: DataFrame, findings: DataFrame, by: str, key: list[str])
 
 
 def replay_stability(passes: DataFrame, by: str, parts: list[str]) -> DataFrame:
-    """(by, passes, digests, stable): whether every pass over a data set gave one and the same digest of its parts."""
+    """(by, passes, digests, digest, stable): whether every pass over a data set gave one and the same digest of its parts; the least digest."""
     digest = sha256(F.concat_ws("|", *(F.col(p).cast("string") for p in parts)))
-    return passes.select(by, digest.alias("d")).groupBy(by).agg(F.count("*").alias("passes"), F.count_distinct("d").alias("digests")).withColumn("stable", F.col("digests") == 1)
+    return passes.select(by, digest.alias("d")).groupBy(by).agg(F.count("*").alias("passes"), F.count_distinct("d").alias("digests"), F.min("d").alias("digest")).withColumn("stable", F.col("digests") == 1)
 
 
 def evidence_survival(evidence: DataFrame, original: DataFrame, replayed: DataFrame, by: str, matches: Column | None = None) -> DataFrame:

@@ -12,12 +12,12 @@ from foldlog.operators.frame import compression_summary, frames
 from foldlog.operators.parse import parse_lines
 from foldlog.operators.records import source_hashes
 from foldlog.operators.reporting import drift_pivot, export_rows, incidents, service_health
-from foldlog.session import cut, table
+from foldlog.session import cut, spread, table
 from foldlog.sources.lines import event_lines
 
 
 def lines(spark: SparkSession, sf_dir: str, every_untimed: int = 0) -> DataFrame:
-    return event_lines(table(spark, sf_dir, "events"), every_untimed)
+    return event_lines(spread(table(spark, sf_dir, "events")), every_untimed)
 
 
 def parsed(spark: SparkSession, sf_dir: str, every_untimed: int = 0) -> DataFrame:
@@ -193,7 +193,7 @@ SELECT user_id, bucket, count(*) AS n FROM b GROUP BY ALL""",
     "positional_audit": f"WITH {PARSED}, {DRIFT}, w AS (SELECT event_id, count(*) FILTER (WHERE level = 'CRITICAL') AS c, count(*) FILTER (WHERE level = 'HIGH') AS h FROM findings GROUP BY 1) SELECT user_id, count(*) AS records, CAST(count(*) FILTER (WHERE c IS NULL) AS BIGINT) AS kept, CAST(coalesce(sum(c), 0) AS BIGINT) AS critical, CAST(coalesce(sum(h), 0) AS BIGINT) AS high, round(CAST(count(*) FILTER (WHERE c IS NULL) AS DOUBLE) / count(*), 6) AS retention, coalesce(sum(c), 0) = 0 AND coalesce(sum(h), 0) = 0 AS passed FROM events LEFT JOIN w USING (event_id) GROUP BY 1",
     "drift_findings": f"WITH {PARSED}, {DRIFT} SELECT event_id, field, level FROM findings",
     "drift_pivot": f"WITH {PARSED}, {DRIFT} SELECT user_id, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, count(*) FILTER (WHERE level = 'HIGH') AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low FROM findings GROUP BY 1",
-    "replay_stability": "SELECT user_id, CAST(3 AS BIGINT) AS passes, CAST(1 AS BIGINT) AS digests, true AS stable FROM events GROUP BY 1",
+    "replay_stability": f"WITH {LINES} SELECT user_id, CAST(3 AS BIGINT) AS passes, CAST(1 AS BIGINT) AS digests, sha256(count(*) || '|' || CAST(sum(line_no) AS BIGINT) || '|' || min(raw)) AS digest, true AS stable FROM lines GROUP BY 1",
     "line_digests": f"WITH {LINES} SELECT line_no, sha256(raw) AS digest FROM lines",
     "service_health": f"WITH {HEALTH} SELECT service, peak, failures, status FROM judged",
     "incidents": f"WITH {PARSED}, {DRIFT}, {HEALTH}, u AS (SELECT service AS about, status AS reason FROM judged WHERE status <> 'nominal' UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), 'drift' FROM findings WHERE level = 'HIGH') SELECT reason || '-' || lpad(CAST(row_number() OVER (PARTITION BY reason ORDER BY about) AS VARCHAR), 4, '0') AS incident, about, reason FROM u",

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it is read in fewer parts than there are cores: for rows that take long to work on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints; a folder of our own only where none is named."""
     sc = spark.sparkContext
