@@ -12,6 +12,7 @@ from foldlog.llm.fingerprint import imatch
 from foldlog.llm.language import identify_language
 from foldlog.llm.ngram_join import jaccard_components
 from foldlog.llm.quality import score_quality
+from foldlog.llm.repair import repair_report
 from foldlog.llm.secrets import secret_findings
 from foldlog.llm.sharding import shard_by_bytes
 from foldlog.llm.common import held_out
@@ -77,7 +78,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(chat_segments(turns))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_repair": op11_repair}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -93,4 +98,22 @@ f AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN be
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('### : </turn>') + 1 + length(label) + length(shown)) AS BIGINT) AS formatted_chars,
   bool_and(follows) AND arg_max(role, k) IN ('assistant', 'user') AS valid FROM f GROUP BY conv_id""",
+    "op11_repair": r"""WITH RECURSIVE z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT * EXCLUDE k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS d FROM z),
+t AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE d WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE d <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM t),
+r AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS f FROM n),
+step(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), one AS (SELECT p, q, CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END AS o FROM step WHERE c <> 's'),
+gap AS (SELECT k AS p, k AS q, 0 AS w, '' AS a, CAST([] AS VARCHAR[]) AS o FROM range(4) x(k) UNION ALL SELECT p, q, 5, 'I', [o] FROM one UNION ALL SELECT x.p, y.q, 10, 'II', [x.o, y.o] FROM one x JOIN one y ON y.p = x.q),
+edit AS (SELECT k AS p, k AS q, 2 AS w, 'D' AS a, '' AS c FROM range(4) x(k) UNION ALL SELECT p, q, 0, 'K', c FROM step UNION ALL SELECT p, q, 1, 'R', c FROM step WHERE c <> 's'),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, {'w': CAST(0 AS BIGINT), 'a': '', 'o': CAST([] AS VARCHAR[])} AS b FROM (SELECT DISTINCT conv_id FROM r) UNION ALL
+  SELECT s.conv_id, r.i, e.q, min({'w': s.b.w + g.w + e.w + CASE WHEN e.a <> 'D' AND r.f = 't' THEN 5 ELSE 0 END, 'a': s.b.a || g.a || e.a,
+    'o': s.b.o || g.o || CASE e.a WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE e.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] END})
+  FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN gap g ON g.p = s.q JOIN edit e ON e.p = g.q AND (e.a = 'D' OR r.f NOT IN ('b', 'd')) AND (e.a <> 'K' OR e.c = r.c) GROUP BY s.conv_id, r.i, e.q),
+g AS (SELECT s.conv_id, min({'w': s.b.w + g.w, 'a': s.b.a || g.a, 'o': s.b.o || g.o}) AS b FROM s JOIN gap g ON g.p = s.q AND g.q IN (0, 3) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i > s.i) GROUP BY s.conv_id),
+l AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY conv_id)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(g.b.w, 0) AS cost, coalesce(g.b.a, '') AS audit,
+  sha256(coalesce(array_to_string(g.b.o, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }
