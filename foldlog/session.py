@@ -37,18 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared checkpoint folder and read back: later reads take single columns."""
+def keep(df: DataFrame, *by: str) -> DataFrame:
+    """df, written once as Parquet in the shared checkpoint folder and read back: later reads take single columns.
+
+    by: columns whose values get folders of their own, so that a filter on them reads those alone.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Removes the files of a table that keep() wrote. Nothing may read it afterwards."""
     sc = df.sparkSession.sparkContext
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    folders = {f[: f.index("/", f.index("/table-") + 1)] for f in df.inputFiles() if "/table-" in f}
     for folder in folders:
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         if path.getName().startswith("table-"):
