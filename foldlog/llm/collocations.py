@@ -112,11 +112,17 @@ def phrase_counts(lang: str, texts: pa.Array, step: int, shards: int, marks: lis
             mark = np.where(whole, marks[n][slot_of(hashes, len(marks[n]))], 0)
 
 
+def packed(marks: list[np.ndarray]) -> list[bytes]:
+    """Mostly empty slots take little room on the disks that broadcasts pass through."""
+    return [zlib.compress(x.tobytes(), 1) for x in marks]
+
+
 def step_counts(shard: DataFrame, step: int, shards: int, marks) -> DataFrame:
-    """Counts (lang, n, phrase, start, c) of one step, a row for each task's chunk of texts; marks: broadcast arrays."""
+    """Counts (lang, n, phrase, start, c) of one step, a row for each task's chunk of texts; marks: arrays, broadcast as packed()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        slots = [np.frombuffer(zlib.decompress(x), np.uint8) for x in marks.value]
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
@@ -124,7 +130,7 @@ def step_counts(shard: DataFrame, step: int, shards: int, marks) -> DataFrame:
                 of_lang = rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks()
                 parts = of_lang.chunks if isinstance(of_lang, pa.ChunkedArray) else [of_lang]
                 for texts in parts:
-                    for out in phrase_counts(lang, texts, step, shards, marks.value):
+                    for out in phrase_counts(lang, texts, step, shards, slots):
                         for k in range(0, out.num_rows, 50_000):
                             yield out.slice(k, 50_000)
 
@@ -170,7 +176,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
     complete, words, pending, step, last = [], None, None, 0, shards
     while step < last:
         step += 1
-        held = spark.sparkContext.broadcast(marks)
+        held = spark.sparkContext.broadcast(packed(marks))
         counts = step_counts(dealt.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), step, shards, held)
         counts = counts if pending is None else counts.unionByName(pending)
         before, table = pending, keep(counts.groupBy("lang", "n", "phrase", "start").agg(F.sum("c").alias("c")))
@@ -183,7 +189,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
             marks[n][fresh] = step + 1
             if len(fresh):
                 last = max(last, step + shards)
-        held.unpersist()
+        held.destroy()
         if before is not None:
             discard(before)
         pending = table.where(~over)
