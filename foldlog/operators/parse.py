@@ -5,30 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.functions.text import TOKEN
+from foldlog.operators.signatures import CODE, CONTEXT_KEYS, event_signatures
 from foldlog.sources.lines import lookup
 
 # Patterns and vocabularies that results depend on.
 TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 SEVERITY = r"(?i)\b(FATAL|CRITICAL|ERROR|WARN(?:ING)?|INFO|DEBUG|TRACE)\b"
-CODE = r"(?i)\b([PCBU][0-9A-F]{4}|SPN\s*\d+|FMI\s*\d+|DTC[:= -]?[A-Z0-9-]+)\b"
 MODULE = r"(?i)\b(ECU|ACM|CPC|MCM|TCM|ABS|EBS|SCR|ICU|XENTRY|PTCAN|CGW|SAM|MR|FR)\b"
 MODULE_FIELD = r"(?i)\b(?:module|source|ecu)\s*(?:=|:)\s*([A-Za-z0-9_-]+)"
 FIELD = r"\b([A-Za-z][A-Za-z0-9_./-]{1,32})\s*(?:=|:)\s*([^\s,;|]+)"
-HEX = r"^0x[0-9A-Fa-f]+$"
-NUMBER = r"^[-+]?\d+(?:[.,]\d+)?(?:%|[A-Za-z]{1,5})?$"
-MEASUREMENT = r"^([-+]?\d+(?:[.,]\d+)?)(%|[A-Za-z]{1,5})?$"
-VOWELS = "[AEIOUÄÖÜaeiouäöü]"
 SEVERITY_ALIASES = {"FATAL": "FATAL", "CRITICAL": "CRIT", "ERROR": "ERR", "WARNING": "WARN", "WARN": "WARN", "INFO": "INFO", "DEBUG": "DBG", "TRACE": "TRC"}
+#: Fields that a family key shows.
+FIELDS = 5
 SEVERITY_SHORT = {"FATAL": "F", "CRIT": "C", "ERR": "E", "WARN": "W", "INFO": "I", "DBG": "D", "TRC": "T"}
-DOMAIN_TERMS = {
-    "temperature": "TMP", "temp": "TMP", "pressure": "PRS", "voltage": "VLT", "current": "CUR", "misfire": "MSFR", "combustion": "CMB", "irregularity": "IRG", "cylinder": "CYL",
-    "engine": "ENG", "emission": "EMS", "emissions": "EMS", "aftertreatment": "AFT", "sensor": "SNSR", "plausibility": "PLSB", "latency": "LAT", "timeout": "TMOT", "torque": "TRQ",
-    "brake": "BRK", "fault": "FLT", "diagnostic": "DGN", "diagnostics": "DGN", "xentry": "XTRY", "guided-test": "GDT", "guided": "GDD", "keepalive": "KALV",
-}
-STOP_WORDS = ["a", "an", "and", "by", "detected", "for", "from", "in", "of", "on", "says", "test", "the", "to", "with"]
-CONTEXT_KEYS = ["ecu", "module", "source"]
-ENUM_KEYS = ["axle", "cylinder", "cyl", "fmi"]
 
 
 def timestamp(line: Column) -> Column:
@@ -60,57 +49,11 @@ def codes(line: Column) -> Column:
 
 def fields(line: Column) -> Column:
     """The key=value and key:value pairs as a map; of repeated keys the last counts."""
-    pairs = F.transform(F.regexp_extract_all(line, F.lit(FIELD), F.lit(0)), lambda m: F.struct(F.lower(F.regexp_extract(m, FIELD, 1)).alias("key"), F.regexp_extract(m, FIELD, 2).alias("value")))
-    later = lambda xs, x, i: F.exists(F.slice(xs, i + 2, F.greatest(F.size(xs) - i - 1, F.lit(0))), lambda y: y["key"] == x["key"])
-    last = lambda xs: F.filter(xs, lambda x, i: ~later(xs, x, i))
-    return F.map_from_entries(F.element_at(F.transform(F.array(pairs), last), 1))
-
-
-def measurement(value: Column, preserve: bool) -> Column:
-    """A number as the slot of its unit, or with `preserve` in upper case."""
-    if preserve:
-        return F.replace(F.upper(value), F.lit(" "), F.lit(""))
-    unit = F.upper(F.regexp_extract(F.trim(value), MEASUREMENT, 2))
-    return F.when(value.rlike(HEX), "0x#").when(~F.trim(value).rlike(MEASUREMENT), "#").otherwise(F.concat(F.lit("#"), F.when(unit == "", "N").otherwise(unit)))
-
-
-def bare(text: Column) -> Column:
-    """Without vowels, in upper case."""
-    return F.upper(F.regexp_replace(text, VOWELS, ""))
-
-
-def signature(text: Column, preserve: bool = True, family: bool = True, depth: int = 2) -> Column:
-    """The consonant signature of a text: its tokens shortened one by one and joined by dots.
-
-    `depth` bounds how often the value of a key=value token is itself shortened as a text; a value that holds
-    a further pair below that depth counts as a plain word.
-    """
-
-    def pair(token: Column) -> Column:
-        key, value = F.regexp_extract(token, r"^([^=:]*)[=:](.*)$", 1), F.regexp_extract(token, r"^([^=:]*)[=:](.*)$", 2)
-        short = F.left(bare(value), F.lit(8))
-        if family and depth > 0:
-            inner = F.left(signature(value, False, True, depth - 1), F.lit(6))
-            short = F.when(F.lower(key).isin(ENUM_KEYS), short).otherwise(inner)
-        shown = F.when(value.rlike(NUMBER) | value.rlike(HEX), measurement(value, preserve)).otherwise(short)
-        whole = F.concat(F.left(bare(key), F.lit(6)), F.lit("="), shown)
-        return F.when(F.lower(key).isin(CONTEXT_KEYS), "").otherwise(whole) if family else whole
-
-    def plain(token: Column) -> Column:
-        squeezed = F.regexp_replace(F.regexp_replace(bare(token), r"([^0-9])\1+", "$1"), "[^A-Z0-9_.:/+-]", "")
-        return F.left(squeezed, F.lit(8 if family else 10))
-
-    def part(token: Column) -> Column:
-        low = F.btrim(F.lower(token), F.lit(".,;|()[]{}"))
-        term = lookup(DOMAIN_TERMS, low, "")
-        skip = (low == "") | low.isin(STOP_WORDS) if family else low == ""
-        out = F.when(skip, "").when(token.rlike(f"^(?:{CODE})$"), F.replace(F.upper(token), F.lit(" "), F.lit("")))
-        out = out.when(token.rlike(HEX), F.lit("0x#") if family else F.upper(token)).when(token.rlike(NUMBER), measurement(token, preserve)).when(term != "", term)
-        return (out.when(token.rlike("[=:]"), pair(token)) if depth > 0 else out).otherwise(plain(token))
-
-    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), part), lambda x: x != "")
-    joined = F.array_join(F.slice(parts, 1, 12 if family else 16), ".")
-    return F.when(joined == "", "EMPTY").otherwise(joined)
+    group = lambda k: F.regexp_extract_all(line, F.lit(FIELD), F.lit(k))
+    keys, values = F.transform(group(1), F.lower), group(2)
+    last = lambda p: F.map_from_arrays(F.array_distinct(p["keys"]), F.transform(F.array_distinct(p["keys"]), lambda k: F.element_at(p["values"], (F.size(p["keys"]) + 1 - F.array_position(F.reverse(p["keys"]), k)).cast("int"))))
+    made = lambda p: F.when(F.size(F.array_distinct(p["keys"])) == F.size(p["keys"]), F.map_from_arrays(p["keys"], p["values"])).otherwise(last(p))
+    return F.element_at(F.transform(F.array(F.struct(keys.alias("keys"), values.alias("values"))), made), 1)
 
 
 def without_prefixes(line: Column) -> Column:
@@ -119,27 +62,19 @@ def without_prefixes(line: Column) -> Column:
     return F.btrim(F.regexp_replace(out, r"(?i)\b(?:ECU|module|source)\s*(?:=|:)\s*[A-Za-z0-9_-]+", ""), F.lit(" -|[]"))
 
 
-def field_signature(values: Column) -> Column:
-    """Up to five fields in key order, without context keys, each shortened; '-' without fields."""
-    keys = F.slice(F.filter(F.sort_array(F.map_keys(values)), lambda k: ~k.isin(CONTEXT_KEYS)), 1, 5)
-
-    def short(k: Column) -> Column:
-        v = values[k]
-        shown = F.when(k.isin(ENUM_KEYS), F.left(signature(v, True, depth=1), F.lit(8))).when(v.rlike(NUMBER) | v.rlike(HEX), measurement(v, False)).otherwise(F.left(signature(v, False, depth=1), F.lit(8)))
-        return F.concat(F.left(signature(k, depth=1), F.lit(6)), F.lit("="), shown)
-
-    return F.when(F.size(values) == 0, "-").otherwise(F.array_join(F.transform(keys, short), ","))
-
-
 def parse_lines(lines: DataFrame, signatures: bool = True) -> DataFrame:
     """Adds to (log_id, line_no, raw) the parsed parts; blank lines are dropped. Row by row, without a shuffle.
 
-    With `signatures` also the consonant signature and the family key.
+    With `signatures` also the consonant signature, the fingerprint and the family key.
     """
     raw = F.col("raw")
     out = lines.where(F.trim(raw) != "").withColumns({"timestamp": timestamp(raw), "severity": severity(raw), "ecu": module(raw), "codes": codes(raw), "fields": fields(raw)})
     if not signatures:
         return out
+    keys = F.slice(F.filter(F.sort_array(F.map_keys("fields")), lambda k: ~k.isin(CONTEXT_KEYS)), 1, FIELDS)
+    values = F.transform(keys, lambda k: F.col("fields")[k])
+    made = event_signatures(without_prefixes(raw), keys, values, F.concat_ws("|", "severity", "ecu", F.array_join("codes", ",")))
     first_code = F.when(F.size("codes") > 0, F.col("codes")[0]).otherwise("NO_CODE")
-    out = out.withColumn("signature", signature(without_prefixes(raw), preserve=False))
-    return out.withColumn("family", F.concat_ws(":", "ecu", "severity", first_code, F.left("signature", F.lit(32)), field_signature(F.col("fields"))))
+    shown = F.when(F.size("fields") == 0, "-").otherwise(F.col("_made.fields"))
+    out = out.withColumn("_made", made).withColumns({"signature": F.col("_made.signature"), "fingerprint": F.col("_made.fingerprint"), "family": F.concat_ws(":", "ecu", "severity", first_code, F.left("_made.signature", F.lit(32)), shown)})
+    return out.drop("_made")

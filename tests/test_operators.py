@@ -9,6 +9,7 @@ from foldlog.functions import text as T
 from foldlog.functions.hashing import canonical, fnv1a
 from foldlog.operators import families as fam
 from foldlog.operators import parse as P
+from foldlog.operators import signatures as S
 from foldlog.operators.audit import evidence_survival
 from foldlog.operators.frame import frames
 from foldlog.operators.references import budget_select, first_by_keys, uri_problem
@@ -48,12 +49,12 @@ def test_english_word_is_a_code(spark):
 
 
 def test_signature(spark):
-    sig = lambda v, **k: one(spark, P.signature(F.lit(v), **k))
+    sig = lambda v, exact=True: one(spark, S.signature(F.lit(v), exact, True))
     assert sig("the and of") == "EMPTY"
-    assert sig("engine temperature 81C", preserve=False) == "ENG.TMP.#C"
+    assert sig("engine temperature 81C", False) == "ENG.TMP.#C"
     assert sig("0xFF misfire P0301") == "0x#.MSFR.P0301"
     assert sig("balloon") == "BLN"
-    assert sig("cylinder=4 rpm=900", preserve=False) == "CYLNDR=#N.RPM=#N"
+    assert sig("cylinder=4 rpm=900", False) == "CYLNDR=#N.RPM=#N"
     assert sig(" ".join(["brake"] * 20)) == ".".join(["BRK"] * 12)
 
 
