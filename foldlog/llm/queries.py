@@ -14,6 +14,7 @@ from foldlog.llm.language import identify_language
 from foldlog.llm.ngram_join import jaccard_components
 from foldlog.llm.quality import score_quality
 from foldlog.llm.repair import repair_report
+from foldlog.llm.scoring import score_texts
 from foldlog.llm.secrets import secret_findings
 from foldlog.llm.sharding import shard_by_bytes
 from foldlog.llm.common import held_out
@@ -87,7 +88,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_repair": op11_repair, "op12_collocations": op12_collocations}
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), folds=7, fold=2, carry=["doc_id"])
+    return scored.select("doc_id", "lm.*")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_quality": op2_quality, "op3_fingerprint": op3_fingerprint, "op4_decontamination": op4_decontamination, "op5_secrets": op5_secrets, "op6_ngram_join": op6_ngram_join, "op7_sharding": op7_sharding, "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_chat": op10_chat, "op11_repair": op11_repair, "op12_collocations": op12_collocations, "op13_language_model": op13_language_model}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
