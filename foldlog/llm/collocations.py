@@ -36,7 +36,9 @@ CHUNK = 8 << 20
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP = 32_768
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-NUMBERS = "lang string, n int, phrase string, start int, c long"
+#: A counted phrase is one text: a character for the step it started in, the language, a tab (no word holds one), its words.
+NUMBERS = "key string, c long"
+FIRST = 33
 
 
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
@@ -78,8 +80,8 @@ def phrase_counts(lang: str, texts: pa.Array, step: int, shards: int, marks: lis
     def batch(n: int, first: np.ndarray, since: np.ndarray, how_often: np.ndarray) -> pa.RecordBatch:
         words = [names.take(pa.array(code[first + k])) for k in range(n)]
         phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-        m = len(first)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(np.full(m, n, np.int32)), phrase, pa.array(since.astype(np.int32)), pa.array(how_often.astype(np.int64))], ["lang", "n", "phrase", "start", "c"])
+        starts = pa.array([f"{chr(FIRST + k)}{lang}" for k in range(step + 1)], pa.string()).take(pa.array(since))
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(starts, phrase, "\t"), pa.array(how_often.astype(np.int64))], ["key", "c"])
 
     def counted(n: int, at: np.ndarray, since: np.ndarray) -> pa.RecordBatch:
         key = code[at]
@@ -118,7 +120,7 @@ def packed(marks: list[np.ndarray]) -> list[bytes]:
 
 
 def step_counts(shard: DataFrame, step: int, shards: int, marks) -> DataFrame:
-    """Counts (lang, n, phrase, start, c) of one step, a row for each task's chunk of texts; marks: arrays, broadcast as packed()."""
+    """Counts (key, c) of one step, a row for each task's chunk of texts; marks: arrays, broadcast as packed()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -166,6 +168,13 @@ def new_marks(frequent: DataFrame, sizes: list[int]) -> dict[int, np.ndarray]:
     return {n: np.concatenate(parts) for n, parts in found.items()}
 
 
+def told(counts: DataFrame) -> DataFrame:
+    """(key, c) with the parts of the key: lang, n, phrase."""
+    phrase, rest = F.substring_index("key", "\t", -1), F.col("key").substr(F.lit(2), F.char_length("key"))
+    n = F.char_length(phrase) - F.char_length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1
+    return counts.select("key", "c", F.left(rest, F.char_length(rest) - F.char_length(phrase) - 1).alias("lang"), n.alias("n"), phrase.alias("phrase"))
+
+
 def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int = SHARDS, slots: tuple[int, int] = SLOTS) -> tuple[DataFrame, DataFrame]:
     """((lang, n, phrase, f) of all phrases of up to `longest` words that occur `threshold` times, (lang, n) of all words)."""
     spark = docs.sparkSession
@@ -179,8 +188,9 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
         held = spark.sparkContext.broadcast(packed(marks))
         counts = step_counts(dealt.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), step, shards, held)
         counts = counts if pending is None else counts.unionByName(pending)
-        before, table = pending, keep(counts.groupBy("lang", "n", "phrase", "start").agg(F.sum("c").alias("c")))
-        over = F.col("start") + (shards - 1) <= step
+        before, summed = pending, keep(counts.groupBy("key").agg(F.sum("c").alias("c")))
+        over = F.ascii("key") - FIRST + (shards - 1) <= step
+        table = told(summed)
         complete.append(cut(table.where(over & (F.col("c") >= threshold)).select("lang", "n", "phrase", F.col("c").alias("f"))))
         if step == shards:
             words = cut(table.where("n = 1").groupBy("lang").agg(F.sum("c").alias("n")))
@@ -192,7 +202,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, longest: int, shards: int
         held.destroy()
         if before is not None:
             discard(before)
-        pending = table.where(~over)
+        pending = summed.where(~over)
     discard(pending)
     discard(dealt)
     return reduce(DataFrame.unionByName, complete), words
