@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from foldlog.llm.common import small_batches
 from foldlog.session import cut, discard, keep
 
-SHARDS = 3
+SHARDS = 2
 #: log2 of the slots for words, and for longer phrases: one byte each, in every Python worker.
 SLOTS = (22, 25)
 #: Bytes of text that are counted together in a task.
