@@ -41,7 +41,7 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     found = F.regexp_extract_all(one_space(text), F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def keywords(text: Column, stop: list[str], least: int = 1) -> Column:

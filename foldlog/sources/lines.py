@@ -61,7 +61,7 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The lines of a document stay together in its own array: nothing is ordered across documents.
     """
     heads = r"^\s*(SECTION|TITLE):\s*(.*)$"
-    block = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n(?=\s*(?:SECTION|TITLE):)"), F.trim)
+    block = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n(?=\s*(?:SECTION|TITLE):)"), lambda b: F.trim(b))
     each = df.select(F.col(id_col).alias("id"), F.explode(block).alias("block"))
     head = F.split("block", r"\r?\n")[0]
     return each.where(head.rlike(heads)).select("id", F.lower(F.trim(F.regexp_extract(head, heads, 2))).alias("section"), F.trim(F.regexp_replace("block", r"^[^\n]*\n?", "")).alias("text"))
