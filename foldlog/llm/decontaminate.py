@@ -2,13 +2,15 @@
 
 Documents and benchmark items become 5-word shingles. A window of a document, as long as an item, can only be
 similar to it if it holds one of its shingles, and the best such window may start at one: moving the start to the
-first shared shingle loses none and keeps the length. So windows start where a document holds a benchmark
-shingle, in the sizes of the items that hold it. Each window's and item's shingles, weighted by how often they
-stand in it, make a 64-bit SimHash. Fingerprints are cut into four 16-bit blocks; two that differ in at most
-RADIUS = 23 bits have a block with at most five differing bits, so items are indexed under every such value of
-each block, and no pair within the radius is missed. At similarity 0.8 fingerprints differ in about 10 bits, and
-in more than the radius about once in 10**5. Candidates are then compared by the exact weighted Jaccard similarity
-of their shingles.
+first shared shingle loses none and keeps the length (at a text's end the window moves back to fit). At least `percent` in a hundred
+of the window's places must then hold shingles of items of that length, so other starts are dropped. Windows are compared with
+items of their own length only.
+
+Each window's and item's shingles, weighted by how often they stand in it, make TABLES independent 64-bit SimHashes.
+Fingerprints are cut into four 16-bit blocks; two that differ in at most RADIUS = 15 bits have a block with at most three
+differing bits, so items are indexed under every such value of each block, and no pair within the radius is missed.
+At similarity 0.8 fingerprints differ in about 10 bits, and in more than the radius about once in 50, so in both tables
+about once in 2,500. Candidates are then compared by the exact weighted Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from foldlog.llm.common import free_name, row_key
 from foldlog.session import cut
 
 WIDTH, PERCENT = 5, 80
-RADIUS, BLOCKS = 23, 4
+RADIUS, BLOCKS, TABLES = 15, 4, 2
 #: Distinct benchmark shingles up to which they go to every task as a list; beyond it documents are joined with them.
 LISTED = 50_000
 
@@ -43,8 +45,10 @@ def numbered(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.transform(grams, lambda x: F.xxhash64(x, F.lit(1)))).otherwise(F.transform(grams, count))
 
 
-def simhash(grams: Column) -> Column:
-    """Bit b is set where more than half of the weight has it set."""
+def simhash(grams: Column, table: int = 0) -> Column:
+    """Bit b is set where more than half of the weight has it set; each table hashes shingles anew."""
+    if table:
+        return simhash(F.transform(grams, lambda x: F.xxhash64(x, F.lit(table))))
     bit = lambda b: F.when(F.aggregate(grams, F.lit(0), lambda s, x: s + F.getbit(x, b).cast("int")) * 2 > F.size(grams), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
@@ -73,7 +77,7 @@ def hits(docs: DataFrame, items: DataFrame, listed: int = LISTED) -> DataFrame:
 def contamination(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", listed: int = LISTED) -> DataFrame:
     """(id, item, similarity, start_word, n_words): each document and item of which some window is similar enough.
 
-    similarity is the best exact weighted Jaccard similarity of item-sized windows, at least percent/100;
+    similarity is the best exact weighted Jaccard similarity of windows of the item's length (of the whole text, where it is shorter), at least percent/100;
     start_word (from 0) the first such window. Nulls and empty texts hold no shingle and match nothing. A text or item of fewer
     than five words is one shingle, and matches only its like. Texts of any length are read whole. Ties go to
     the first window; repeated rows are one result. Benchmark and documents may be empty. Extra columns are
@@ -81,27 +85,34 @@ def contamination(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, i
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = cut(benchmark.select(F.col(item_col).alias("item_id"), shingles(F.col("text")).alias("grams")).where(F.size("grams") > 0))
-    held = cut(hits(docs, items, listed))
+    held = cut(hits(docs, items, listed).withColumn("h", F.monotonically_increasing_id()))
     sizes = items.select(F.size("grams").alias("n"), F.explode("grams").alias("g")).distinct()
-    starts = held.select("doc_id", "grams", F.explode("at").alias("i")).withColumn("g", F.col("grams")[F.col("i")]).join(sizes, "g")
+    # small structs are exploded alone: no place carries the document's shingles
+    spots = held.select("h", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), F.col("grams")[i].alias("g")))).alias("x")).select("h", "x.*")
+    places = spots.join(sizes, "g").groupBy("h", "n").agg(F.sort_array(F.collect_set("i")).alias("p"))
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    enough = F.filter("p", lambda x, j: F.coalesce(F.get("p", j + least - 1) < x + F.col("n"), F.lit(False)))
+    starts = places.select("h", "n", F.explode(enough).alias("i")).join(held.select("h", "doc_id", "grams"), "h")
+    starts = starts.withColumn("i", F.least("i", F.greatest(F.lit(0), F.size("grams") - F.col("n")))).select("doc_id", "n", "i", F.slice("grams", F.col("i") + 1, F.col("n")).alias("grams"))
     # SimHash and comparison once for each distinct window, however many copies hold it
-    windows = starts.select("doc_id", "i", F.slice("grams", F.col("i") + 1, F.col("n")).alias("grams")).withColumn("w", F.xxhash64("grams"))
-    windows = cut(windows)
-    prints = cut(windows.dropDuplicates(["w"]).select("w", "grams").withColumn("f", simhash(F.col("grams"))))
-    item_prints = cut(items.withColumn("e", simhash(F.col("grams"))))
+    windows = cut(starts.withColumn("w", F.xxhash64("grams")))
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), simhash(F.col("grams"), t).alias("f")) for t in range(TABLES)))
+    prints = cut(windows.dropDuplicates(["w", "n"]).select("w", "n", "grams", tables.alias("fs")))
+    item_prints = cut(items.withColumns({"n": F.size("grams"), "fs": tables}))
     near = F.expr(f"filter(sequence(0, {(1 << 64 // BLOCKS) - 1}), x -> bit_count(x) <= {RADIUS // BLOCKS})")
-    index = item_prints.select("item_id", "e", F.explode(blocks(F.col("e"))).alias("b")).select("item_id", "e", "b.k", F.col("b.v").alias("v0"), F.explode(near).alias("x"))
-    index = index.select("item_id", "e", "k", F.col("v0").bitwiseXOR(F.col("x")).alias("v"))
-    probes = prints.select("w", "f", F.explode(blocks(F.col("f"))).alias("b")).select("w", "f", "b.k", "b.v")
+    split = lambda df, *kept: df.select(*kept, F.explode("fs").alias("x")).select(*kept, "x.*").select(*kept, "t", "f", F.explode(blocks(F.col("f"))).alias("b")).select(*kept, "t", "f", "b.k", "b.v")
+    index = split(item_prints, "item_id", "n").withColumnRenamed("f", "e").select("item_id", "n", "t", "e", "k", "v", F.explode(near).alias("x"))
+    index = index.withColumn("v", F.col("v").bitwiseXOR(F.col("x"))).drop("x")
     # Spark sizes the index without its explosion: it is joined by sorting, never broadcast
-    pairs = probes.join(index.hint("merge"), ["k", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("e"))) <= RADIUS).select("w", "item_id").distinct()
-    both = pairs.join(prints.select("w", F.col("grams").alias("a")), "w").join(items.select("item_id", F.col("grams").alias("b")), "item_id")
-    sets = both.select("w", "item_id", numbered(F.col("a")).alias("a"), numbered(F.col("b")).alias("b"))
-    told = sets.select("w", "item_id", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("o"))
-    similar = told.where(f"100 * o >= {percent} * (x + y - o)").select("w", "item_id", (F.col("o") / (F.col("x") + F.col("y") - F.col("o"))).alias("similarity"))
-    found = windows.select("doc_id", "i", F.size("grams").alias("n"), "w").join(similar, "w")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("i")).alias("back"), "n")).alias("m"))
-    return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "m.similarity", (-F.col("m.back")).cast("int").alias("start_word"), (F.col("m.n") + WIDTH - 1).alias("n_words"))
+    within = split(prints, "w", "n").join(index.hint("merge"), ["n", "t", "k", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("e"))) <= RADIUS)
+    pairs = within.select("w", "n", "item_id").distinct()
+    both = pairs.join(prints.select("w", "n", F.col("grams").alias("a")), ["w", "n"]).join(items.select("item_id", F.col("grams").alias("b")), "item_id")
+    sets = both.select("w", "n", "item_id", numbered(F.col("a")).alias("a"), numbered(F.col("b")).alias("b"))
+    told = sets.select("w", "n", "item_id", F.size("a").alias("x"), F.size("b").alias("y"), F.size(F.array_intersect("a", "b")).alias("o"))
+    similar = told.where(f"100 * o >= {percent} * (x + y - o)").select("w", "n", "item_id", (F.col("o") / (F.col("x") + F.col("y") - F.col("o"))).alias("similarity"))
+    found = windows.select("doc_id", "i", "n", "w", F.size("grams").alias("length")).join(similar, ["w", "n"])
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("i")).alias("back"), "length")).alias("m"))
+    return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "m.similarity", (-F.col("m.back")).cast("int").alias("start_word"), (F.col("m.length") + WIDTH - 1).alias("n_words"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

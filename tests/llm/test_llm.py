@@ -209,6 +209,25 @@ def test_windows_just_over_the_threshold_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 40) for k in range(1000)}
 
 
+def test_items_of_different_lengths_that_share_shingles(spark):
+    rng = random.Random(9)
+    b = words(rng, 54, 10**6).split()
+    items = [(1, " ".join([*b[:5], *words(rng, 40, 10**6).split()])), (2, " ".join(b)), (3, " ".join(b[:44])), (4, " ".join(b[3:50]))]
+    texts = [" ".join(b[:45]), " ".join(b[:44]), "before " + " ".join(b), " ".join(words(rng, 30).split() + b[:47]), " ".join(b[6:]), " ".join(b[:47] + words(rng, 30).split()), " ".join((words(rng, 9) + " ").join([" ".join(b)] * 3).split())]
+    for some in (items, items[1:], items[:2], items[1:2]):
+        got = decontaminate.contamination(docs_of(spark, texts), spark.createDataFrame(some, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_contamination(list(enumerate(texts)), some)
+
+
+def test_a_long_item_and_repeated_rows(spark):
+    rng = random.Random(10)
+    item = words(rng, 1500, 10**6)
+    texts = [words(rng, 40) + " " + item + " " + words(rng, 4000)] * 2 + [item[: len(item) // 2]]
+    df = docs_of(spark, texts).withColumn("doc_id", F.greatest(F.lit(1), "doc_id"))
+    got = decontaminate.contamination(df, spark.createDataFrame([(7, item), (8, item[200:])], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 7), (1, 8)}
+
+
 def test_decontaminate_edges(spark):
     docs, items, d, i = contaminated(spark)
     bad = {x for x, _ in brute_contamination(d, i)}
