@@ -30,9 +30,9 @@ from foldlog.session import cut, discard, keep
 
 SHARDS = 2
 #: log2 of the slots for words, and for longer phrases: one byte each, in every Python worker.
-SLOTS = (22, 25)
+SLOTS = (22, 24)
 #: Bytes of text that are counted together in a task.
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP = 32_768
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
