@@ -4,68 +4,143 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldlog.functions.hashing import VOLATILE, fnv1a
+from foldlog.functions.hashing import FNV_OFFSET, FNV_PRIME, MASK, VOLATILE, fnv1a
 
 # Limits and placeholders that results depend on, and keys that must not stand in an artifact.
 DEEPEST, LONGEST = 8, 1024
 NOT_FINITE = {"nan": "[NON_FINITE_NUMBER_NAN]", "inf": "[NON_FINITE_NUMBER_INFINITY]", "-inf": "[NON_FINITE_NUMBER_NEGATIVE_INFINITY]"}
 TOO_DEEP = "[MAX_DEPTH_EXCEEDED]"
+LONG = "[TRUNCATED_STRING_HASH_{}_LENGTH_{}]"
 UNSAFE = ["rawFileContents", "fileData", "rawPayload", "compactPayload"]
 UNSAFE_INSIDE = ["content", "body"]
 CONTAINERS = ["metadata", "compactPayload", "replaySnapshots", "compressionSignalMappings"]
+#: A mark, a text or a word of JSON behind white space; what stands behind a key.
+PIECE = re.compile(r'[ \t\n\r]*([{}\[\],]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+)[ \t\n\r]*', re.S)
+COLON = re.compile(r"[ \t\n\r]*:")
 
 
-def steady(value: object) -> object:
-    """Values of volatile keys, at any depth, become a placeholder of their kind."""
-    if isinstance(value, list):
-        return [steady(x) for x in value]
-    if isinstance(value, dict):
-        return {k: VOLATILE[k] if k in VOLATILE else steady(v) for k, v in value.items()}
-    return value
+def short_hash(text: str) -> str:
+    """FNV-1a of the UTF-16 code units, eight hexadecimal digits."""
+    h, units = FNV_OFFSET, text.encode("utf-16-le", "surrogatepass")
+    for k in range(0, len(units), 2):
+        h = ((h ^ (units[k] | units[k + 1] << 8)) * FNV_PRIME) & MASK
+    return f"{h:08x}"
 
 
-def ordered(value: object, digits: int | None, depth: int = 0) -> object:
-    """Numbers rounded to `digits` (half to even), what is not finite named, what is nested too deep cut."""
+def scalar(value: object, digits: int | None, bounded: bool) -> str:
+    """Numbers rounded to `digits` (half to even), what is not finite named, long texts replaced by their hash and length."""
     if isinstance(value, float):
         if not math.isfinite(value):
-            return NOT_FINITE[str(value)]
-        value = value if digits is None else round(value, digits)
-        return int(value) if digits is None and value.is_integer() and abs(value) < 1e21 else value
-    if isinstance(value, list | dict) and depth > DEEPEST:
-        return TOO_DEEP
-    if isinstance(value, list):
-        return [ordered(x, digits, depth + 1) for x in value]
-    if isinstance(value, dict):
-        return {k: ordered(v, digits, depth + 1) for k, v in value.items()}
-    return value
-
-
-def unsafe_path(value: object, path: str = "") -> str | None:
-    """The first path to a key that must not be there; contents and bodies only within payload containers."""
-    if isinstance(value, list):
-        return next((p for i, x in enumerate(value) if (p := unsafe_path(x, f"{path}[{i}]"))), None)
-    if isinstance(value, dict):
-        for k, v in value.items():
-            at = f"{path}.{k}" if path else k
-            if k in UNSAFE or (k in UNSAFE_INSIDE and any(c in at for c in CONTAINERS)):
-                return at
-            if found := unsafe_path(v, at):
-                return found
+            value = NOT_FINITE[str(value)]
+        elif digits is not None:
+            value = round(value, digits)
+        elif value.is_integer() and abs(value) < 1e21:
+            value = int(value)
+    if isinstance(value, str) and bounded and (n := len(value.encode("utf-16-le", "surrogatepass")) // 2) > LONGEST:
+        value = LONG.format(short_hash(value), n)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def written(value: object, volatile: bool, digits: int | None, bounded: bool) -> str:
+    """Canonical text of a value. The walk keeps its own stack, so it goes to any depth; a depth below 0 marks text that is ready."""
+    out, todo = [], [(value, 0)]
+    while todo:
+        x, depth = todo.pop()
+        if depth < 0:
+            out.append(x)
+        elif bounded and depth > DEEPEST:
+            out.append(json.dumps(TOO_DEEP))
+        elif isinstance(x, dict):
+            todo.append(("}", -1))
+            for k in sorted(x, reverse=True):
+                todo.append((VOLATILE[k] if volatile and k in VOLATILE else x[k], depth + 1))
+                todo.append((("," if k != min(x) else "") + json.dumps(k, ensure_ascii=False) + ":", -1))
+            todo.append(("{", -1))
+        elif isinstance(x, list):
+            todo.append(("]", -1))
+            for i in range(len(x) - 1, -1, -1):
+                todo.append((x[i], depth + 1))
+                if i:
+                    todo.append((",", -1))
+            todo.append(("[", -1))
+        else:
+            out.append(scalar(x, digits, bounded))
+    return "".join(out)
+
+
+def unsafe_path(value: object) -> str | None:
+    """The first path to a key that must not be there; contents and bodies only within payload containers. Any depth."""
+    todo = [(value, "", None)]
+    while todo:
+        x, path, key = todo.pop()
+        if key is not None and (key in UNSAFE or (key in UNSAFE_INSIDE and any(c in path for c in CONTAINERS))):
+            return path
+        if isinstance(x, dict):
+            todo.extend((v, f"{path}.{k}" if path else k, k) for k, v in reversed(x.items()))
+        elif isinstance(x, list):
+            todo.extend((x[i], f"{path}[{i}]", None) for i in range(len(x) - 1, -1, -1))
     return None
 
 
+def read(text: str) -> object:
+    """The value of a JSON text; texts nested too deeply for the library are read with a stack. ValueError for what is no JSON."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    root: list = []
+    stack, keys, at = [root], [None], 0
+    expect = "value"  # value, first (a value or the end of a list), key, name (a key or the end of a map), next
+    while at < len(text):
+        m = PIECE.match(text, at)
+        if m is None:
+            raise ValueError("no JSON")
+        at, piece = m.end(), m[1]
+        top = stack[-1]
+        if piece in ("}", "]"):
+            if len(stack) == 1 or isinstance(top, dict) != (piece == "}") or expect not in ("next", "first", "name"):
+                raise ValueError("no JSON")
+            stack.pop(), keys.pop()
+            expect = "next"
+        elif piece == ",":
+            if expect != "next" or len(stack) == 1:
+                raise ValueError("no JSON")
+            expect = "key" if isinstance(top, dict) else "value"
+        elif expect in ("key", "name"):
+            if not piece.endswith('"') or (colon := COLON.match(text, at)) is None:
+                raise ValueError("no JSON")
+            keys[-1], at, expect = json.loads(piece), colon.end(), "value"
+        elif expect in ("value", "first"):
+            value = {} if piece == "{" else [] if piece == "[" else json.loads(piece)
+            if isinstance(top, dict):
+                top[keys[-1]] = value
+            else:
+                top.append(value)
+            expect = "next"
+            if piece in "{[":
+                stack.append(value)
+                keys.append(None)
+                expect = "name" if piece == "{" else "first"
+        else:
+            raise ValueError("no JSON")
+    if len(stack) != 1 or len(root) != 1:
+        raise ValueError("no JSON")
+    return root[0]
+
+
 def _by_value(text: Column, f: Callable[[object], str | None]) -> Column:
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(x: str | None) -> str | None:
             try:
-                return None if x is None else f(json.loads(x))
+                return None if x is None else f(read(x))
             except ValueError:
                 return None
 
@@ -78,9 +153,10 @@ def _by_value(text: Column, f: Callable[[object], str | None]) -> Column:
 def canonical_json(text: Column, volatile: bool = False, digits: int | None = None) -> Column:
     """JSON text with sorted keys and no blanks; with `volatile` values that change from run to run are replaced.
 
-    Null for null and for what is no JSON. Numbers may be rounded to `digits`; NaN and infinities have names.
+    Null for null and for what is no JSON. NaN and infinities have names. With `digits` numbers are rounded and
+    everything stays; else what is deeper than DEEPEST and texts longer than LONGEST are replaced by marks. Texts of any depth are read.
     """
-    return _by_value(text, lambda v: json.dumps(ordered(steady(v) if volatile else v, digits), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    return _by_value(text, lambda v: written(v, volatile, digits, digits is None))
 
 
 def stable_hash(canonical: Column) -> Column:

@@ -53,13 +53,14 @@ def rate_text(rate: Column) -> Column:
 def enriched_findings(findings: DataFrame, by: str, order: str, level: str, category: str) -> DataFrame:
     """(id, by, severity, title, owner): findings numbered within `by` in the given order.
 
-    Numbers come from counts of blocks of the order (a number), so that no task numbers all findings of one `by`.
+    Numbers come from counts of blocks of the order (a number), so that no task numbers all findings of one `by`. Findings without
+    an order come last.
     """
-    block = F.floor(F.col(order) / 4096).alias("_block")
+    block = F.coalesce(F.floor(F.col(order) / 4096), F.lit(1 << 62)).alias("_block")
     blocks = findings.groupBy(by, block).agg(F.count("*").alias("_n"))
     before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(by, "_block").orderBy(order, category))
-    numbered = findings.withColumn("_block", F.floor(F.col(order) / 4096)).withColumn("_k", inside).join(before, [by, "_block"])
+    numbered = findings.withColumn("_block", block).withColumn("_k", inside).join(before, [by, "_block"])
     name = F.upper(F.replace(F.col(by).cast("string"), F.lit("."), F.lit("-")))
     shown = F.coalesce(F.col(level), F.lit("INFO"))
     return numbered.select(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from foldlog.session import cut
 
@@ -18,24 +19,25 @@ def budget_select(refs: DataFrame, by: str, budget: int) -> DataFrame:
     """Adds `taken` and `used` to (by, id, relevance, tokens): in order of relevance, tokens, id, what still fits is taken.
 
     A choice depends on all before it, so the rows of a group pass in order through one task as a stream that
-    keeps a single sum; Spark partitions and sorts them, and no group is gathered.
+    keeps a single sum; Spark partitions and sorts them, and no group is gathered. Rows pass as Arrow batches, so
+    that ids beside nulls stay exact. Null groups are one group; a reference of unknown (null) tokens never fits.
     """
     ordered = refs.repartition(by).sortWithinPartitions(by, F.desc("relevance"), "tokens", "id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, used = object(), 0
         for rows in batches:
             taken, sums = [], []
-            for g, n in zip(rows[by], rows["tokens"]):
+            for g, n in zip(rows.column(by).to_pylist(), rows.column("tokens").to_pylist()):
                 if g != group:
                     group, used = g, 0
-                fits = used + n <= budget
+                fits = n is not None and used + n <= budget
                 used += n if fits else 0
                 taken.append(fits)
                 sums.append(used)
-            yield rows.assign(taken=taken, used=sums)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(taken, pa.bool_()), pa.array(sums, pa.int64())], [*rows.schema.names, "taken", "used"])
 
-    return ordered.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in refs.dtypes) + ", taken boolean, used long")
+    return ordered.mapInArrow(run, StructType([*refs.schema, StructField("taken", BooleanType()), StructField("used", LongType())]))
 
 
 def manifest(selected: DataFrame, by: str) -> DataFrame:

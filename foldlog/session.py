@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to all workers, for sessions that were not started where Python finds it. Spark serves the archive from the driver."""
+    root = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='foldlog-')}/{root.name}-{uuid.uuid4().hex[:8]}", "zip", root.parent, root.name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores where it is read in fewer parts than there are cores: for rows that take long to work on."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -20,11 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a folder of our own only where none is named."""
+    """The cluster's shared folder for checkpoints; a folder of our own only where none is named, and only on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
