@@ -143,18 +143,27 @@ def paper_sources(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, F.explode(every).alias("p")).select(id_col, "p.*")
 
 
+def evidence_sides(evidence: DataFrame, papers: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, evidence_id, value): the keywords of the sentence or line that each piece of evidence names, where it is there."""
+    wanted = evidence.select(id_col, "evidence_id", F.trim("locator").alias("locator"))
+    return wanted.join(paper_sources(papers, id_col, text_col), [id_col, "locator"]).select(id_col, "evidence_id", spoken(F.col("value")).alias("value"))
+
+
+def replayed_sides(evidence: DataFrame, replayed: DataFrame, id_col: str) -> DataFrame:
+    """(id, evidence_id, value): the keywords of the replayed field that the evidence's section names; a line has no field."""
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS)))
+    sides = replayed.select(id_col, fields.alias("x")).select(id_col, "x.*")
+    named = evidence.where(F.contains("locator", F.lit(":"))).select(id_col, "evidence_id", F.trim(F.substring_index("locator", ":", 1)).alias("field"))
+    return named.join(sides, [id_col, "field"]).select(id_col, "evidence_id", spoken(F.array_join("value", " ")).alias("value"))
+
+
 def paper_evidence(evidence: DataFrame, papers: DataFrame, replayed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """evidence_survival() of locators: the original side is a sentence or line, the replayed side the section's field.
 
     evidence: (id, evidence_id, locator, criticality). A line has no replayed side. Sides match from an overlap of keywords of
     EVIDENCE_OVERLAP. Locators that name nothing find nothing; evidence ids are unique within a paper.
     """
-    wanted = evidence.select(id_col, "evidence_id", F.trim("locator").alias("locator"))
-    original = wanted.join(paper_sources(papers, id_col, text_col), [id_col, "locator"]).select(id_col, "evidence_id", spoken(F.col("value")).alias("value"))
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS)))
-    sides = replayed.select(id_col, fields.alias("x")).select(id_col, "x.*")
-    named = wanted.withColumn("field", F.substring_index("locator", ":", 1)).where(F.contains("locator", F.lit(":")))
-    again = named.join(sides, [id_col, "field"]).select(id_col, "evidence_id", spoken(F.array_join("value", " ")).alias("value"))
+    original, again = evidence_sides(evidence, papers, id_col, text_col), replayed_sides(evidence, replayed, id_col)
     return evidence_survival(evidence, original, again, id_col, overlap(F.col("o"), F.col("r")) >= EVIDENCE_OVERLAP)
 
 

@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlog.functions.text import coverage, one_space, token_count
+from foldlog.functions.numbers import failure_labels
+from foldlog.functions.text import coverage, normalized, one_space, word_count
+from foldlog.operators.audit import evidence_survival
 from foldlog.operators.states import STATUS_ORDER, clean_list
 
 # The shape of a trace, the fields of a state and their short keys.
@@ -20,6 +22,7 @@ TRACE = (
     "unresolved_blockers array<string>, deployment_requirements array<string>, recoveries array<string>"
 )
 SHORT = {"active_task": "a", "architecture_nodes": "ar", "unresolved_blockers": "b", "constraints": "c", "dependencies": "d", "deployment_requirements": "dr", "recovery_actions": "r", "tool_sequence": "t"}
+AVERAGES = ["blocker_survival_rate", "compression_ratio", "constraint_survival_rate", "dependency_survival_rate", "evidence_survival_rate", "high_critical_evidence_survival_rate", "operational_drift_rate", "replay_consistency", "tool_sequence_survival_rate"]
 RATES = {"blocker": "unresolved_blockers", "constraint": "constraints", "dependency": "dependencies", "tool_sequence": "tool_sequence"}
 
 _none = lambda kind: F.array().cast(f"array<{kind}>")
@@ -89,12 +92,48 @@ def survived(field: str, original: Column, again: Column) -> Column:
     return F.coalesce(there & (original == again), F.lit(False))
 
 
-def validation(original: DataFrame, again: DataFrame, compact: DataFrame, raw: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """A row a trace: survival rates of its lists, consistency and drift over its fields, tokens before and after."""
-    right = again.select(id_col, *(F.col(f).alias(f"_{f}") for f in SHORT))
-    both = original.join(right, id_col, "left").join(compact, id_col).join(raw.select(id_col, token_count(F.col(json_col)).alias("original_token_count")), id_col)
+def survival_rates(original: DataFrame, again: DataFrame, id_col: str) -> DataFrame:
+    """(id, a survival rate of each of the RATES lists, replay_consistency, operational_drift_rate)."""
+    right = again.select(id_col, *(F.col(f).alias(f"_{f}") for f in SHORT), F.lit(True).alias("_there"))
+    both = original.join(right, id_col, "left")
     held = reduce(lambda a, b: a + b, [survived(f, F.col(f), F.col(f"_{f}")).cast("int") for f in SHORT])
     rate = lambda f: F.round(coverage(F.col(f), F.coalesce(F.col(f"_{f}"), F.slice(F.col(f), 1, 0)), 0.0), 6)
-    rows = both.select(id_col, "original_token_count", token_count(F.col("compact")).alias("compact_token_count"), *(rate(f).alias(f"{k}_survival_rate") for k, f in RATES.items()), F.round(held / len(SHORT), 6).alias("replay_consistency"))
+    rows = both.where("_there").select(id_col, *(rate(f).alias(f"{k}_survival_rate") for k, f in RATES.items()), F.round(held / len(SHORT), 6).alias("replay_consistency"))
+    return rows.withColumn("operational_drift_rate", F.round(1 - F.col("replay_consistency"), 6))
+
+
+def field_texts(states: DataFrame, id_col: str) -> DataFrame:
+    """(id, field, value): each field of a state as text; lists as JSON."""
+    shown = lambda f: F.col(f) if f == "active_task" else F.to_json(F.struct(F.col(f).alias("x")))
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), shown(f).alias("value")) for f in SHORT)))
+    return states.select(id_col, rows.alias("x")).select(id_col, "x.*")
+
+
+def agent_evidence(evidence: DataFrame, original: DataFrame, again: DataFrame, id_col: str) -> DataFrame:
+    """evidence_survival() of locators `event:field`: both sides are the field, alike but for blanks and case.
+
+    evidence: (id, evidence_id, locator, criticality). Other locators, and fields that are not there, find nothing.
+    """
+    named = evidence.where(F.trim("locator").startswith("event:")).select(id_col, "evidence_id", F.replace(F.trim("locator"), F.lit("event:"), F.lit("")).alias("field"))
+    side = lambda states: named.join(field_texts(states, id_col), [id_col, "field"]).select(id_col, "evidence_id", "value")
+    return evidence_survival(evidence, side(original), side(again), id_col, normalized(F.col("o")) == normalized(F.col("r")))
+
+
+def validation(original: DataFrame, again: DataFrame, compact: DataFrame, raw: DataFrame, id_col: str, json_col: str, evidence: DataFrame | None = None) -> DataFrame:
+    """A row a trace: survival rates of its lists, consistency and drift over its fields, tokens before and after.
+
+    With evidence also what survived of it, and the labels of what was lost; without evidence of a trace its rates are 0, its flags false.
+    """
+    fields = F.struct(*(F.col(f) for f in sorted(SHORT)))
+    replay = again.select(id_col, word_count(F.to_json(F.struct(fields.alias("operational_fields"), "trace"), {"ignoreNullFields": "false"})).alias("replay_token_count"))
+    sizes = compact.select(id_col, word_count(F.col("compact")).alias("compact_token_count"))
+    rows = survival_rates(original, again, id_col).join(sizes, id_col).join(replay, id_col).join(raw.select(id_col, word_count(F.col(json_col)).alias("original_token_count")), id_col)
     ratio = F.when(F.col("compact_token_count") > 0, F.round(F.col("original_token_count") / F.col("compact_token_count"), 6)).otherwise(0.0)
-    return rows.withColumns({"operational_drift_rate": F.round(1 - F.col("replay_consistency"), 6), "compression_ratio": ratio})
+    rows = rows.withColumn("compression_ratio", ratio)
+    if evidence is None:
+        return rows
+    of = lambda c, none, name: F.coalesce(F.col(c), F.lit(none)).alias(name)
+    kept = rows.columns
+    rows = rows.join(agent_evidence(evidence, original, again, id_col), id_col, "left").select(*kept, of("evidence_survival_rate", 0.0, "evidence_survival_rate"), of("high_survival_rate", 0.0, "high_critical_evidence_survival_rate"), of("evidence_survived", 0, "evidence_survived"), of("evidence_total", 0, "evidence_total"), F.col("evidence_total").isNotNull().alias("has_evidence"), of("has_high", False, "has_high_critical_evidence"))
+    labels = failure_labels(F.col("has_evidence"), F.col("evidence_survived"), F.col("evidence_total"), F.col("evidence_survival_rate"), F.col("has_high_critical_evidence"), F.col("high_critical_evidence_survival_rate"), F.col("constraint_survival_rate"), F.col("blocker_survival_rate"))
+    return rows.withColumn("failure_labels", labels)

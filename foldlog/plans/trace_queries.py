@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlog.functions.numbers import FAILURE_LABELS
+from foldlog.operators import cycles as C
 from foldlog.operators import traces as T
+from foldlog.operators.papers import BUDGETS, EVIDENCE_OVERLAP, FIELDS, TEXTS, THRESHOLDS, validation_summary
+from foldlog.plans import paper_queries
 from foldlog.session import table
 
 
@@ -34,13 +38,132 @@ def agent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.validation(original, T.replayed(spoilt, "conv_id"), compact, raw, "conv_id", "json").select("conv_id", "blocker_survival_rate", "constraint_survival_rate", "dependency_survival_rate", "tool_sequence_survival_rate", "replay_consistency", "operational_drift_rate")
 
 
+def whole_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace of each conversation with every part: words of users are constraints, of assistants blockers, of systems requirements, of every fourth turn recoveries."""
+    c = table(spark, sf_dir, "conversations").withColumn("word", F.regexp_extract("text", "[A-Za-z0-9]+", 0))
+    in_order = lambda x, when: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("turn", x.alias("x"))))), lambda s: s["x"])
+    of = lambda role: in_order(F.col("word"), F.col("role") == role)
+    always = F.lit(True)
+    calls = in_order(F.struct(F.col("turn").alias("index"), F.col("role").alias("tool"), F.col("word").alias("command"), F.when(F.col("turn") % 3 == 0, " ").otherwise("ok").alias("result")), always)
+    references = in_order(F.struct(F.col("word").alias("node"), F.col("role").alias("role")), F.col("turn") % 2 == 0)
+    last = F.max_by(F.struct(F.col("turn").cast("string").alias("id"), F.concat(F.lit("  "), F.col("word")).alias("title"), F.lit("in_progress").alias("status")), "turn")
+    each = c.groupBy("conv_id").agg(
+        calls.alias("tool_calls"), F.array(last).alias("tasks"), of("user").alias("constraints"), of("assistant").alias("unresolved_blockers"), of("system").alias("deployment_requirements"),
+        in_order(F.col("word"), F.col("turn") % 4 == 1).alias("recoveries"), references.alias("architecture_references"), F.count("*").alias("n"),
+    )
+    link = lambda k, kind: F.struct(F.lit(f"d{k}").alias("id"), F.lit("a").alias("from"), F.lit("b").alias("to"), kind.alias("type"), F.lit("x").alias("detail"))
+    links = F.array(link(2, F.lit("uses")), link(1, F.when(F.col("n") % 2 == 0, "uses").otherwise("")))
+    body = F.struct(F.concat(F.lit("conv-"), "conv_id").alias("trace"), "tasks", "constraints", links.alias("dependencies"), "tool_calls", "architecture_references", "unresolved_blockers", "deployment_requirements", "recoveries")
+    return each.select("conv_id", F.to_json(body).alias("json"))
+
+
+def trace_evidence(raw: DataFrame) -> DataFrame:
+    """Three conversations in four name fields; one that is not there, and a line, which traces have not."""
+    specs = [("a", "event:constraints", F.lit("HIGH")), ("b", "event:tool_sequence", F.lit("LOW")), ("c", " event:active_task", F.lit("medium")), ("d", "event:nothing", F.lit("LOW")), ("e", "line:1", F.when(F.col("conv_id") % 2 == 1, "HIGH").otherwise("LOW"))]
+    rows = F.array(*(F.struct(F.lit(i).alias("evidence_id"), F.lit(at).alias("locator"), c.alias("criticality")) for i, at, c in specs))
+    return raw.where("conv_id % 4 <> 0").select("conv_id", F.explode(rows).alias("e")).select("conv_id", "e.*")
+
+
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third trace loses its tool calls, every fifth of the others its blockers."""
+    raw = whole_traces(spark, sf_dir)
+    original = T.agent_states(raw, "conv_id", "json")
+    compact = T.compact_text(original, "conv_id")
+    lost = lambda key, text: F.regexp_replace(text, rf'"{key}":\[[^]]*\]', f'"{key}":[]')
+    text = F.col("compact")
+    spoilt = compact.withColumn("compact", F.when(F.col("conv_id") % 3 == 0, lost("t", text)).when(F.col("conv_id") % 5 == 0, lost("b", text)).otherwise(text))
+    return T.validation(original, T.replayed(spoilt, "conv_id"), compact, raw, "conv_id", "json", trace_evidence(raw))
+
+
+def agent_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated(spark, sf_dir).withColumn("failure_labels", F.array_join("failure_labels", ","))
+
+
+def agent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation_summary(validated(spark, sf_dir), T.AVERAGES, "trace_count").withColumn("failure_labels", F.array_join("failure_labels", ","))
+
+
+LIMITS = C.Limits(cycles=3, least_consistency=0.3, least_critical=0.5, most_drift=0.6)
+
+
+def cycled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of documents and traces of conversations, three cycles under each profile, as one table of runs."""
+    raw, states, _, _ = paper_queries.parts(spark, sf_dir)
+    papers = C.run_names(C.paper_cycles(states, paper_queries.evidence(raw), raw, "doc_id", "text", LIMITS), "id").withColumn("kind", F.lit("paper"))
+    traces_ = whole_traces(spark, sf_dir)
+    agents = C.run_names(C.agent_cycles(T.agent_states(traces_, "conv_id", "json"), trace_evidence(traces_), "conv_id", LIMITS), "id").withColumn("kind", F.lit("agent_trace"))
+    return papers.unionByName(agents)
+
+
+def replay_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycled(spark, sf_dir).withColumn("failure_labels", F.array_join("failure_labels", ","))
+
+
+def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cycled(spark, sf_dir).withColumn(C.RUN, F.col("id"))
+    return C.cycle_summary(rows, ["kind", "profile"]).withColumn("failure_labels", F.array_join("failure_labels", ","))
+
+
 STATES = """c AS (SELECT conv_id, turn, role, regexp_extract(text, '[A-Za-z0-9]+') AS word FROM conversations),
 s AS (SELECT conv_id, 'conv-' || conv_id AS trace, trim(arg_max(turn, turn) || ' ' || arg_max(word, turn)) AS active_task, count(*) AS n,
   list(word ORDER BY lower(word), turn) FILTER (WHERE role = 'user' AND word <> '') AS cs, list(role || '::' || word || '::ok' ORDER BY turn) FILTER (WHERE turn % 3 <> 0 AND word <> '' AND role <> '') AS ts FROM c GROUP BY 1)"""
 
-QUERIES = {"agent_states": agent_states, "agent_replay": agent_replay}
+WHOLE = """c AS (SELECT conv_id, turn, role, regexp_extract(text, '[A-Za-z0-9]+') AS word FROM conversations),
+s AS (SELECT conv_id, 'conv-' || conv_id AS trace, trim(arg_max(turn, turn) || ' ' || arg_max(word, turn)) AS active_task, arg_max(word, turn) AS last_word, count(*) AS n, count(*) FILTER (word <> '') AS words, count(*) FILTER (word <> '' AND turn % 2 = 0) AS node_words, count(*) FILTER (turn % 2 = 0) AS nodes,
+  count(*) FILTER (turn % 3 <> 0) AS oks, coalesce(list(word ORDER BY lower(word), turn) FILTER (role = 'user' AND word <> ''), []) AS cs, coalesce(list(word ORDER BY lower(word), turn) FILTER (role = 'assistant' AND word <> ''), []) AS bs,
+  coalesce(list(word ORDER BY lower(word), turn) FILTER (role = 'system' AND word <> ''), []) AS ds, coalesce(list(word ORDER BY lower(word), turn) FILTER (turn % 4 = 1 AND word <> ''), []) AS rs, coalesce(list(word || ': ' || role ORDER BY lower(word || ': ' || role), turn) FILTER (turn % 2 = 0 AND word <> ''), []) AS ars,
+  coalesce(list(role || '::' || word || '::ok' ORDER BY turn) FILTER (turn % 3 <> 0 AND word <> ''), []) AS ts, CASE WHEN count(*) % 2 = 0 THEN ['d1', 'd2'] ELSE ['d2'] END AS dl FROM c GROUP BY 1)"""
+_TRACE = ["cs", "bs", "ds", "rs", "ars", "ts", "dl"]
+_kept = lambda a, b: f"CASE WHEN len({a}) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter({a}, lambda x: list_contains({b}, x)))::DOUBLE / len({a}), 6) END"
+_same = lambda a, b: f"CAST(len({a}) > 0 AND {a} = {b} AS INT)"
+_agent_rates = lambda a: f"{_kept('s.bs', f'{a}.bs')} AS blocker_survival_rate, {_kept('s.cs', f'{a}.cs')} AS constraint_survival_rate, {_kept('s.dl', f'{a}.dl')} AS dependency_survival_rate, {_kept('s.ts', f'{a}.ts')} AS tool_sequence_survival_rate, round((1 + {' + '.join(_same(f's.{x}', f'{a}.{x}') for x in _TRACE)}) / 8.0::DOUBLE, 6) AS replay_consistency"
+_in_lists = lambda a: f"len({a}.cs) + len({a}.bs) + len({a}.ds) + len({a}.rs) + 2 * len({a}.ars) + 3 * len({a}.ts) + 10 * len({a}.dl)"
+AGENTS = WHOLE + f""", a AS (SELECT conv_id, cs, CASE WHEN conv_id % 3 <> 0 AND conv_id % 5 = 0 THEN [] ELSE bs END AS bs, ds, rs, ars, CASE WHEN conv_id % 3 = 0 THEN [] ELSE ts END AS ts, dl FROM s),
+v AS (SELECT s.conv_id, {_agent_rates('a')}, 9 + 1 + 3 + 1 + 1 + CAST(last_word <> '' AS INT) + len(s.cs) + len(s.bs) + len(s.ds) + len(s.rs) + 19 + CAST(n % 2 = 0 AS INT) + n * 6 + words + oks + nodes * 3 + node_words AS original_token_count,
+  13 + 1 + CAST(last_word <> '' AS INT) + {_in_lists('s')} AS compact_token_count, 11 + 1 + CAST(last_word <> '' AS INT) + {_in_lists('a')} AS replay_token_count, s.conv_id % 4 <> 0 AS has_evidence, s.conv_id % 4 <> 0 AS has_high_critical_evidence,
+  CASE WHEN s.conv_id % 4 <> 0 THEN 5 ELSE 0 END AS evidence_total, CASE WHEN s.conv_id % 4 <> 0 THEN 2 + CAST(s.ts = a.ts AS INT) ELSE 0 END AS evidence_survived, CASE WHEN s.conv_id % 4 = 0 THEN 0.0::DOUBLE WHEN s.conv_id % 2 = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS high_critical_evidence_survival_rate FROM s JOIN a USING (conv_id)),
+w AS (SELECT *, round(1 - replay_consistency, 6) AS operational_drift_rate, round(original_token_count::DOUBLE / compact_token_count, 6) AS compression_ratio, CASE WHEN has_evidence THEN round(evidence_survived / 5.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS evidence_survival_rate,
+  list_filter([CASE WHEN has_evidence THEN 'EVIDENCE_LOSS' END, CASE WHEN has_evidence AND high_critical_evidence_survival_rate < 1 THEN 'HIGH_CRITICAL_EVIDENCE_LOSS' END, CASE WHEN constraint_survival_rate < 1 THEN 'CONSTRAINT_DRIFT' END, CASE WHEN blocker_survival_rate < 1 THEN 'BLOCKER_DETACHMENT' END], lambda x: x IS NOT NULL) AS labels FROM v)"""
+_any_label = ", ".join(f"CASE WHEN bool_or(list_contains(labels, '{x}')) THEN '{x}' END" for x in FAILURE_LABELS)
+
+
+def _cycles() -> str:
+    """Both kinds unrolled, a common table a cycle; rows after a collapse are left out at the end."""
+    q = paper_queries
+    most = lambda x, n: f"{x}[1:CAST(least(len({x}), greatest(1, ceil(len({x}) * {n}))) AS BIGINT)]"
+    out = [q.STATES.replace("s AS (SELECT doc_id", "ps AS (SELECT doc_id").replace(" FROM s),", " FROM ps),"), "pr(profile, f, u) AS (VALUES ('CONSERVATIVE', 1.0::DOUBLE, 1.0::DOUBLE), ('BALANCED', 8 / 12.0::DOUBLE, 16 / 24.0::DOUBLE), ('AGGRESSIVE', 5 / 12.0::DOUBLE, 10 / 24.0::DOUBLE))"]
+    out.append(f"p0 AS (SELECT doc_id, profile, f, {', '.join(FIELDS)} FROM ps, pr)")
+    out.append(WHOLE.replace("c AS (SELECT conv_id, turn", "tc AS (SELECT conv_id, turn").replace("FROM c GROUP", "FROM tc GROUP"))
+    out.append(f"a0 AS (SELECT conv_id, profile, f, u, {', '.join(_TRACE)} FROM s, pr)")
+    rows = []
+    for k in (1, 2, 3):
+        held = "list_filter(entities, lambda e: list_contains(required_entities, e))"
+        others = "list_filter(entities, lambda e: NOT list_contains(required_entities, e))"
+        kept = q._by_letters(f"list_concat({held}, {others}[1:CAST(greatest(1, round_even(len({others}) * 0.8::DOUBLE, 0)) AS BIGINT)])")
+        out.append(f"pm{k} AS (SELECT doc_id, profile, f, {', '.join(f'{x}[1:{n}] AS {x}' for x, n in BUDGETS.items())}, {kept} AS entities, required_entities FROM p{k - 1})")
+        out.append(f"p{k} AS (SELECT doc_id, profile, f, {', '.join(f'{most(x, chr(102))} AS {x}' for x in [*TEXTS, 'entities'])}, required_entities FROM pm{k})")
+        matched = lambda o, r: f"coalesce({o} IS NOT NULL AND {q._share(q._words(o), r)} >= {EVIDENCE_OVERLAP}, false)"
+        survives = lambda f: f"CAST(len(s.{f}) > 0 AND {f's.{f} = a.{f}' if f == 'required_entities' else f'{q._share(f's.{f}', f'a.{f}')} >= {THRESHOLDS[f]}::DOUBLE'} AS INT)"
+        out.append(f"pe{k} AS (SELECT a.doc_id, profile, {matched('q1[1]', 'a.method')} AS e1, {matched('q2[2]', 'a.metrics')} AS e2, {matched('q3[1]', 'a.limitations')} AS e3, round(({' + '.join(survives(f) for f in FIELDS)}) / 8.0::DOUBLE, 6) AS replay_consistency FROM p{k} a JOIN ps s USING (doc_id))")
+        rows.append(f"""SELECT 'paper' AS kind, doc_id AS id, profile, {k}::BIGINT AS cycle, replay_consistency, doc_id % 5 <> 0 AS has, CASE WHEN doc_id % 5 <> 0 THEN round((CAST(e1 AS INT) + CAST(e2 AS INT) + CAST(e3 AS INT)) / 6.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS evidence_survival_rate,
+  CASE WHEN doc_id % 5 = 0 THEN 0.0::DOUBLE WHEN doc_id % 2 = 1 THEN (CAST(e1 AS INT) + CAST(e3 AS INT)) / 2.0::DOUBLE ELSE CAST(e1 AS DOUBLE) END AS high, 1.0::DOUBLE AS constraint_survival_rate, 1.0::DOUBLE AS blocker_survival_rate FROM pe{k}""")
+        out.append(f"a{k} AS (SELECT conv_id, profile, f, u, {', '.join(f'{most(x, chr(117) if x == chr(116) + chr(115) else chr(102))} AS {x}' for x in _TRACE)} FROM a{k - 1})")
+        rows.append(f"""SELECT 'agent_trace', s.conv_id, profile, {k}, replay_consistency, s.conv_id % 4 <> 0, CASE WHEN s.conv_id % 4 <> 0 THEN round((1 + ok_c + ok_t) / 5.0::DOUBLE, 6) ELSE 0.0::DOUBLE END, CASE WHEN s.conv_id % 4 = 0 THEN 0.0::DOUBLE WHEN s.conv_id % 2 = 1 THEN ok_c / 2.0::DOUBLE ELSE ok_c::DOUBLE END, constraint_survival_rate, blocker_survival_rate
+  FROM (SELECT s.conv_id, profile, CAST(s.cs = a.cs AS INT) AS ok_c, CAST(s.ts = a.ts AS INT) AS ok_t, {_agent_rates('a')} FROM s JOIN a{k} a USING (conv_id)) s""")
+    out.append("al AS (" + " UNION ALL ".join(rows) + ")")
+    out.append(f"""lb AS (SELECT *, round(1 - replay_consistency, 6) AS operational_drift_rate, list_filter([CASE WHEN has AND evidence_survival_rate < 1 THEN 'EVIDENCE_LOSS' END, CASE WHEN has AND high < 1 THEN 'HIGH_CRITICAL_EVIDENCE_LOSS' END, CASE WHEN constraint_survival_rate < 1 THEN 'CONSTRAINT_DRIFT' END, CASE WHEN blocker_survival_rate < 1 THEN 'BLOCKER_DETACHMENT' END], lambda x: x IS NOT NULL) AS labels FROM al),
+rs AS (SELECT *, CASE WHEN replay_consistency < {LIMITS.least_consistency} THEN 'min_replay_consistency' WHEN has AND high < {LIMITS.least_critical} THEN 'min_high_critical_evidence_survival_rate' WHEN operational_drift_rate > {LIMITS.most_drift} THEN 'max_operational_drift_rate' END AS reason FROM lb),
+cy AS (SELECT * FROM rs QUALIFY coalesce(count(reason) OVER (PARTITION BY kind, id, profile ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)""")
+    return ",\n".join(out)
+
+
+QUERIES = {"agent_states": agent_states, "agent_replay": agent_replay, "agent_validation": agent_validation, "agent_summary": agent_summary, "replay_cycles": replay_cycles, "cycle_summary": cycle_summary}
 
 ORACLE_SQL = {
+    "agent_validation": f"WITH {AGENTS} SELECT * EXCLUDE labels, array_to_string(labels, ',') AS failure_labels FROM w",
+    "agent_summary": f"WITH {AGENTS} SELECT {', '.join(f'round(avg({c}), 6) AS avg_{c}' for c in T.AVERAGES)}, concat_ws(',', {_any_label}) AS failure_labels, count(*) AS trace_count FROM w",
+    "replay_cycles": f"WITH {_cycles()} SELECT kind, id, profile, cycle, replay_consistency, operational_drift_rate, evidence_survival_rate, high AS high_critical_evidence_survival_rate, has AS has_high_critical_evidence, constraint_survival_rate, blocker_survival_rate, array_to_string(labels, ',') AS failure_labels, reason FROM cy",
+    "cycle_summary": f"WITH {_cycles()}, z AS (SELECT * FROM cy QUALIFY row_number() OVER (PARTITION BY kind, id, profile ORDER BY cycle DESC) = 1) SELECT kind, profile, count(*) AS runs, round(avg(CASE WHEN reason IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS collapse_rate, round(avg(replay_consistency), 6) AS average_replay_consistency, round(avg(operational_drift_rate), 6) AS average_operational_drift_rate, round(avg(evidence_survival_rate), 6) AS average_evidence_survival_rate, concat_ws(',', {_any_label}) AS failure_labels, max(CASE WHEN reason IS NOT NULL THEN cycle END) AS highest_collapse_cycle FROM z GROUP BY kind, profile",
     "agent_states": f"WITH {STATES} SELECT conv_id, trace, active_task, coalesce(array_to_string(cs, ','), '') AS constraints, coalesce(array_to_string(ts, ','), '') AS tool_sequence, CAST(CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS dependencies FROM s",
     "agent_replay": f"""WITH {STATES}, f AS (SELECT conv_id, coalesce(len(cs), 0) > 0 AS c, coalesce(len(ts), 0) > 0 AS t, n % 2 = 0 AS d, conv_id % 3 = 0 AS lost FROM s), g AS (SELECT *, round((1 + CAST(c AS INT) + CAST(d AS INT) + CAST(t AND NOT lost AS INT)) / 8.0::DOUBLE, 6) AS k FROM f)
 SELECT conv_id, 0.0::DOUBLE AS blocker_survival_rate, CAST(CAST(c AS INT) AS DOUBLE) AS constraint_survival_rate, CAST(CAST(d AS INT) AS DOUBLE) AS dependency_survival_rate, CAST(CAST(t AND NOT lost AS INT) AS DOUBLE) AS tool_sequence_survival_rate, k AS replay_consistency, round(1 - k, 6) AS operational_drift_rate FROM g""",
