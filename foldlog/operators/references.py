@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -72,6 +72,29 @@ def first_by_keys(refs: DataFrame, order: str, keys: list[str]) -> DataFrame:
     return refs.limit(0) if kept is None else kept
 
 
+def reference_index(entries: DataFrame, order: str) -> DataFrame:
+    """entries (id, uri, hash, created_at, ..) of all indexes without those whose id, uri or hash an earlier one has; `place` is their order.
+
+    Entries pass in `order` (unique); the kept ones are sorted by created_at, id, uri, hash. Places are counted within ranges of
+    the sort keys, so no task numbers all entries.
+    """
+    kept = cut(first_by_keys(entries, order, ["id", "uri", "hash"]))
+    keys = ["created_at", "id", "uri", "hash"]
+    ranged = cut(kept.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
+
+
+def registered(refs: DataFrame, order: str, by: str) -> DataFrame:
+    """The references of each group that a registry keeps: the first of each uri or hash, then the first of each id."""
+    named = refs.withColumns({"_uri": F.concat_ws("\x00", F.col(by).cast("string"), "uri"), "_hash": F.concat_ws("\x00", F.col(by).cast("string"), "hash")})
+    kept = first_by_keys(named, order, ["_uri", "_hash"])
+    first = kept.groupBy(by, "id").agg(F.min(order).alias(order))
+    return kept.join(first.select(order), order, "left_semi").drop("_uri", "_hash")
+
+
 def uri_problem(uri: Column) -> Column:
     """What is wrong with a reference's address, or null."""
     scheme, path = F.regexp_extract(uri, r"^([A-Za-z]+)://(.*)$", 1), F.regexp_extract(uri, r"^([A-Za-z]+)://(.*)$", 2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldlog.functions import text as T
 from foldlog.functions.hashing import canonical, fnv1a, sha256
 from foldlog.operators.audit import evidence_survival
-from foldlog.operators.references import budget_select, first_by_keys, manifest, scheme_of, uri_problem
+from foldlog.operators.references import budget_select, first_by_keys, manifest, reference_index, registered, scheme_of, uri_problem
 from foldlog.operators.reporting import search
 from foldlog.session import table
 from foldlog.sources.lines import text_lines
@@ -84,6 +84,24 @@ def reference_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by_keys(keyed, "page_id", ["host_key", "hash"])
 
 
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as references of two indexes: the even ones, then all. Some share an id, an address or a hash with others."""
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    refs = p.select(F.concat(F.lit("file-"), n % 171).alias("id"), F.concat(F.lit("file://pages/"), n % 190).alias("uri"), F.when(n % 9 == 0, F.sha2((n % 40).cast("string"), 256)).otherwise(F.sha2("html", 256)).alias("hash"), (n % 7).alias("created_at"), n.alias("page_id"), (F.char_length("url") % 40 + 1).cast("long").alias("tokens"), (n % 11 / 10).alias("relevance"))
+    return refs.where(n % 2 == 0).withColumn("at", F.col("page_id")).unionByName(refs.withColumn("at", F.col("page_id") + 10**9))
+
+
+def reference_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_index(page_references(spark, sf_dir), "at").select("place", "id", "uri", "hash", "created_at")
+
+
+def budget_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of each day registered, then chosen within 60 tokens."""
+    kept = registered(page_references(spark, sf_dir), "at", "created_at")
+    return budget_select(kept.select("created_at", "id", "relevance", "tokens"), "created_at", 60)
+
+
 def reference_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References made of pages: derived id, validity and scheme of their addresses."""
     p = table(spark, sf_dir, "pages")
@@ -129,13 +147,27 @@ PICK = """r AS (SELECT p_brand, p_partkey AS id, p_retailprice AS relevance, CAS
 pick AS (SELECT p_brand, id, tokens, k, tokens <= 300 AS taken, CASE WHEN tokens <= 300 THEN tokens ELSE 0 END AS used FROM r WHERE k = 1
   UNION ALL SELECT r.p_brand, r.id, r.tokens, r.k, pick.used + r.tokens <= 300, CASE WHEN pick.used + r.tokens <= 300 THEN pick.used + r.tokens ELSE pick.used END FROM pick JOIN r ON r.p_brand = pick.p_brand AND r.k = pick.k + 1)"""
 
+# a fold over rows in order: what a row may not share with those kept before is carried along
+FOLD = """keyed AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM given),
+folded AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, false AS kept UNION ALL
+  SELECT k.i, CASE WHEN list_has_any(seen, keys) THEN seen ELSE seen || keys END, NOT list_has_any(seen, keys) FROM folded f JOIN keyed k ON k.i = f.i + 1)"""
+PAGES = """refs AS (SELECT 'file-' || (page_id % 171) AS id, 'file://pages/' || (page_id % 190) AS uri, CASE WHEN page_id % 9 = 0 THEN sha256(CAST(page_id % 40 AS VARCHAR)) ELSE sha256(html) END AS hash, page_id % 7 AS created_at, page_id, CAST(length(url) % 40 + 1 AS BIGINT) AS tokens, (page_id % 11) / 10.0::DOUBLE AS relevance FROM pages),
+every AS (SELECT *, page_id AS pos FROM refs WHERE page_id % 2 = 0 UNION ALL SELECT *, page_id + 1000000000 FROM refs)"""
+
 QUERIES = {
+    "reference_index": reference_index_query, "budget_registered": budget_registered,
     "token_counts": token_counts, "sha_digest": sha_digest, "fnv_hash": fnv_hash, "line_counts": line_counts, "keyword_sets": keyword_sets, "keyword_sets_all": keyword_sets, "keyword_overlap": keyword_overlap,
     "evidence_survival": benchmark_evidence, "criticality_gate": criticality_gate, "coverage_semijoin": coverage_semijoin, "missing_antijoin": missing_antijoin, "reference_dedup": reference_dedup,
     "uri_validation": reference_registry, "budget_select": budget_selection, "budget_manifest": budget_manifest, "volatile_normalise": volatile_normalise, "search_filter": search_filter, "redact_lines": redact_lines,
 }
 
 ORACLE_SQL = {
+    "reference_dedup": f"WITH RECURSIVE given AS (SELECT page_id, page_id AS pos, regexp_extract(url, '^https?://([^/]+)/', 1) || '#' || (page_id % 50) AS host_key, sha256(html) AS hash, ['h' || host_key, 'x' || hash] AS keys FROM pages), {FOLD} SELECT page_id, host_key, hash FROM keyed JOIN folded USING (i) WHERE kept",
+    "reference_index": f"WITH RECURSIVE {PAGES}, given AS (SELECT *, ['i' || id, 'u' || uri, 'h' || hash] AS keys FROM every), {FOLD} SELECT row_number() OVER (ORDER BY created_at, id, uri, hash) AS place, id, uri, hash, created_at FROM keyed JOIN folded USING (i) WHERE kept",
+    "budget_registered": f"""WITH RECURSIVE {PAGES}, given AS (SELECT *, [created_at || 'u' || uri, created_at || 'h' || hash] AS keys FROM every), {FOLD},
+one AS (SELECT * FROM keyed JOIN folded USING (i) WHERE kept QUALIFY row_number() OVER (PARTITION BY created_at, id ORDER BY pos) = 1), o AS (SELECT *, row_number() OVER (PARTITION BY created_at ORDER BY relevance DESC, tokens, id) AS k FROM one),
+chosen AS (SELECT DISTINCT created_at, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS taken FROM o UNION ALL SELECT o.created_at, o.k, CASE WHEN c.used + o.tokens <= 60 THEN c.used + o.tokens ELSE c.used END, c.used + o.tokens <= 60 FROM chosen c JOIN o ON o.created_at = c.created_at AND o.k = c.k + 1)
+SELECT o.created_at, o.id, o.relevance, o.tokens, c.taken, c.used FROM o JOIN chosen c USING (created_at, k)""",
     "token_counts": f"SELECT doc_id, CAST(len(regexp_extract_all(text, {WORDS})) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_.:/+=-]+')) AS BIGINT) AS tokens FROM documents",
     "sha_digest": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "fnv_hash": "SELECT c_custkey, lpad(printf('%x', list_reduce(list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))), 8, '0') AS hash FROM customer",
