@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog.functions.text import words
 from foldlog.operators.contracts import event_problems, integrity_problems, violations
+from foldlog.operators.schemas import compiled, nested_violations
 from foldlog.operators.states import compact, degradation_summary, degrade, survival
 from foldlog.session import table
 
@@ -41,6 +44,22 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(e.select("event_id", spoilt.alias("json")), "event_id", "json", [("k", "integer", True)], additional=False)
 
 
+def nested_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested documents of two schemas, spoilt at every level, against rules compiled from the schemas' text."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    text = F.concat(
+        F.lit('{"id":'), F.when(n % 11 == 1, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string")), F.when(n % 13 == 2, "").otherwise(F.concat(F.lit(',"kind":"'), "event_type", F.lit('"'))), F.lit(',"metrics":{"value":'), F.when(n % 7 == 3, "null").otherwise(F.format_string("%.2f", "value")),
+        F.when(n % 17 == 4, ',"odd":1').otherwise(""), F.lit(',"props":'), F.when(n % 19 == 5, "[]").otherwise(F.col("props")), F.lit("}"), F.when(n % 23 == 6, ',"more":{}').otherwise(""), F.when(n % 29 == 7, "").otherwise("}"),
+    )
+    props = {"type": "object", "required": ["k", "j"], "properties": {"k": {"type": "integer"}, "j": {"type": "string"}}}
+    schema = lambda closed, props: json.dumps({"title": "t", "description": "d", "type": "object", "required": ["id", "kind"], "additionalProperties": not closed, "properties": {"id": {"type": "integer"}, "kind": {"type": "string"}, "metrics": {"type": "object", "required": ["value"], "additionalProperties": False, "properties": {"value": {"type": "number"}, "props": props}}}})
+    named = e.select("event_id", F.when(n % 2 == 0, "open").otherwise("closed").alias("schema"), text.alias("json"))
+    texts = F.when(F.col("schema") == "open", schema(False, {"type": ["object", "array"]})).otherwise(schema(True, props))
+    rules = compiled(named.select("schema").distinct().withColumn("json", texts), "schema", "json")
+    return nested_violations(named, rules, "event_id", "schema", "json")
+
+
 def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events against a list of types that lacks one, a value that must be at least 5, and short properties."""
     e = table(spark, sf_dir, "events").withColumn("above", F.floor(F.col("value") - 5).cast("long"))
@@ -65,9 +84,13 @@ l AS (SELECT conv_id, profile, k, s, u, a, 0::BIGINT AS cycle, s AS ls, u AS lu,
 r AS (SELECT conv_id, profile, cycle, round((CASE WHEN ls >= s * 0.9::DOUBLE AND s > 0 THEN 1 ELSE 0 END + CASE WHEN lu >= u * 0.9::DOUBLE AND u > 0 THEN 1 ELSE 0 END + CASE WHEN la >= a * 0.9::DOUBLE AND a > 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE, 6) AS consistency FROM l WHERE cycle > 0)"""
 )
 
-QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations, "event_validation": event_validation, "mapping_integrity": mapping_integrity}
+QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations, "nested_contracts": nested_contracts, "event_validation": event_validation, "mapping_integrity": mapping_integrity}
 
 ORACLE_SQL = {
+    "nested_contracts": """WITH e AS (SELECT event_id AS n, event_id % 29 = 7 AS cut, event_id % 2 = 1 AS closed FROM events) SELECT n AS event_id, '' AS path, 'invalid' AS problem FROM e WHERE cut
+UNION ALL SELECT n, 'id', 'type' FROM e WHERE NOT cut AND n % 11 = 1 UNION ALL SELECT n, 'kind', 'missing' FROM e WHERE NOT cut AND n % 13 = 2 UNION ALL SELECT n, 'metrics.value', 'type' FROM e WHERE NOT cut AND n % 7 = 3
+UNION ALL SELECT n, 'metrics.odd', 'unknown' FROM e WHERE NOT cut AND n % 17 = 4 UNION ALL SELECT n, 'metrics.props', 'type' FROM e WHERE NOT cut AND closed AND n % 19 = 5
+UNION ALL SELECT n, 'metrics.props.j', 'missing' FROM e WHERE NOT cut AND closed AND n % 19 <> 5 UNION ALL SELECT n, 'more', 'unknown' FROM e WHERE NOT cut AND closed AND n % 23 = 6""",
     "state_survival": f"WITH {STATES}, c AS (SELECT conv_id, round(CASE WHEN s = 0 THEN 0.0 ELSE least(s, 20) / s END, 6) AS x, round(CASE WHEN u = 0 THEN 0.0 ELSE least(u, 15) / u END, 6) AS y, round(CASE WHEN a = 0 THEN 0.0 ELSE least(a, 25) / a END, 6) AS z FROM n), d AS (SELECT *, round((CASE WHEN x >= 0.9 THEN 1 ELSE 0 END + CASE WHEN y >= 0.9 THEN 1 ELSE 0 END + CASE WHEN z >= 0.9 THEN 1 ELSE 0 END) / 3.0::DOUBLE, 6) AS consistency FROM c) SELECT conv_id, x AS system_coverage, y AS user_coverage, z AS assistant_coverage, consistency, round(1 - consistency, 6) AS drift FROM d",
     "state_degradation": f"WITH RECURSIVE {RUNS} SELECT conv_id, profile, cycle, consistency, round(1 - consistency, 6) AS drift, consistency < 0.5 AS collapsed FROM r",
     "state_summary": f"WITH RECURSIVE {RUNS}, q AS (SELECT profile, conv_id, arg_max(consistency, cycle) AS consistency, min(cycle) FILTER (WHERE consistency < 0.5) AS c FROM r GROUP BY ALL) SELECT profile, count(*) AS runs, round(avg(CASE WHEN consistency < 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS collapse_rate, round(avg(consistency), 6) AS consistency, max(c) AS highest_collapse_cycle FROM q GROUP BY 1",
