@@ -11,6 +11,7 @@ from foldlog.functions.text import words
 from foldlog.operators.contracts import event_problems, integrity_problems, violations
 from foldlog.operators.schemas import compiled, nested_violations
 from foldlog.operators.states import compact, degradation_summary, degrade, survival
+from foldlog.operators.tolerant import checks, summaries
 from foldlog.session import table
 
 FIELDS = ["system", "user", "assistant"]
@@ -60,6 +61,26 @@ def nested_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_violations(named, rules, "event_id", "schema", "json")
 
 
+def health_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A health summary of each user as JSON text, with checks of their event types; by the user's number fields have wrong types."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    k = F.col("user_id")
+    check = F.when((k + F.col("n")) % 5 == 0, F.concat(F.lit('"'), "event_type", F.lit('":[1]'))).otherwise(F.concat(F.lit('"'), "event_type", F.lit('":{"key":'), F.when(k % 3 == 0, "7").otherwise(F.concat(F.lit('"c-'), "event_type", F.lit('"'))), F.lit(',"present":'), F.when(k % 4 == 1, '"yes"').otherwise((F.col("n") > 3).cast("string")), F.lit(',"size_bytes":'), F.when(k % 7 == 2, "null").otherwise(F.col("n").cast("string")), F.lit(',"status":"s"}')))
+    each = e.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(check)), ",").alias("cs"), F.sum("n").alias("n"))
+    status = F.when(k % 6 == 1, "3").when(k % 6 == 2, "null").otherwise(F.concat(F.lit('"st-'), k % 2, F.lit('"')))
+    notes = F.when(k % 5 == 3, '"note"').otherwise(F.concat(F.lit('["a",'), k, F.lit(',"b'), k, F.lit('",null]')))
+    text = F.concat(F.lit('{"overall_status":'), status, F.lit(',"synthetic":'), F.when(k % 2 == 0, "true").otherwise("1"), F.lit(',"safety_notes":'), notes, F.lit(',"checks":{'), "cs", F.when(k % 11 == 4, "").otherwise("}}"))
+    return each.select("user_id", text.alias("json"))
+
+
+def tolerant_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries(health_texts(spark, sf_dir), "user_id", "json").select("user_id", "overall_status", "synthetic", F.array_join("safety_notes", ",").alias("notes"))
+
+
+def tolerant_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks(health_texts(spark, sf_dir), "user_id", "json").select("user_id", "name", "key", "status", "present", "size_bytes")
+
+
 def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events against a list of types that lacks one, a value that must be at least 5, and short properties."""
     e = table(spark, sf_dir, "events").withColumn("above", F.floor(F.col("value") - 5).cast("long"))
@@ -84,9 +105,12 @@ l AS (SELECT conv_id, profile, k, s, u, a, 0::BIGINT AS cycle, s AS ls, u AS lu,
 r AS (SELECT conv_id, profile, cycle, round((CASE WHEN ls >= s * 0.9::DOUBLE AND s > 0 THEN 1 ELSE 0 END + CASE WHEN lu >= u * 0.9::DOUBLE AND u > 0 THEN 1 ELSE 0 END + CASE WHEN la >= a * 0.9::DOUBLE AND a > 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE, 6) AS consistency FROM l WHERE cycle > 0)"""
 )
 
-QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations, "nested_contracts": nested_contracts, "event_validation": event_validation, "mapping_integrity": mapping_integrity}
+QUERIES = {"state_survival": state_survival, "state_degradation": state_degradation, "state_summary": state_summary, "contract_violations": contract_violations, "nested_contracts": nested_contracts, "tolerant_summaries": tolerant_summaries, "tolerant_checks": tolerant_checks, "event_validation": event_validation, "mapping_integrity": mapping_integrity}
 
 ORACLE_SQL = {
+    "tolerant_summaries": "SELECT DISTINCT user_id, CASE WHEN user_id % 6 IN (1, 2) THEN 'unknown' ELSE 'st-' || (user_id % 2) END AS overall_status, CASE WHEN user_id % 2 = 0 THEN true END AS synthetic, CASE WHEN user_id % 5 = 3 THEN '' ELSE 'a,b' || user_id END AS notes FROM events WHERE user_id % 11 <> 4",
+    "tolerant_checks": """WITH e AS (SELECT user_id AS k, event_type AS t, count(*) AS n FROM events WHERE user_id % 11 <> 4 GROUP BY ALL) SELECT k AS user_id, t AS name, CASE WHEN (k + n) % 5 = 0 OR k % 3 = 0 THEN t ELSE 'c-' || t END AS key, CASE WHEN (k + n) % 5 = 0 THEN 'unknown' ELSE 's' END AS status,
+  CASE WHEN (k + n) % 5 = 0 THEN false WHEN k % 4 = 1 THEN NULL ELSE n > 3 END AS present, CASE WHEN (k + n) % 5 = 0 OR k % 7 = 2 THEN NULL ELSE CAST(n AS DOUBLE) END AS size_bytes FROM e""",
     "nested_contracts": """WITH e AS (SELECT event_id AS n, event_id % 29 = 7 AS cut, event_id % 2 = 1 AS closed FROM events) SELECT n AS event_id, '' AS path, 'invalid' AS problem FROM e WHERE cut
 UNION ALL SELECT n, 'id', 'type' FROM e WHERE NOT cut AND n % 11 = 1 UNION ALL SELECT n, 'kind', 'missing' FROM e WHERE NOT cut AND n % 13 = 2 UNION ALL SELECT n, 'metrics.value', 'type' FROM e WHERE NOT cut AND n % 7 = 3
 UNION ALL SELECT n, 'metrics.odd', 'unknown' FROM e WHERE NOT cut AND n % 17 = 4 UNION ALL SELECT n, 'metrics.props', 'type' FROM e WHERE NOT cut AND closed AND n % 19 = 5
