@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from foldlog.functions.numbers import DEBOUNCE_LAST, DEBOUNCE_REQUIRED, ENTER_DELIBERATION, EXIT_DELIBERATION, HABIT_MAX, ROLLBACK_MIN, drop, mode_band, prediction_error, rise, three_places
 
+# The reasons of a window, by what they say.
+REASONS = {
+    "ratio": "compression_ratio_drop exceeded baseline", "sparse": "sparse_frame_rate increased", "unseen": "unseen_signature_rate elevated", "unseen_long": "unseen_signature_rate remained elevated across debounce window",
+    "cost": "token_cost increased", "replay": "replay_consistency dropped", "rollback": "prediction_error reached rollback threshold", "entered": "deliberation debounce satisfied", "pending": "deliberation debounce pending",
+    "left": "prediction_error below exit threshold", "habit": "prediction_error within habit band", "monitor": "prediction_error within monitor band",
+}
+
 
 def signal_windows(signals: DataFrame) -> DataFrame:
     """Adds the parts, `error`, `band` (the stateless mode) and `entering`: two of the last three errors are high."""
@@ -48,6 +55,22 @@ def signal_modes(windows: DataFrame) -> DataFrame:
     return out.withColumn("triggered", F.col("mode").isin("deliberation", "rollback_required"))
 
 
+def window_reasons(windows: DataFrame) -> DataFrame:
+    """Adds `reasons` to rows of signal_modes(): what rose or fell, then what the machine made of it, each once.
+
+    Of token_cost_spike and replay_consistency_drop, where there are such columns, a null is no reason.
+    """
+    w = Window.partitionBy("execution_id").orderBy("at", "window_id")
+    mode, error = F.col("mode"), F.col("error")
+    entered = (error < ROLLBACK_MIN) & F.col("entering")
+    left = (F.coalesce(F.lag("mode").over(w), F.lit("habit")) == "deliberation") & (error <= EXIT_DELIBERATION)
+    rose = lambda c, said: F.when(F.col(c) > 0, said) if c in windows.columns else F.lit(None).cast("string")
+    machine = F.when(mode == "rollback_required", REASONS["rollback"]).when(entered, REASONS["entered"]).when(error >= ENTER_DELIBERATION, REASONS["pending"]).when(left, REASONS["left"]).when(mode == "habit", REASONS["habit"]).when(mode == "monitor", REASONS["monitor"])
+    unseen = F.when(mode == "deliberation", F.lit(REASONS["unseen_long"])).otherwise(F.lit(REASONS["unseen"]))
+    parts = [rose("compression_ratio_drop", F.lit(REASONS["ratio"])), rose("sparse_frame_spike", F.lit(REASONS["sparse"])), rose("unseen_signature", unseen), rose("token_cost_spike", F.lit(REASONS["cost"])), rose("replay_consistency_drop", F.lit(REASONS["replay"]))]
+    return windows.withColumn("_machine", machine).withColumn("reasons", F.array_distinct(F.array_compact(F.array(*parts, F.col("_machine"))))).drop("_machine")
+
+
 def map_steps(signals: DataFrame, steps: DataFrame, by: str, span: int) -> DataFrame:
     """(by, window_id, step_id): steps within [start, end] of a window, both inclusive, times in whole seconds.
 

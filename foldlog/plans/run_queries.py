@@ -9,7 +9,8 @@ from foldlog.functions import numbers as N
 from foldlog.functions.text import word_count
 from foldlog.operators.reporting import correlation, quality_score
 from foldlog.operators.series import chain_measures, ordered_score
-from foldlog.operators.signals import map_steps, signal_modes, signal_windows, steps_up_to
+from foldlog.operators.records import token_signals
+from foldlog.operators.signals import REASONS, map_steps, signal_modes, signal_windows, steps_up_to, window_reasons
 from foldlog.operators.timeline import compare_runs, running_snapshots, timeline_summary
 from foldlog.session import table
 
@@ -89,6 +90,15 @@ def signal_mode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal_modes(signal_windows(user_signals(spark, sf_dir))).select("execution_id", "window_id", "error", "mode", "triggered")
 
 
+def signal_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of windows whose tokens are known on two days in three, their replay consistency on three in four."""
+    s = user_signals(spark, sf_dir)
+    known = lambda k, c: F.when(F.col("at") % k != 0, c)
+    s = s.withColumns({"token_estimate": known(3, F.col("compression_ratio") * 10), "base_tokens": F.col("base_ratio") * 10, "consistency": known(4, 1 - F.col("sparse_rate")), "base_consistency": 1 - F.col("base_sparse")})
+    w = window_reasons(token_signals(signal_modes(signal_windows(s))))
+    return w.select("execution_id", "window_id", "mode", "token_cost_spike", "replay_consistency_drop", F.array_join("reasons", ";").alias("reasons"))
+
+
 def seconds(column: str):
     return F.unix_timestamp(F.date_trunc("second", column))
 
@@ -189,11 +199,20 @@ LABELS = METRICS + ", l AS (SELECT *, list_filter([CASE WHEN has AND (es < et OR
 
 QUERIES = {
     "timeline_summary": timeline, "running_snapshots": snapshots, "run_comparison": run_comparison, "quality_score": conversation_quality, "series_measures": series_measures, "ordered_score": order_scores,
-    "signal_windows": signal_window_query, "signal_modes": signal_mode_query, "signal_step_mapping": signal_step_mapping, "signal_step_asof": signal_step_asof, "profile_select": profile_select, "profile_prune": profile_prune,
+    "signal_windows": signal_window_query, "signal_modes": signal_mode_query, "signal_window_reasons": signal_reasons, "signal_step_mapping": signal_step_mapping, "signal_step_asof": signal_step_asof, "profile_select": profile_select, "profile_prune": profile_prune,
     "failure_labels": failure_labels, "degradation_severity": degradation_severity, "pearson_alignment": pearson_alignment, "median_latency": median_latency, "decision_alignment": decision_alignment,
 }
 
+_three = lambda x: f"floor((least(1, greatest(0, {x})) + 2.220446049250313e-16) * 1000 + 0.5) / 1000"
+_said = lambda k: f"'{REASONS[k]}'"
+_MODES = f"""z AS (SELECT user_id, day, k, error, CASE WHEN error >= 0.85 THEN 'rollback_required' WHEN entering THEN 'deliberation' WHEN error < 0.3 THEN 'habit' ELSE 'monitor' END AS mode FROM y WHERE k = 1
+UNION ALL SELECT y.user_id, y.day, y.k, y.error, CASE WHEN y.error >= 0.85 THEN 'rollback_required' WHEN z.mode = 'deliberation' AND y.error > 0.42 THEN 'deliberation' WHEN y.entering THEN 'deliberation' WHEN y.error < 0.3 THEN 'habit' ELSE 'monitor' END FROM z JOIN y ON y.user_id = z.user_id AND y.k = z.k + 1)"""
+
 ORACLE_SQL = {
+    "signal_window_reasons": f"""WITH RECURSIVE {SIG}, {_MODES}, v AS (SELECT z.*, y.c, y.s, y.u, y.entering, coalesce(lag(z.mode) OVER (PARTITION BY z.user_id ORDER BY z.k), 'habit') AS prior, CASE WHEN z.day % 3 = 0 THEN NULL ELSE {_three("(cr * 10 - br * 10) / (br * 10)")} END AS tc, CASE WHEN z.day % 4 = 0 THEN NULL WHEN 1 - bs > 0 THEN {_three("((1 - bs) - (1 - sr)) / (1 - bs)")} ELSE 0.0::DOUBLE END AS rd
+  FROM z JOIN y ON y.user_id = z.user_id AND y.k = z.k JOIN p ON p.user_id = z.user_id AND p.day = z.day)
+SELECT user_id AS execution_id, day AS window_id, mode, tc AS token_cost_spike, rd AS replay_consistency_drop, concat_ws(';', CASE WHEN c > 0 THEN {_said("ratio")} END, CASE WHEN s > 0 THEN {_said("sparse")} END, CASE WHEN u > 0 THEN CASE mode WHEN 'deliberation' THEN {_said("unseen_long")} ELSE {_said("unseen")} END END, CASE WHEN tc > 0 THEN {_said("cost")} END, CASE WHEN rd > 0 THEN {_said("replay")} END,
+  CASE WHEN mode = 'rollback_required' THEN {_said("rollback")} WHEN error < 0.85 AND entering THEN {_said("entered")} WHEN error >= 0.62 THEN {_said("pending")} WHEN prior = 'deliberation' AND error <= 0.42 THEN {_said("left")} WHEN mode = 'habit' THEN {_said("habit")} WHEN mode = 'monitor' THEN {_said("monitor")} END) AS reasons FROM v""",
     "timeline_summary": f"WITH {SUMMARY} SELECT * FROM s",
     "running_snapshots": f"WITH {SNAPS} SELECT * FROM sn",
     "run_comparison": f"""WITH {SNAPS}, c AS (SELECT execution_id, CAST(sum(token_in + token_out) AS BIGINT) AS cost FROM sn GROUP BY 1), g AS (SELECT execution_id, CAST(sum(token_in + token_out) AS BIGINT) AS plain, list_sort(list_distinct(list(ref))) AS refs FROM e GROUP BY 1), x AS (SELECT * FROM g JOIN c USING (execution_id))
