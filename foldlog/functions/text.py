@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,14 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 _empty = lambda c: F.coalesce(c, F.lit(""))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), for a value that `of` uses in functions of elements: it is computed once a row, not once an element."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def one_space(text: Column) -> Column:
     """Runs of white space become one space; none at the ends. Null counts as empty."""
-    return F.trim(F.regexp_replace(_empty(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(_empty(text), r" \s+|[\t-\r]\s*", " "))
 
 
 def normalized(text: Column) -> Column:
@@ -46,7 +53,8 @@ def sentences(text: Column) -> Column:
 
 def keywords(text: Column, stop: list[str], least: int = 1) -> Column:
     """Distinct words in order of first appearance, without stop words and words shorter than `least`."""
-    return F.array_distinct(F.filter(words(text), lambda w: ~w.isin(stop) & (F.char_length(w) >= least)))
+    every = F.transform(F.array_distinct(F.regexp_extract_all(_empty(text), F.lit(WORD), F.lit(0))), F.lower)
+    return F.array_distinct(F.filter(every, lambda w: ~w.isin(stop) & (F.char_length(w) >= least) if least > 1 else ~w.isin(stop)))
 
 
 def limited(values: Column, limit: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlog.functions.numbers import failure_labels, merged_labels
-from foldlog.functions.text import LINE_BREAK, keywords, one_space, overlap, sentences, word_count
+from foldlog.functions.text import LINE_BREAK, keywords, once, one_space, overlap, sentences, word_count
 from foldlog.operators.audit import evidence_survival
 
 # Sections and fields, keyword budgets, shares that must survive, words and patterns that results depend on.
@@ -30,6 +30,8 @@ STOP_WORDS = (
 BASELINE_WORDS = ["baseline", "compares", "compare", "against", "rather than", "instead of", "retrieval", "compression", "memory systems"]
 ENTITY = r"(?U)\b(?:[A-Z][A-Za-z0-9]*(?:[-_][A-Z]?[A-Za-z0-9]+)*|[A-Z]{2,}[A-Za-z0-9-]*|[a-z]+\s+DAG|execution\s+state|model\s+residency|prefix\s+reuse|device\s+reachability)\b"
 ENTITY_MARKS = ".,;:()[]{}"
+#: Line breaks but the newline.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 AVERAGES = ["compression_ratio", "entity_retention_rate", "evidence_survival_rate", "high_critical_evidence_survival_rate", "limitation_survival_rate", "metric_survival_rate", "replay_consistency", "section_survival_rate"]
 #: Shares of a retention score: entities, sections, context, equal replay.
 AUDIT = [0.45, 0.20, 0.15, 0.20]
@@ -43,16 +45,30 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
 
 
+def plain_breaks(text: Column) -> Column:
+    """The text with every line break as a newline; most texts have no others."""
+    said = F.coalesce(text, F.lit(""))
+    return F.when(reduce(lambda a, b: a | b, [F.contains(said, F.lit(x)) for x in OTHER_BREAKS]), F.regexp_replace(said, LINE_BREAK, "\n")).otherwise(said)
+
+
+def blocks(plain: Column) -> Column:
+    """The sections of a text of plain_breaks(), what stands before them first: each its head and what follows it, if anything."""
+    return F.transform(F.split(plain, "\n(?=SECTION: )", -1), lambda b: F.split(b, "\n", 2))
+
+
+def section_of(found: Column, name: str) -> Column:
+    """The lines of the last of blocks() of that name, joined, with single spaces; empty without one."""
+    last = F.try_element_at(F.filter(found, lambda b: F.trim(b[0]) == F.lit(f"SECTION: {name}")), F.lit(-1))
+    return one_space(F.try_element_at(last, F.lit(2)))
+
+
 def section(text: Column, name: str) -> Column:
-    """The lines of the last section of that name, joined, with single spaces; empty without one."""
-    blocks = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), LINE_BREAK, "\n"), "(?m)^(?=SECTION: )", -1)
-    head = lambda b: F.trim(F.substring_index(b, "\n", 1))
-    last = F.try_element_at(F.filter(blocks, lambda b: head(b) == F.lit(f"SECTION: {name}")), F.lit(-1))
-    return F.coalesce(one_space(F.regexp_replace(last, r"^[^\n]*\n?", "")), F.lit(""))
+    return section_of(blocks(plain_breaks(text)), name)
 
 
 def title(text: Column) -> Column:
-    return F.trim(F.regexp_extract(F.regexp_replace(F.coalesce(text, F.lit("")), LINE_BREAK, "\n"), r"(?m)^TITLE: (.*)$", 1))
+    """Of a text of plain_breaks()."""
+    return F.trim(F.regexp_extract(text, r"(?m)^TITLE: (.*)$", 1))
 
 
 def by_letters(names: Column) -> Column:
@@ -65,8 +81,8 @@ def canonical_entity(name: Column) -> Column:
 
 
 def required_present(required: Column, text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return by_letters(F.transform(F.filter(F.coalesce(required, no_texts()), lambda e: F.contains(low, F.lower(e))), canonical_entity))
+    there = once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(F.coalesce(required, no_texts()), lambda e: F.contains(low, F.lower(e))))
+    return by_letters(F.transform(there, canonical_entity))
 
 
 def entities(text: Column, required: Column) -> Column:
@@ -77,9 +93,10 @@ def entities(text: Column, required: Column) -> Column:
 
 
 def baseline_sentences(text: Column) -> Column:
-    """The sentences of the whole text that speak of baselines."""
-    speaks = lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(w)) for w in BASELINE_WORDS])
-    return F.filter(sentences(text), speaks)
+    """The sentences of the whole text that speak of baselines; a text that does not is not split."""
+    speaks = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in BASELINE_WORDS])
+    told = lambda said: F.transform(F.filter(F.transform(said, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low"))), lambda x: speaks(x["low"])), lambda x: x["s"])
+    return once(one_space(text), lambda flat: F.when(once(F.lower(flat), speaks), told(sentences(flat))).otherwise(no_texts()))
 
 
 def kept_entities(names: Column, required: Column) -> Column:
@@ -95,25 +112,34 @@ def paper_states(df: DataFrame, id_col: str, text_col: str, required_col: str) -
     Null and empty texts, and texts without sections, have empty fields. Of sections of one name the last counts. Texts of
     any length are read whole, each in its own row. Repeated ids are rows of their own. Extra columns are not carried.
     """
-    text = F.col("text")
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), required_present(F.col(required_col), F.col(text_col)).alias("required_entities"))
+    return with_states(df.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"), F.col(required_col).alias("_required")), "_text", "_required").select(id_col, "title", *FIELDS)
+
+
+def with_states(df: DataFrame, text_col: str, required_col: str) -> DataFrame:
+    """df with `title`, a column a field, and `_blocks`, the sections of its texts: a text is split once for all of them."""
+    text = F.col(text_col)
     set_of = lambda said: F.sort_array(keywords(said, STOP_WORDS))
-    made = rows.select(
-        F.col("id").alias(id_col), title(text).alias("title"), *(set_of(section(text, s)).alias(s) for s in SECTIONS), set_of(F.array_join(baseline_sentences(text), " ")).alias("baselines"),
-        entities(text, F.col("required_entities")).alias("entities"), "required_entities",
-    )
-    return made
+    plain = df.withColumn("_plain", plain_breaks(text))
+    split = plain.withColumns({"title": title(F.col("_plain")), "_blocks": blocks(F.col("_plain")), "required_entities": required_present(F.col(required_col), text)}).drop("_plain")
+    return split.withColumns({
+        **{s: set_of(section_of(F.col("_blocks"), s)) for s in SECTIONS}, "baselines": set_of(F.array_join(baseline_sentences(text), " ")), "entities": entities(text, F.col("required_entities")),
+    })
 
 
 def compact_paper(states: DataFrame, id_col: str, budgets: dict[str, int] | None = None) -> DataFrame:
     """(id, a column a field): the first keywords of each field within its budget, and the entities that are kept."""
+    return states.select(id_col, *(c.alias(f) for f, c in compact_columns(budgets).items()))
+
+
+def compact_columns(budgets: dict[str, int] | None = None) -> dict[str, Column]:
     budgets = budgets or BUDGETS
-    return states.select(id_col, *(F.slice(f, 1, budgets[f]).alias(f) for f in TEXTS), kept_entities(F.col("entities"), F.col("required_entities")).alias("entities"), "required_entities")
+    return {**{f: F.slice(f, 1, budgets[f]) for f in TEXTS}, "entities": kept_entities(F.col("entities"), F.col("required_entities")), "required_entities": F.col("required_entities")}
 
 
-def compact_json(compact: DataFrame, id_col: str) -> Column:
-    """A compact state as JSON text with keys in order."""
-    return F.to_json(F.struct(F.struct(*sorted(FIELDS)).alias("f"), F.col(id_col).cast("string").alias("p")))
+def compact_json(id_col: str, prefix: str = "") -> Column:
+    """A compact state, whose columns have a prefix, as JSON text with keys in order."""
+    fields = F.struct(*(F.col(f"{prefix}{f}").alias(f) for f in sorted(FIELDS)))
+    return F.to_json(F.struct(fields.alias("f"), F.col(id_col).cast("string").alias("p")))
 
 
 def replay_json(fields: list[Column], name: Column, paper_id: Column, title_text: Column) -> Column:
@@ -135,12 +161,17 @@ def spoken(texts: Column) -> Column:
 
 def paper_sources(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, locator, value): each sentence of a section as `section:k`, each line that is not blank as `line:k`, from 0."""
-    text = F.col("_text")
-    rows = df.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
+    rows = df.select(id_col, plain_breaks(F.col(text_col)).alias("_text"))
+    rows = rows.withColumn("_blocks", blocks(F.col("_text")))
+    return rows.select(id_col, F.explode(sources(F.col("_text"), F.col("_blocks"))).alias("p")).select(id_col, "p.*")
+
+
+def sources(text: Column, found: Column, names: list[str] | None = None) -> Column:
+    """ARRAY<STRUCT<locator, value>> of the sentences and lines of a text whose blocks() are `found`; of the named kinds alone, if given."""
     placed = lambda kind, parts: F.transform(parts, lambda x, i: F.struct(F.concat(F.lit(f"{kind}:"), i.cast("string")).alias("locator"), x.alias("value")))
     lines = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
-    every = F.concat(*(placed(s, sentences(section(text, s))) for s in SECTIONS), placed("line", lines))
-    return rows.select(id_col, F.explode(every).alias("p")).select(id_col, "p.*")
+    kinds = {**{s: lambda s=s: sentences(section_of(found, s)) for s in SECTIONS}, "line": lambda: lines}
+    return F.concat(*(placed(k, of()) for k, of in kinds.items() if names is None or k in names))
 
 
 def evidence_sides(evidence: DataFrame, papers: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,6 +188,37 @@ def replayed_sides(evidence: DataFrame, replayed: DataFrame, id_col: str) -> Dat
     return named.join(sides, [id_col, "field"]).select(id_col, "evidence_id", spoken(F.array_join("value", " ")).alias("value"))
 
 
+def with_named(df: DataFrame, text_col: str, names: list[str] | None = None) -> DataFrame:
+    """df with `_named`: of each entry of its `evidence`, whether it is HIGH, its field, and the keywords of the sentence or line it names.
+
+    df: a text, its `_blocks` (see with_states()), and `evidence`, ARRAY<STRUCT<locator, criticality>>. Null stays null. names: the kinds
+    of sources that any locator names, if known. Nothing is shuffled: a row's evidence is found in the row's own text.
+    """
+    wanted = lambda e: F.transform(e, lambda x: F.trim(x["locator"]))
+    there = once(wanted(F.col("evidence")), lambda w: F.filter(sources(plain_breaks(F.col(text_col)), F.col("_blocks"), names), lambda p: F.array_contains(w, p["locator"])))
+    found = df.withColumn("_there", F.transform(F.when(F.col("evidence").isNotNull(), there), lambda p: F.struct(p["locator"].alias("locator"), spoken(p["value"]).alias("value"))))
+    of = lambda e: F.try_element_at(F.filter("_there", lambda p: p["locator"] == F.trim(e["locator"])), F.lit(1))["value"]
+    field = lambda e: F.when(F.contains(e["locator"], F.lit(":")), F.trim(F.substring_index(e["locator"], ":", 1)))
+    told = lambda e: F.struct(F.coalesce(F.upper(F.trim(e["criticality"])) == "HIGH", F.lit(False)).alias("high"), field(e).alias("field"), of(e).alias("o"))
+    return found.withColumn("_named", F.transform("evidence", told)).drop("_there")
+
+
+def survival_in_row(named: Column, prefix: str = "") -> Column:
+    """STRUCT<total, survived, h, hs> of with_named() against the replayed fields in columns of a prefix: evidence, and HIGH evidence; null without any."""
+    again = lambda name: reduce(lambda out, f: out.when(name == f, F.col(f"{prefix}{f}")), FIELDS[1:], F.when(name == FIELDS[0], F.col(f"{prefix}{FIELDS[0]}")))
+    ok = lambda e: F.coalesce(overlap(e["o"], spoken(F.array_join(again(e["field"]), " "))) >= EVIDENCE_OVERLAP, F.lit(False)) & e["o"].isNotNull() & again(e["field"]).isNotNull()
+    judged = F.transform(named, lambda e: F.struct(e["high"].alias("high"), ok(e).alias("ok")))
+    n = lambda x, hit: F.size(F.filter(x, hit)).cast("long")
+    return F.when(F.size(named) > 0, once(judged, lambda x: F.struct(F.size(x).cast("long").alias("total"), n(x, lambda e: e["ok"]).alias("survived"), n(x, lambda e: e["high"]).alias("h"), n(x, lambda e: e["high"] & e["ok"]).alias("hs"))))
+
+
+def survival_columns(counts: str) -> list[Column]:
+    """The columns of evidence_survival() from a column of survival_in_row()."""
+    at = lambda c: F.col(f"{counts}.{c}")
+    rate = lambda a, b: F.round(F.when(at(b) > 0, at(a) / at(b)).when(at("total").isNotNull(), 0.0), 6)
+    return [at("total").alias("evidence_total"), at("survived").alias("evidence_survived"), rate("survived", "total").alias("evidence_survival_rate"), (at("h") > 0).alias("has_high"), rate("hs", "h").alias("high_survival_rate")]
+
+
 def paper_evidence(evidence: DataFrame, papers: DataFrame, replayed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """evidence_survival() of locators: the original side is a sentence or line, the replayed side the section's field.
 
@@ -174,9 +236,13 @@ def paper_validation(original: DataFrame, again: DataFrame, compact: DataFrame,
     """
     found = paper_evidence(evidence, papers, again, id_col, text_col)
     right = again.select(id_col, *(F.col(f).alias(f"_{f}") for f in FIELDS))
-    sizes = compact.select(id_col, word_count(compact_json(compact, id_col)).alias("compact_token_count"))
+    sizes = compact.select(id_col, word_count(compact_json(id_col)).alias("compact_token_count"))
     read = papers.select(id_col, word_count(F.col(text_col)).alias("original_token_count"))
-    joined = original.join(right, id_col).join(sizes, id_col).join(read, id_col).join(found, id_col, "left")
+    return validation_rows(original.join(right, id_col).join(sizes, id_col).join(read, id_col).join(found, id_col, "left"), id_col)
+
+
+def validation_rows(joined: DataFrame, id_col: str) -> DataFrame:
+    """paper_validation() of rows that hold a state, its replay under names with "_", the tokens and evidence_survival()."""
     held = {f: survives(f, F.col(f), F.col(f"_{f}")).cast("int") for f in FIELDS}
     share = lambda names: F.round(reduce(lambda a, b: a + b, [held[f] for f in names]) / len(names), 6)
     rate = lambda f: F.round(overlap(F.col(f), F.col(f"_{f}")), 6)
@@ -206,9 +272,13 @@ def retention_audit(states: DataFrame, again: DataFrame, id_col: str, sections:
     there, replay is equal if every field is. The score adds their AUDIT shares, rounded to two places.
     """
     right = again.select(id_col, *(F.col(f).alias(f"_{f}") for f in FIELDS))
-    both = states.join(right, id_col)
+    return retention_rows(states.join(right, id_col), id_col, sections, required)
+
+
+def retention_rows(both: DataFrame, id_col: str, sections: list[str], required: str = "required_entities") -> DataFrame:
+    """retention_audit() of rows that hold a state, and its replay under names with "_"."""
     everything = F.lower(F.array_join(F.concat(*(F.col(f"_{f}") for f in FIELDS)), " "))
-    lost = F.filter(F.col(required), lambda e: ~F.contains(everything, F.lower(e)))
+    lost = once(everything, lambda said: F.filter(F.col(required), lambda e: ~F.contains(said, F.lower(e))))
     held = reduce(lambda a, b: a & b, [F.size(f"_{s}") > 0 for s in sections])
     equal = reduce(lambda a, b: a & b, [F.col(f) == F.col(f"_{f}") for f in FIELDS])
     told = both.select(id_col, required, lost.alias("lost"), held.alias("sections_kept"), (F.col("title") != "").alias("context_kept"), equal.alias("replay_equal"))

@@ -102,3 +102,11 @@ def test_audit(states):
     lost = states.withColumns({"entities": P.no_texts(), "required_entities": P.no_texts(), "method": P.no_texts(), "metrics": P.no_texts()})
     one = {x.pid: x for x in P.retention_audit(states, lost, "pid", ["problem", "metrics"]).collect()}["one"]
     assert one.lost == ["Prefix reuse", "StepView"] and one.score == 0.15 and not one.passed
+
+
+def test_queries_read_each_text_once(spark):
+    from foldlog.plans import paper_queries as Q
+
+    for query in (Q.paper_evidence, Q.paper_validation, Q.paper_retention):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Exchange" not in plan, query.__name__
