@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlog.functions.numbers import PROFILES, failure_labels, list_limit, merged_labels
-from foldlog.functions.text import overlap
 from foldlog.operators import papers as P
 from foldlog.operators import traces as T
 from foldlog.operators.audit import evidence_survival
@@ -61,6 +60,17 @@ def pruned(values: Column, budget: int) -> Column:
 Round = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
+def cycle_row(cycle: int, prefix: str, limits: Limits, rates: list[str] | None = None) -> Column:
+    """STRUCT of what repeated() tells of a run in a cycle, from judgements under a prefix; rates: which of constraints and blockers they hold."""
+    at = lambda c: F.col(f"{prefix}{c}")
+    constraint, blocker = (at(c) if c in (rates or []) else F.lit(1.0) for c in ("constraint_survival_rate", "blocker_survival_rate"))
+    drift = F.round(1 - at("replay_consistency"), 6)
+    labels = failure_labels(at("has_evidence"), at("evidence_survived"), at("evidence_total"), at("evidence_survival_rate"), at("has_high_critical_evidence"), at("high_critical_evidence_survival_rate"), constraint, blocker)
+    reason = collapse_reason(labels, list(limits.fatal), at("replay_consistency"), limits.least_consistency, at("has_high_critical_evidence"), at("high_critical_evidence_survival_rate"), limits.least_critical, drift, limits.most_drift)
+    plain = (at(c).alias(c) for c in ("evidence_survival_rate", "high_critical_evidence_survival_rate", "has_high_critical_evidence"))
+    return F.struct(F.lit(cycle).cast("long").alias("cycle"), at("replay_consistency").alias("replay_consistency"), drift.alias("operational_drift_rate"), *plain, constraint.alias("constraint_survival_rate"), blocker.alias("blocker_survival_rate"), labels.alias("failure_labels"), reason.alias("reason"))
+
+
 def repeated(runs: DataFrame, round_of: Round, limits: Limits) -> DataFrame:
     """A row a run and cycle: rates, flags, labels, and why the run collapsed (null where it did not).
 
@@ -69,12 +79,9 @@ def repeated(runs: DataFrame, round_of: Round, limits: Limits) -> DataFrame:
     current, out = runs, None
     for cycle in range(1, limits.cycles + 1):
         again, judged = round_of(current)
-        one = F.lit(1.0)
-        constraint, blocker = (F.col(c) if c in judged.columns else one for c in ("constraint_survival_rate", "blocker_survival_rate"))
-        labels = failure_labels(F.col("has_evidence"), F.col("evidence_survived"), F.col("evidence_total"), F.col("evidence_survival_rate"), F.col("has_high_critical_evidence"), F.col("high_critical_evidence_survival_rate"), constraint, blocker)
-        rows = judged.select(RUN, F.lit(cycle).cast("long").alias("cycle"), "replay_consistency", F.round(1 - F.col("replay_consistency"), 6).alias("operational_drift_rate"), "evidence_survival_rate", "high_critical_evidence_survival_rate", "has_high_critical_evidence", constraint.alias("constraint_survival_rate"), blocker.alias("blocker_survival_rate"), labels.alias("failure_labels"))
-        reason = collapse_reason(F.col("failure_labels"), list(limits.fatal), F.col("replay_consistency"), limits.least_consistency, F.col("has_high_critical_evidence"), F.col("high_critical_evidence_survival_rate"), limits.least_critical, F.col("operational_drift_rate"), limits.most_drift)
-        rows = cut(rows.withColumn("reason", reason))
+        has = [c for c in ("constraint_survival_rate", "blocker_survival_rate") if c in judged.columns]
+        rows = judged.select(RUN, cycle_row(cycle, "", limits, has).alias("r")).select(RUN, "r.*")
+        rows = cut(rows)
         out = rows if out is None else out.unionByName(rows)
         going = rows.where("reason is null").select(RUN)
         if cycle == limits.cycles or going.isEmpty():
@@ -91,24 +98,36 @@ def with_evidence(judged: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def paper_cycles(states: DataFrame, evidence: DataFrame, papers: DataFrame, id_col: str, text_col: str, limits: Limits = Limits(), profiles: list[str] | None = None) -> DataFrame:
-    """repeated() of papers: keyword and entity budgets, then the profile's share of every list but the required entities.
+    """paper_cycles_in_rows() of states, evidence (id, evidence_id, locator, criticality) and texts, put together by id."""
+    listed = evidence.groupBy(id_col).agg(F.collect_list(F.struct("locator", "criticality")).alias("evidence"))
+    texts = papers.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(listed, id_col)
+    named = P.with_named(texts.withColumn("_blocks", P.blocks(P.plain_breaks(F.col("_text")))), "_text").select(id_col, "_named")
+    return paper_cycles_in_rows(states.join(named, id_col, "left"), id_col, limits, profiles)
 
-    Texts are read once for their evidence, not once a profile or round.
-    """
-    start = cut(under_profiles(states, id_col, profiles))
-    wanted = cut(under_profiles(evidence, id_col, profiles))
-    sides = cut(under_profiles(P.evidence_sides(evidence, papers, id_col, text_col), id_col, profiles))
-    original = start.select(RUN, *(F.col(f).alias(f"_{f}") for f in P.FIELDS))
 
-    def round_of(current: DataFrame) -> tuple[DataFrame, DataFrame]:
-        compact = P.compact_paper(current, RUN)
-        again = cut(compact.withColumns({f: pruned(F.col(f), FAMILIES) for f in P.FIELDS if f != "required_entities"}).join(current.select(RUN, "title"), RUN))
-        held = sum((P.survives(f, F.col(f"_{f}"), F.col(f)).cast("int") for f in P.FIELDS), F.lit(0))
-        judged = again.join(original, RUN).select(RUN, F.round(held / len(P.FIELDS), 6).alias("replay_consistency"))
-        found = evidence_survival(wanted.join(again.select(RUN), RUN, "left_semi"), sides, P.replayed_sides(wanted, again, RUN), RUN, overlap(F.col("o"), F.col("r")) >= P.EVIDENCE_OVERLAP)
-        return again, with_evidence(judged, found)
+def paper_cycles_in_rows(rows: DataFrame, id_col: str, limits: Limits = Limits(), profiles: list[str] | None = None) -> DataFrame:
+    """repeated() of papers: keyword and entity budgets, then the profile's share of every list but the required entities.
 
-    return repeated(start, round_of, limits)
+    rows: states with `_named`, see papers.with_named(). Every round of a run works on the run's own row, so no state is shuffled, joined or
+    kept between rounds, whatever their number; texts are read once.
+    """
+    at = rows.select(id_col, "_named", *P.FIELDS, F.explode_outer(F.array(*map(F.lit, profiles or list(PROFILES)))).alias("_profile"))
+    at = at.select(F.concat("_profile", F.lit(":"), F.col(id_col).cast("string")).alias(RUN), "_named", *P.FIELDS, *(F.col(f).alias(f"o_{f}") for f in P.FIELDS)).where(F.col(RUN).isNotNull())
+    cycles = []
+    for cycle in range(1, limits.cycles + 1):
+        at = at.withColumns(P.compact_columns())
+        at = at.withColumns({f: pruned(F.col(f), FAMILIES) for f in P.FIELDS if f != "required_entities"})
+        held = sum((P.survives(f, F.col(f"o_{f}"), F.col(f)).cast("int") for f in P.FIELDS), F.lit(0))
+        at = at.withColumns({"_counts": P.survival_in_row(F.col("_named")), "_consistency": F.round(held / len(P.FIELDS), 6)})
+        at = at.withColumn("_found", F.struct("_consistency", *P.survival_columns("_counts")))
+        of = lambda c, none: F.coalesce(F.col(f"_found.{c}"), F.lit(none)).alias(c)
+        judged = F.struct(F.col("_consistency").alias("replay_consistency"), of("evidence_survival_rate", 0.0), of("high_survival_rate", 0.0).alias("high_critical_evidence_survival_rate"), of("evidence_survived", 0), of("evidence_total", 0), F.col("_found.evidence_total").isNotNull().alias("has_evidence"), of("has_high", False).alias("has_high_critical_evidence"))
+        at = at.withColumn("_judged", judged)
+        at = at.withColumn(f"_cycle{cycle}", cycle_row(cycle, "_judged.", limits)).drop("_counts", "_consistency", "_found", "_judged")
+        cycles.append(f"_cycle{cycle}")
+    every = at.select(RUN, F.array(*cycles).alias("_rows")).withColumn("_last", F.array_position(F.transform("_rows", lambda r: r["reason"].isNotNull()), True))
+    going = F.slice("_rows", 1, F.when(F.col("_last") > 0, F.col("_last")).otherwise(limits.cycles).cast("int"))
+    return every.select(RUN, F.explode_outer(going).alias("r")).select(RUN, "r.*")
 
 
 def agent_cycles(states: DataFrame, evidence: DataFrame, id_col: str, limits: Limits = Limits(), profiles: list[str] | None = None) -> DataFrame:

@@ -48,3 +48,10 @@ def test_limits_are_checked(made):
             C.Limits(**bad)
     raw, states, evidence = made
     assert C.paper_cycles(states.limit(0), evidence, raw, "doc_id", "text").collect() == []
+
+
+def test_rounds_need_no_shuffle(made):
+    raw, states, _ = made
+    rows = states.withColumn("_named", F.expr("cast(null as array<struct<high: boolean, field: string, o: array<string>>>)"))
+    plan = C.paper_cycles_in_rows(rows, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan ExistingRDD" not in plan.split("InMemoryRelation")[0]
