@@ -12,7 +12,7 @@ from foldlog.operators.contracts import event_problems, integrity_problems, viol
 from foldlog.operators.schemas import compiled, nested_violations
 from foldlog.operators.states import compact, degradation_summary, degrade, survival
 from foldlog.operators.tolerant import checks, summaries
-from foldlog.session import table
+from foldlog.session import spread, table
 
 FIELDS = ["system", "user", "assistant"]
 
@@ -55,9 +55,10 @@ def nested_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     props = {"type": "object", "required": ["k", "j"], "properties": {"k": {"type": "integer"}, "j": {"type": "string"}}}
     schema = lambda closed, props: json.dumps({"title": "t", "description": "d", "type": "object", "required": ["id", "kind"], "additionalProperties": not closed, "properties": {"id": {"type": "integer"}, "kind": {"type": "string"}, "metrics": {"type": "object", "required": ["value"], "additionalProperties": False, "properties": {"value": {"type": "number"}, "props": props}}}})
-    named = e.select("event_id", F.when(n % 2 == 0, "open").otherwise("closed").alias("schema"), text.alias("json"))
+    schema_of = F.when(n % 2 == 0, "open").otherwise("closed").alias("schema")
+    named = spread(e.select("event_id", "event_type", "value", "props"), "event_id").select("event_id", schema_of, text.alias("json"))
     texts = F.when(F.col("schema") == "open", schema(False, {"type": ["object", "array"]})).otherwise(schema(True, props))
-    rules = compiled(named.select("schema").distinct().withColumn("json", texts), "schema", "json")
+    rules = compiled(e.select(schema_of).distinct().withColumn("json", texts), "schema", "json")
     return nested_violations(named, rules, "event_id", "schema", "json")
 
 

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from foldlog.operators import schemas as S
 
 GOOD = {
@@ -48,3 +50,17 @@ def test_bad_schemas(spark):
         ("props", "id", "required and not declared"), ("props", "metrics", "required and not declared"), ("extra", "", "additionalProperties is no boolean"), ("inner", "m.q", "required and not declared"), ("inner", "m.z", "definition is no object"),
         ("inner", "m.w", "unsupported or missing type"), ("short", "", "missing title"), ("short", "", "missing description"), ("short", "", "missing required"), ("text", "", "schema is no object"), ("broken", "", "schema is no object"),
     }
+
+
+def test_repeated_and_null_ids_are_judged_by_their_own_text(spark):
+    rules = S.compiled(spark.createDataFrame([("a", json.dumps(GOOD))], "name string, body string"), "name", "body")
+    whole = json.dumps({"id": 1, "metrics": {"p": 1, "inner": {"x": True}}})
+    df = spark.createDataFrame([(None, "a", whole), (1, "a", whole), (1, "a", whole.replace("id", "note").replace("1,", "null,", 1)), (2, None, "{}"), (3, None, "{")], "doc long, kind string, body string")
+    assert sorted((r.doc, r.path, r.problem) for r in S.nested_violations(df, rules, "doc", "kind", "body").collect()) == [(1, "id", "missing"), (3, "", "invalid")]
+
+
+def test_documents_are_not_shuffled(spark):
+    rules = S.compiled(spark.createDataFrame([("a", json.dumps(GOOD))], "name string, body string"), "name", "body")
+    df = spark.range(3).select("id", F.when(F.col("id") > 0, "a").otherwise("b").alias("kind"), F.lit("{}").alias("body"))
+    plan = S.nested_violations(df, rules, "id", "kind", "body")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
