@@ -11,7 +11,7 @@ from foldlog.operators import records as R
 from foldlog.operators.signals import signal_windows
 from foldlog.plans.log_queries import LINES, PARSED, drift_findings_query, lines, parsed
 from foldlog.plans.run_queries import EV, SIG, conversation_events, labelled, user_signals
-from foldlog.session import table
+from foldlog.session import spread, table
 
 #: Payloads hold every volatile key at the top and within an object in a list.
 KEYS = sorted(VOLATILE)
@@ -22,7 +22,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     volatile = [F.col("event_id").cast("string").alias(k) for k in reversed(KEYS)]
     inner = F.struct(*volatile, F.col("event_type").alias("kind"))
     body = F.struct(F.array(inner).alias("steps"), *volatile, F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("b")).alias("about"), F.array("event_type", F.lit("x")).alias("refs"), F.lit(True).alias("Ok"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_json(body).alias("payload"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
+    return events.select("event_id", "user_id", "event_type", F.to_json(body).alias("payload"))
 
 
 def payload_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

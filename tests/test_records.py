@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from foldlog.functions import json_text as J
@@ -58,3 +59,22 @@ def test_texts_and_reasons(spark):
     assert reason(["B", "A"], 0.1) == "fatal_failure_mode:A" and reason(["B"], 0.1) == "min_replay_consistency" and reason(["B"], 0.9) == "max_operational_drift_rate"
     assert one(spark, R.reference_id(F.lit("mem"), F.lit("fnv1a:12ab-34cd-56ef-78"))) == "mem-ab34cd56ef78"
     assert one(spark, R.request_id(F.lit(" a.b-1 "))) == "a.b-1" and one(spark, R.request_id(F.lit("a b"))) is None
+
+
+def test_canonical_text_is_the_walks_text():
+    long = J.LONGEST - 1
+    texts = [
+        '{"pid": [1], "b": {"uptime": {"pid": 3}, "a": 1.0}, "a": [2.50, -0.0, 1e21, 1e400, NaN, 12345678901234567890, true, null, "\\ud83d\\ude00", "\\u00e9\\""]}', "[]", "{}", '"x"', "1.5", '[{"pid": 1, "pid": 2, "": 0}]',
+        "[" * 8 + "1" + "]" * 8, "[" * 9 + "1" + "]" * 9, "[" * 10 + "1" + "]" * 10, *(json.dumps([c * n, 1], ensure_ascii=e) for c in ("x", "é", "😀", '"') for n in (long // 2, long // 2 + 2, long, long + 1, long + 2) for e in (True, False)),
+    ]
+    for t in texts:
+        for volatile, digits in ((True, None), (False, None), (True, 3), (False, 3)):
+            assert J.canonical_text(volatile, digits, digits is None)(t) == J.written(J.read(t), volatile, digits, digits is None), t[:50]
+    with pytest.raises(ValueError):
+        J.canonical_text(True, None, True)("{1")
+
+
+def test_plain_payloads_are_not_walked(monkeypatch):
+    monkeypatch.setattr(J, "written", None)
+    keys = {k: "1" for k in J.VOLATILE}
+    assert J.canonical_text(True, None, True)(json.dumps({"steps": [keys], **keys, "a": 1.0})).startswith('{"a":1,"createdAt":"[TIMESTAMP_STRIPPED]"')
