@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ from foldlog.session import cut, discard, keep
 RARE, LISTED = 8, 1_000_000
 #: Entries of at most so many sets are paired; larger ones go by pivots, in blocks of BLOCK.
 PAIRED, BLOCK = 32, 512
+#: Tokens that a task gathers before it counts them.
+COUNTED = 500_000
 #: Bits of the bitmaps that say which tokens are not unique and which documents a later pass reads: 32 for each, 2**26
 #: (8 MB) at most. Where that is not enough more tokens are indexed, or documents read, than need be.
 MARK_BITS = 26
@@ -199,7 +202,7 @@ class Kinds:
                         seen.add(number)
                         held.append(token_class(t[: np.searchsorted(t, edge, side="right")]))
                         n += len(held[-1])
-                if n > 2_000_000:
+                if n > COUNTED:
                     yield counted()
                     held, n = [], 0
             if held:
@@ -267,18 +270,24 @@ def shared(entries: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, tokens), kept, one row for each row of wanted (doc_id, set_id)."""
+    """(set_id, tokens), kept, one row for each row of wanted (doc_id, set_id).
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    One function tells the documents that may be wanted and makes their sets, so that a task needs one Python worker.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            found = [(set_number(t), t) for t in token_sets_of(b["text"].tolist(), width) if len(t)]
+            told = held.test(b.column("h").to_numpy())
+            found = [(set_number(t), t) for t in token_sets_of(b.column("text").filter(pa.array(told)).to_pylist(), width) if len(t)]
             found = [(number, t) for number, t in found if not (number in seen or seen.add(number))]
-            yield pd.DataFrame({"set_id": pd.Series([x for x, _ in found], dtype="int64"), "tokens": pd.Series([t.view(np.int64) for _, t in found], dtype=object)})
+            offsets = np.cumsum([0, *(len(t) for _, t in found)], dtype=np.int32)
+            tokens = np.concatenate([t for _, t in found]).view(np.int64) if found else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([number for number, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["set_id", "tokens"])
 
     held = Marks(wanted.select(id_hash("doc_id")))
     with batch_rows(docs.sparkSession):
-        rows = docs.where(held.hold(id_hash("doc_id"))).select("text").mapInPandas(of, "set_id long, tokens array<long>")
+        rows = docs.select(id_hash("doc_id").alias("h"), "text").mapInArrow(of, "set_id long, tokens array<long>")
         return keep(rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
 

@@ -34,8 +34,8 @@ CONTEXTS = 3
 PRECISION = 0.8
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6, 7)
-#: Words that a worker remembers the tag of.
-CACHE_WORDS = 400_000
+#: Words that a task remembers the tag of, at most but for one text.
+CACHE_WORDS = 100_000
 
 # General closed-class and threat vocabulary of the four languages.
 WORDS = {
@@ -165,21 +165,15 @@ class Scorer:
         return 1 - (1 - self.base) * math.exp(-sum(found)), len(found)
 
 
-_cores: dict[str, str] = {}
-
-
-def core(token: str) -> str:
-    """Its letters and digits; remembered by the worker."""
-    if token not in _cores:
-        if len(_cores) > CACHE_WORDS:
-            _cores.clear()
-        _cores[token] = "".join(c for c in token if c.isalnum())
-    return _cores[token]
-
-
-def terms(text: str) -> list[tuple[str, str]]:
-    """(word before, word) with letters and digits alone."""
-    words = [core(t) for t in text.lower().split()]
+def terms(text: str, cores: dict[str, str]) -> list[tuple[str, str]]:
+    """(word before, word) with letters and digits alone. cores: those of the tokens that a task has seen; it goes with the task, as the worker lives on."""
+    tokens = text.lower().split()
+    if len(cores) > CACHE_WORDS:
+        cores.clear()
+    for t in tokens:
+        if t not in cores:
+            cores[t] = "".join(c for c in t if c.isalnum())
+    words = [cores[t] for t in tokens]
     return list(zip(["", *words], words))
 
 
@@ -194,16 +188,17 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], float]:
     """
 
     def toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cores: dict[str, str] = {}
         for b in batches:
-            seen = {(e, before) for text in b["text"] for before, w in terms(text) for e in entries(w)}
+            seen = {(e, before) for text in b["text"] for before, w in terms(text, cores) for e in entries(w)}
             yield pd.DataFrame(list(seen), columns=["entry", "context"])
 
     def held(names: frozenset[str]):
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: Counter = Counter()
+            total, cores = Counter(), {}
             for b in batches:
                 for y, text in zip(b["y"], b["text"]):
-                    total.update((e, int(y)) for e in {e for _, w in set(terms(text)) for e in entries(w)} & names)
+                    total.update((e, int(y)) for e in {e for _, w in set(terms(text, cores)) for e in entries(w)} & names)
             yield pd.DataFrame([(e, y, n) for (e, y), n in total.items()], columns=["entry", "y", "n"])
 
         return count

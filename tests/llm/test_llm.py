@@ -370,6 +370,16 @@ def test_join_is_brute_force(spark, width, percent, rare, paired):
     assert joined(docs, width, percent, rare, paired) == brute_components([(100 + i, t) for i, t in enumerate(texts)], width, percent)
 
 
+def test_join_needs_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+    whole = ngram_join.keep
+    monkeypatch.setattr(ngram_join, "keep", lambda df, *by: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df, *by))
+    texts = [words(random.Random(k // 2), 40) + " x" * (k % 2) for k in range(40)]
+    assert joined(docs_of(spark, texts), 5, 80, 4, 3) == brute_components(list(enumerate(texts)), 5, 80)
+    pythons = [len(re.findall(r"ArrowEvalPython|MapInPandas|MapInArrow|PythonMapInArrow", p)) for p in plans]
+    assert max(pythons) == 1
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90)])
 def test_large_groups_of_near_copies_are_brute_force(spark, width, percent):
     rng = random.Random(width)
