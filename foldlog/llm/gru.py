@@ -7,17 +7,22 @@ more class. Biases start at smoothed counts, so an untrained model is a unigram
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, fields
 
 import numpy as np
 
 HIDDEN, CLASSES, MEMBERS = 32, 64, 64
 SIZE = CLASSES * MEMBERS
-#: Texts side by side, words in a window of truncated backpropagation, windows at most, and times that a text is read at most.
-STREAMS, WINDOW, WINDOWS, PASSES = 128, 20, 700, 3
-RATE = 0.012
-#: Words of each text between two looks at the output layer when scoring.
-STRETCH = 64
+#: Stretches of text side by side and words in a window of truncated backpropagation, for few and for many words; times that few words are read.
+FEW, MANY, PASSES = (128, 20), (256, 32), 3
+#: Words from which on they are many.
+MANY_WORDS = 1_000_000
+RATE, WARM_UP = 0.012, 20
+#: Rows worked on at once, so that they stay near the processor; states between two looks at the output layer when scoring.
+ROWS, LOOK = 1024, 32_768
+#: Texts side by side when scoring.
+ABREAST = 512
 UNUSED = -1e4
 
 
@@ -33,6 +38,19 @@ class Weights:
     def all(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.all()])
+
+
+SHAPES = [(SIZE + 1, 3 * HIDDEN), (HIDDEN, 3 * HIDDEN), (HIDDEN, CLASSES + 1), (CLASSES + 1,), (CLASSES, HIDDEN, MEMBERS), (CLASSES, MEMBERS)]
+N_WEIGHTS = sum(math.prod(x) for x in SHAPES)
+
+
+def shaped(flat: np.ndarray) -> Weights:
+    """Weights as views of one array, in the order of flat()."""
+    ends = np.cumsum([math.prod(x) for x in SHAPES])
+    return Weights(*(part.reshape(x) for part, x in zip(np.split(flat, ends[:-1]), SHAPES)))
+
 
 def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Weights:
     """Weights before training. counts: of the words 0 to len - 1 (at most SIZE); rest: of all other words together."""
@@ -49,29 +67,38 @@ def fresh(counts: np.ndarray, rest: int, seed: int = 5) -> Weights:
     return Weights(gates, small(HIDDEN, 3 * HIDDEN), small(HIDDEN, CLASSES + 1), log(mass / mass.sum()), small(CLASSES, HIDDEN, MEMBERS), log(within / within.sum(1, keepdims=True)))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(w: Weights, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The state after a word, and what backpropagation needs."""
-    a, u = w.gates[word], h @ w.turn
-    both = sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    reset, stay = both[:, :HIDDEN], both[:, HIDDEN:]
-    new = np.tanh(a[:, 2 * HIDDEN :] + reset * u[:, 2 * HIDDEN :])
-    return new + stay * (h - new), (h, reset, stay, new, u[:, 2 * HIDDEN :])
+    a, u = w.gates.take(word, axis=0), h @ w.turn
+    both = a[:, : 2 * HIDDEN]
+    both += u[:, : 2 * HIDDEN]
+    np.negative(both, out=both)
+    np.exp(both, out=both)
+    both += 1
+    np.reciprocal(both, out=both)
+    reset, stay, u = both[:, :HIDDEN], both[:, HIDDEN:], u[:, 2 * HIDDEN :]
+    new = reset * u
+    new += a[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= stay
+    out += new
+    return out, (h, reset, stay, new, u)
 
 
-def backward(w: Weights, g: Weights, word: np.ndarray, saved: tuple, dh: np.ndarray) -> np.ndarray:
-    """Adds a step's gradients to g; gives the gradient of the state before it."""
+def backward(w: Weights, saved: tuple, dh: np.ndarray, d_gates: np.ndarray, d_turn: np.ndarray) -> np.ndarray:
+    """Writes the gradients of what a step adds to the gates; gives the gradient of the state before it."""
     h, reset, stay, new, u = saved
-    d_new = dh * (1 - stay) * (1 - new * new)
-    d_stay = dh * (h - new) * stay * (1 - stay)
-    d_reset = d_new * u * reset * (1 - reset)
-    np.add.at(g.gates, word, np.hstack([d_reset, d_stay, d_new]))
-    d_turn = np.hstack([d_reset, d_stay, d_new * reset])
-    g.turn += h.T @ d_turn
-    return dh * stay + d_turn @ w.turn.T
+    d_new = dh * (1 - stay)
+    d_new *= 1 - new * new
+    d_gates[:, :HIDDEN] = d_new * u * (reset * (1 - reset))
+    d_gates[:, HIDDEN : 2 * HIDDEN] = dh * (h - new) * (stay * (1 - stay))
+    d_gates[:, 2 * HIDDEN :] = d_new
+    d_turn[:, : 2 * HIDDEN] = d_gates[:, : 2 * HIDDEN]
+    np.multiply(d_new, reset, out=d_turn[:, 2 * HIDDEN :])
+    back = d_turn @ w.turn.T
+    back += dh * stay
+    return back
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -79,121 +106,168 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def within_reach(weight: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exp neither overflows nor vanishes for what these weights make of states (within -1 and 1) in its likeliest column."""
+    return float(np.abs(weight).sum(-2).max()) < 40 and float(np.abs(bias.max(-1)).max()) < 40
+
+
+def chosen(x: np.ndarray, own: np.ndarray, slope: bool, shift: bool) -> np.ndarray:
+    """Each row's log-probability of its own column under softmax; x is used up, with slope it becomes the gradient of the loss."""
+    if shift:
+        x -= x.max(1, keepdims=True)
+    place = np.arange(0, x.size, x.shape[1]) + own
+    told = x.take(place)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    told -= np.log(total)
+    if slope:
+        x *= (1 / total)[:, None]
+        x.reshape(-1)[place] -= 1
+    return told
+
+
 def output(w: Weights, h: np.ndarray, word: np.ndarray, g: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probabilities of the words after states h; with g, its gradients are added and the states' are given."""
-    kind = word // MEMBERS  # SIZE // MEMBERS is the class of all other words
-    rows = np.arange(len(word))
-    lp = log_softmax(h @ w.of_class + w.class_bias)
-    told = lp[rows, kind].astype(np.float64)
-    dh = None
-    if g is not None:
-        d = np.exp(lp)
-        d[rows, kind] -= 1
-        g.of_class += h.T @ d
-        g.class_bias += d.sum(0)
-        dh = d @ w.of_class.T
+    kind = (word // MEMBERS).astype(np.uint8)  # SIZE // MEMBERS is the class of all other words
+    told = np.empty(len(word))
+    dh = np.empty_like(h) if g is not None else None
+    turned = np.ascontiguousarray(w.of_class.T)
+    shift, shift_within = not within_reach(w.of_class, w.class_bias), not within_reach(w.member, w.member_bias)
+    for k in range(0, len(word), ROWS):
+        at = slice(k, k + ROWS)
+        x = h[at] @ w.of_class
+        x += w.class_bias
+        told[at] = chosen(x, kind[at], g is not None, shift)
+        if g is not None:
+            g.of_class += h[at].T @ x
+            g.class_bias += x.sum(0)
+            np.matmul(x, turned, out=dh[at])
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    own = word % MEMBERS
     for c in np.flatnonzero(np.diff(edges)):
-        at = order[edges[c] : edges[c + 1]]
-        own, mine = word[at] % MEMBERS, np.arange(len(at))
-        lp = log_softmax(h[at] @ w.member[c] + w.member_bias[c])
-        told[at] += lp[mine, own]
-        if g is not None:
-            d = np.exp(lp)
-            d[mine, own] -= 1
-            g.member[c] += h[at].T @ d
-            g.member_bias[c] += d.sum(0)
-            dh[at] += d @ w.member[c].T
+        for k in range(edges[c], edges[c + 1], ROWS):
+            at = order[k : min(k + ROWS, edges[c + 1])]
+            mine = h.take(at, axis=0)
+            x = mine @ w.member[c]
+            x += w.member_bias[c]
+            told[at] += chosen(x, own[at], g is not None, shift_within)
+            if g is not None:
+                g.member[c] += mine.T @ x
+                g.member_bias[c] += x.sum(0)
+                dh[at] += x @ w.member[c].T
     return told, dh
 
 
-def gradients(w: Weights, h: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[float, Weights, np.ndarray]:
-    """(mean loss, gradients, state after) of a window of words (steps, streams); first: which of them begin a text."""
-    g = Weights(*(np.zeros_like(x) for x in w.all()))
-    states, saved = [], []
-    for word, begins in zip(words, first):
-        h = np.where(begins[:, None], np.float32(0), h)
-        states.append(h)
-        h, kept = forward(w, h, word)
+def gradients(w: Weights, h: np.ndarray, words: np.ndarray, first: np.ndarray, g: Weights | None = None) -> tuple[float, Weights, np.ndarray]:
+    """(mean loss, gradients, state after) of a window of words (steps, streams); first: which of them begin a text. g: zeros to add to."""
+    g = g or shaped(np.zeros(N_WEIGHTS, w.gates.dtype))
+    states, saved = np.empty((*words.shape, HIDDEN), h.dtype), []
+    for t, (word, begins) in enumerate(zip(words, first)):
+        states[t] = h
+        states[t][begins] = 0
+        h, kept = forward(w, states[t], word)
         saved.append(kept)
-    told, dh = output(w, np.concatenate(states), words.ravel(), g)
-    dh = dh.reshape(*words.shape, HIDDEN)
+    said = words.ravel()
+    told, dh = output(w, states.reshape(-1, HIDDEN), said, g)
+    dh = dh.reshape(states.shape)
+    d_gates, d_turn = (np.empty((*words.shape, 3 * HIDDEN), h.dtype) for _ in range(2))
     back = np.zeros_like(h)
     for t in range(len(words) - 1, -1, -1):
         # back is the gradient of the state after step t; a text's first state is fixed
-        back = np.where(first[t][:, None], np.float32(0), dh[t] + backward(w, g, words[t], saved[t], back))
+        back = backward(w, saved[t], back, d_gates[t], d_turn[t])
+        back += dh[t]
+        back[first[t]] = 0
+    g.turn += states.reshape(-1, HIDDEN).T @ d_turn.reshape(-1, 3 * HIDDEN)
+    order = np.argsort(said.astype(np.uint16), kind="stable")
+    starts = np.flatnonzero(np.diff(said[order], prepend=-1))
+    g.gates[said[order[starts]]] += np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN).take(order, axis=0), starts, axis=0)
     n = words.size
     for x in g.all():
         x /= n
     return float(-told.mean()), g, h
 
 
-def train(texts: list[np.ndarray], counts: np.ndarray, rest: int, windows: int = WINDOWS, seed: int = 5) -> Weights:
-    """Weights fitted to the texts (arrays of numbers, each with its end), which streams read in turn for up to `windows` windows."""
-    w = fresh(counts, rest, seed)
-    if not texts:
+def learn(w: Weights, texts: list[np.ndarray], passes: int = 1, span: tuple[float, float] = (0.0, 1.0), windows: int | None = None, seed: int = 5) -> Weights:
+    """Weights after reading each text (an array of numbers, with its end) `passes` times, by Adam.
+
+    The texts of a pass stand one after the other in shuffled order and are cut into stretches of equal length, which are read side
+    by side; a stretch that begins within a text has no state there. Where stretches don't come out even, first words are read again.
+    span: the part of the whole training that this is, for the rate. windows: at most so many (all by default).
+    """
+    n = sum(map(len, texts))
+    if not n:
         return w
-    windows = min(windows, max(1, PASSES * sum(map(len, texts)) // (STREAMS * WINDOW)))
+    streams, window = MANY if n >= MANY_WORDS else FEW
+    streams = max(1, min(streams, n // window))
+    length = -(-n // streams)
+    each = -(-length // window)
+    windows = min(windows or passes * each, passes * each)
     rng = np.random.default_rng(seed)
-    queue: list[int] = []
-
-    def more() -> np.ndarray:
-        if not queue:
-            queue.extend(rng.permutation(len(texts)))
-        return texts[queue.pop()]
-
-    text = [more() for _ in range(STREAMS)]
-    at = np.zeros(STREAMS, np.int64)
-    h = np.zeros((STREAMS, HIDDEN), np.float32)
-    m, v = ([np.zeros_like(x) for x in w.all()] for _ in range(2))
-    for k in range(1, windows + 1):
-        words, first = np.empty((WINDOW, STREAMS), np.int64), np.empty((WINDOW, STREAMS), bool)
-        for s in range(STREAMS):
-            t = 0
-            while t < WINDOW:
-                if at[s] == len(text[s]):
-                    text[s], at[s] = more(), 0
-                n = min(WINDOW - t, len(text[s]) - at[s])
-                words[t : t + n, s] = text[s][at[s] : at[s] + n]
-                first[t : t + n, s] = False
-                first[t, s] |= at[s] == 0
-                t, at[s] = t + n, at[s] + n
-        _, g, h = gradients(w, h, words, first)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.all()))
-        rate = RATE * min(1, 2 * (1 - k / (windows + 1)))
-        for x, y, a, b in zip(w.all(), g.all(), m, v):
-            y *= min(1, 1 / max(norm, 1e-9))
-            a += 0.1 * (y - a)
-            b += 0.01 * (y * y - b)
-            x -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-6)
+    flat = w.flat()
+    w, m, v, slopes, room = shaped(flat), *(np.zeros_like(flat) for _ in range(4))
+    g = shaped(slopes)
+    begin, end = span
+    for k in range(windows):
+        if k % each == 0:
+            own = [texts[i] for i in rng.permutation(len(texts))]
+            begins = np.zeros(n, bool)
+            begins[np.cumsum([0, *map(len, own[:-1])])] = True
+            words, first = (np.ascontiguousarray(np.resize(x, streams * length).reshape(streams, length).T) for x in (np.concatenate(own), begins))
+            h = np.zeros((streams, HIDDEN), flat.dtype)
+        at = slice(k % each * window, (k % each + 1) * window)
+        slopes.fill(0)
+        _, _, h = gradients(w, h, words[at].astype(np.int64), first[at], g)
+        slopes *= min(1, 1 / max(float(np.sqrt(slopes @ slopes)), 1e-9))
+        done = begin + (end - begin) * (k + 1) / (windows + 1)
+        rate = RATE * min(1, 2 * (1 - done), 1 if begin == 0 else (k + 1) / WARM_UP)
+        m *= 0.9
+        np.multiply(slopes, 0.1, out=room)
+        m += room
+        slopes *= slopes
+        slopes *= 0.01
+        v *= 0.99
+        v += slopes
+        np.divide(v, 1 - 0.99 ** (k + 1), out=room)
+        np.sqrt(room, out=room)
+        room += 1e-6
+        np.divide(m, room, out=room)
+        room *= rate / (1 - 0.9 ** (k + 1))
+        flat -= room
     return w
 
 
+def train(texts: list[np.ndarray], counts: np.ndarray, rest: int, windows: int | None = None, seed: int = 5) -> Weights:
+    """Weights fitted to the texts (arrays of numbers, each with its end) alone, in one place."""
+    return learn(fresh(counts, rest, seed), texts, PASSES, windows=windows, seed=seed)
+
+
 def log_likelihood(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log-probability of each whole text, the state carried through all its stretches."""
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    length = np.array([len(texts[k]) for k in order])
-    total = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), np.float32)
-    start = 0
-    while (active := int((length > start).sum())) > 0:
-        n = min(STRETCH, int(length[0]) - start)
-        words = np.full((n, active), SIZE, np.int64)
-        for s in range(active):
-            part = texts[order[s]][start : start + n]
-            words[: len(part), s] = part
-        states, owner, said = [], [], []
-        h = h[:active]
-        for t in range(n):
-            live = int((length[:active] > start + t).sum())
-            states.append(h[:live])
-            said.append(words[t, :live])
-            owner.append(np.arange(live))
-            h = forward(w, h[:live], words[t, :live])[0]
-        told, _ = output(w, np.concatenate(states), np.concatenate(said))
-        total[:active] += np.bincount(np.concatenate(owner), told, active)
-        start += n
-    out = np.zeros(len(texts))
-    out[order] = total
-    return out
+    """Natural log-probability of each whole text, the state carried from its first word to its end."""
+    return log_likelihoods(w, np.concatenate([np.zeros(0, np.int64), *texts]), np.array([len(x) for x in texts], np.int64))
+
+
+def log_likelihoods(w: Weights, words: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of texts that stand one after the other. Texts of like length are read side by side."""
+    total = np.zeros(len(length))
+    begin = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    for k in range(0, len(order), ABREAST):
+        own = order[k : k + ABREAST]
+        start, left = begin[own], length[own]
+        live_at = len(own) - np.searchsorted(left[::-1], np.arange(left[0]), side="right")
+        h = np.zeros((len(own), HIDDEN), np.float32)
+        states, said, held = [], [], 0
+        for t, live in enumerate(live_at.tolist()):
+            word = words.take(start[:live] + t).astype(np.int64)
+            h = h[:live]
+            states.append(h)
+            said.append(word)
+            held += live
+            h = forward(w, h, word)[0]
+            if held >= LOOK or t + 1 == len(live_at):
+                told, _ = output(w, np.concatenate(states), np.concatenate(said))
+                owner = np.concatenate([np.arange(len(x)) for x in said])
+                total[own] += np.bincount(owner, told, len(own))
+                states, said, held = [], [], 0
+    return total

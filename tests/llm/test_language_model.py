@@ -94,6 +94,45 @@ def test_training_learns_order():
     assert all((a == b).all() for a, b in zip(trained.all(), again.all()))
 
 
+@pytest.mark.parametrize("n", [0, 1, 999, 2_000_001, 6_500_000, 114_000_000, 7 * 10**9])
+def test_rounds_are_all_texts_once(n):
+    plan = scoring.rounds(n)
+    modulus = {m for m, *_ in plan}
+    assert len(modulus) == 1 and [k for _, a, b, _ in plan for k in range(a, b)] == list(range(*modulus))
+    assert all(n * (b - a) / m / lanes <= 1.5 * scoring.LANE for m, a, b, lanes in plan)
+
+
+@pytest.mark.parametrize(("sizes", "passes"), [([1], 1), ([3, 40, 1, 700], 2), ([9000, 2, 2, 2500], 3)])
+def test_each_pass_reads_every_word(monkeypatch, sizes, passes):
+    read, begun = Counter(), 0
+
+    def look(w, h, words, first, g):
+        nonlocal begun
+        read.update(words.ravel().tolist())
+        begun += int(first.sum())
+        return 0.0, g, h
+
+    monkeypatch.setattr(gru, "gradients", look)
+    texts = np.split(np.arange(sum(sizes)), np.cumsum(sizes)[:-1])
+    gru.learn(gru.fresh(np.ones(4), 0), texts, passes)
+    again = sum(read.values()) - passes * sum(sizes)  # what fills up the last stretch
+    assert set(read) == set(range(sum(sizes))) and min(read.values()) == passes and 0 <= again < 128 * passes
+    assert begun >= passes * len(sizes)
+
+
+def test_model_learns_from_every_training_text(spark, monkeypatch):
+    """What a word adds to the gates changes only where it was read: 4,000 texts of a word each, in five rounds of lanes."""
+    monkeypatch.setattr(scoring, "LANE", 1000)
+    rows = [(zlib.crc32(str(k).encode()) * 2**31 + k, np.array([k, k, k, 0], "<u2").tobytes()) for k in range(1, 4001)]
+    df = spark.createDataFrame(rows, "h long, ids binary")
+    before = gru.fresh(np.ones(4096), 0)
+    assert [lanes for *_, lanes in scoring.rounds(16_000)] == [1, 1, 2, 4, 8]
+    one, seven = (scoring.fitted(df.repartition(k), 16_000, before) for k in (1, 7))
+    changed = (one.gates != before.gates).any(1)
+    assert changed[1:4001].all() and not changed[4001:].any()  # 0 ends a text: nothing comes after it
+    assert all((a == b).all() for a, b in zip(one.all(), seven.all()))
+
+
 def scored(spark, rows, **more):
     df = spark.createDataFrame([(i, t, 0, "x", "y", 1.0) for i, t in rows], "doc_id long, text string, _row int, rare string, word string, score double")
     out = scoring.score_texts(df, windows=5, **more)
