@@ -41,7 +41,7 @@ READ = "n_tokens long, n_known long, base double, others double, ids binary, rar
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words in order, A-Z lower-cased, and each one's text."""
-    parts = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(texts), "[\\x09-\\x0D]", " "), " ")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at blanks and \x09 to \x0D
     flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
     some = pc.not_equal(flat, "")
     return flat.filter(some), owner.filter(some).to_numpy(zero_copy_only=False)

@@ -120,6 +120,15 @@ def test_each_pass_reads_every_word(monkeypatch, sizes, passes):
     assert begun >= passes * len(sizes)
 
 
+def test_rows_are_added_at_frequent_and_rare_places():
+    rng = np.random.default_rng(7)
+    at, rows = rng.zipf(1.3, 3000) % 50, rng.normal(0, 1, (3000, 4))
+    want, got = np.zeros((60, 4)), np.zeros((60, 4))
+    np.add.at(want, at, rows)
+    gru.add_rows(got, at, rows)
+    assert got == pytest.approx(want)
+
+
 def test_model_learns_from_every_training_text(spark, monkeypatch):
     """What a word adds to the gates changes only where it was read: 4,000 texts of a word each, in five rounds of lanes."""
     monkeypatch.setattr(scoring, "LANE", 1000)
